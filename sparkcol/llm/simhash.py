@@ -30,16 +30,18 @@ SEED = 42
 CHUNK = 1 << 16
 #: Keys with up to so many rows are compared pair by pair.
 FEW = 12
+#: Keys with up to so many rows are compared in one matrix.
+MATRIX = 1 << 10
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED) -> int:
     """Bits that are set in over half of the XXH64 of the word shingles; no words: 0."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, n)
     set_bits = np.zeros(BITS, np.int64)
     for i in range(0, n, CHUNK):
         part = hashes[i : i + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -47,13 +49,13 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = 4) -> DataFrame:
+def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = 4, seed: int = SEED) -> DataFrame:
     """``docs`` with the fingerprint as a long (its bits, two's complement)."""
 
     @F.pandas_udf("long")
     def prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            yield pd.Series(np.array([fingerprint(t, shingle) for t in series], np.uint64).view(np.int64))
+            yield pd.Series(np.array([fingerprint(t, shingle, seed) for t in series], np.uint64).view(np.int64))
 
     return docs.withColumn(out, prints(F.col(text)))
 
@@ -85,47 +87,64 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def _close(diff: np.ndarray, chains: list[np.uint64], max_bits: int) -> np.ndarray:
-    """Which differences keep within the budget of each chain, and of the whole ring."""
-    ok = np.bitwise_count(diff & chains[0]) <= 1
-    for length, mask in enumerate(chains[1:], 3):
-        at = np.flatnonzero(ok)
-        ok[at] = np.bitwise_count(diff[at] & mask) <= length - 1 if length <= max_bits else np.bitwise_count(diff[at]) <= max_bits
-    return ok
-
-
-def _forest(values: np.ndarray, chains: list[np.uint64], max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that span what is linked among ``values``: each new value is reached from one that is linked already."""
-    rest = values
+class _Filter:
+    """Which of the pairs that share a key are links: budgets of the growing chains, then the distances of both fingerprints."""
+
+    def __init__(self, chains: list[int], max_bits: int, second_bits: int):
+        self.chains, self.max_bits, self.second_bits = [np.uint64(c) for c in chains], max_bits, second_bits
+
+    def __call__(self, diff: np.ndarray, second: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(diff & self.chains[0]) <= 1
+        for length, mask in enumerate(self.chains[1:], 3):
+            at = np.nonzero(ok)
+            if not len(at[0]):
+                return ok
+            ok[at] = np.bitwise_count(diff[at] & mask) <= length - 1
+        at = np.nonzero(ok)
+        ok[at] = (np.bitwise_count(diff[at]) <= self.max_bits) & (np.bitwise_count(second[at]) <= self.second_bits)
+        return ok
+
+
+def _links(v: np.ndarray, w: np.ndarray, close: _Filter) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that span what is linked among the rows of a key."""
+    if len(v) <= MATRIX:
+        i, j = np.nonzero(np.triu(close(v[:, None] ^ v[None, :], w[:, None] ^ w[None, :]), 1))
+        if len(i) <= 2 * len(v):
+            yield v[i], v[j]
+            return
+    rest = np.arange(len(v))
     while len(rest):
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            near = _close(rest ^ at, chains, max_bits)
+            near = close(v[rest] ^ v[at], w[rest] ^ w[at])
             if near.any():
                 found = rest[near]
-                yield np.full(len(found), at), found
+                yield np.full(len(found), v[at]), v[found]
                 front.extend(found)
                 rest = rest[~near]
 
 
-def link(nodes: DataFrame, fp: str = "fp", max_bits: int = 4, parts: int = 4, most: int = 1 << 14) -> DataFrame:
+def link(nodes: DataFrame, fp: str = "fp", max_bits: int = 4, parts: int = 4, most: int = 1 << 14, second: str | None = None, second_bits: int = BITS) -> DataFrame:
     """Links (a, b) among the distinct values of ``fp`` (long) that connect exactly what distances of up to ``max_bits`` connect.
 
+    ``second``: a further fingerprint, whose distance must be at most ``second_bits``.
     ``most``: rows of a key that one task compares; the rows of a larger key are compared block by block.
     """
     table = patterns(max_bits, parts)
+    filters = [_Filter(chains, max_bits, second_bits) for _, chains in table]
     keys = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(fp).bitwiseAND(F.lit(_signed(mask))).alias("bits")) for p, (mask, _) in enumerate(table)])
-    rows = nodes.select(F.col(fp).alias("fp"), F.explode(keys).alias("k")).select("k.pattern", "k.bits", F.lit(0).alias("pair"), "fp")
-    chains = [[np.uint64(c) for c in x] for _, x in table]
+    other = F.col(second) if second else F.lit(0).cast("long")
+    rows = nodes.select(F.col(fp).alias("fp"), other.alias("fp2"), F.explode(keys).alias("k")).select("k.pattern", "k.bits", F.lit(0).alias("pair"), "fp", "fp2")
     key = ["pattern", "bits", "pair"]
 
     def compare(limit: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            def edges(a, b) -> pd.DataFrame:
-                return pd.DataFrame({"pattern": np.int32(-1), "bits": np.int64(0), "a": a.view(np.int64), "b": b.view(np.int64)})
+            def put(p, k, a, b) -> pd.DataFrame:
+                return pd.DataFrame({"pattern": np.int32(p), "bits": np.int64(k), "a": a.view(np.int64), "b": b.view(np.int64)})
 
-            def settle(p: np.ndarray, k: np.ndarray, v: np.ndarray, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+            def settle(p, k, v, w, starts) -> Iterator[pd.DataFrame]:
+                """Links of whole keys; the rows of a key beyond the limit are passed on with their pattern instead."""
                 lengths = np.diff(np.append(starts, len(v)))
                 run_of = np.repeat(np.arange(len(starts)), lengths)
                 small = lengths[run_of] <= FEW
@@ -135,67 +154,64 @@ def link(nodes: DataFrame, fp: str = "fp", max_bits: int = 4, parts: int = 4, mo
                         break
                     for which in np.unique(p[i]):
                         j = i[p[i] == which]
-                        near = _close(v[j] ^ v[j + d], chains[which], max_bits)
-                        if near.any():
-                            yield edges(v[j[near]], v[j[near] + d])
+                        j = j[filters[which](v[j] ^ v[j + d], w[j] ^ w[j + d])]
+                        if len(j):
+                            yield put(-1, 0, v[j], v[j + d])
                 for s, n in zip(starts[lengths > FEW], lengths[lengths > FEW], strict=True):
                     if n > limit:
-                        yield pd.DataFrame({"pattern": p[s], "bits": k[s], "a": v[s : s + n].view(np.int64), "b": np.int64(0)})
+                        yield put(p[s], k[s], v[s : s + n], w[s : s + n])
                     else:
-                        for a, b in _forest(v[s : s + n], chains[p[s]], max_bits):
-                            yield edges(a, b)
+                        for a, b in _links(v[s : s + n], w[s : s + n], filters[p[s]]):
+                            yield put(-1, 0, a, b)
 
-            held: list[tuple[np.ndarray, ...]] = []  # the rows of the key that may go on, and whether they are passed on already
-            passed = None
+            held = None  # the rows of the last key, which may go on
+            passed = None  # a key beyond the limit, whose rows are passed on as they come
             for batch in batches:
                 if not len(batch):
                     continue
-                now = (batch["pattern"].to_numpy(), batch["bits"].to_numpy(), batch["pair"].to_numpy(), batch["fp"].to_numpy().view(np.uint64))
-                p, k, q, v = (np.concatenate(x) for x in zip(*held, now, strict=True)) if held else now
-                held = []
-                change = (p[1:] != p[:-1]) | (k[1:] != k[:-1]) | (q[1:] != q[:-1])
-                starts = np.concatenate([[0], np.flatnonzero(change) + 1])
-                if passed is not None:  # a key too large for this task goes on
+                now = [batch[c].to_numpy() for c in key] + [batch[c].to_numpy().view(np.uint64) for c in ("fp", "fp2")]
+                p, k, q, v, w = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+                held = None
+                starts = np.concatenate([[0], np.flatnonzero((p[1:] != p[:-1]) | (k[1:] != k[:-1]) | (q[1:] != q[:-1])) + 1])
+                if passed == (p[0], k[0], q[0]):
                     n = starts[1] if len(starts) > 1 else len(v)
-                    if (p[0], k[0], q[0]) == passed:
-                        yield pd.DataFrame({"pattern": p[:n], "bits": k[:n], "a": v[:n].view(np.int64), "b": np.int64(0)})
-                        p, k, q, v = p[n:], k[n:], q[n:], v[n:]
-                        starts = starts[1:] - n
-                    if len(v):
-                        passed = None
-                    else:
+                    yield put(p[0], k[0], v[:n], w[:n])
+                    p, k, q, v, w = (x[n:] for x in (p, k, q, v, w))
+                    starts = starts[1:] - n
+                    if not len(v):
                         continue
                 last = starts[-1]
-                if len(v) - last > limit:
-                    yield from settle(p, k, v, starts)
-                    passed = (p[last], k[last], q[last])
+                passed = (p[last], k[last], q[last]) if len(v) - last > limit else None
+                if passed:
+                    yield from settle(p, k, v, w, starts)
                 else:
-                    yield from settle(p[:last], k[:last], v[:last], starts[:-1])
-                    held = [(p[last:], k[last:], q[last:], v[last:])]
+                    yield from settle(p[:last], k[:last], v[:last], w[:last], starts[:-1])
+                    held = [x[last:] for x in (p, k, q, v, w)]
             if held:
-                p, k, q, v = held[0]
-                yield from settle(p, k, v, np.array([0]))
+                p, k, q, v, w = held
+                yield from settle(p, k, v, w, np.array([0]))
 
         return run
 
     shape = "pattern int, bits long, a long, b long"
     out = cut(rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(compare(most), shape))
     links = out.where("pattern < 0").select("a", "b")
-    over = out.where("pattern >= 0").select("pattern", "bits", F.col("a").alias("fp"))
+    over = out.where("pattern >= 0").select("pattern", "bits", F.col("a").alias("fp"), F.col("b").alias("fp2"))
     if over.isEmpty():
         return links
     blocks = over.groupBy("pattern", "bits").agg(F.ceil(F.count("*") * 2 / F.lit(most)).cast("int").alias("n"))
     placed = over.join(blocks, ["pattern", "bits"]).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.least(c, F.col("b")) * F.col("n") + F.greatest(c, F.col("b")))
-    rest = placed.select("pattern", "bits", "fp", F.explode(pairs).alias("pair"))
+    rest = placed.select("pattern", "bits", F.explode(pairs).alias("pair"), "fp", "fp2")
     rest = rest.repartition(*key).sortWithinPartitions(*key).mapInPandas(compare(1 << 62), shape)
     return links.union(rest.select("a", "b"))
 
 
-def _named(rows: DataFrame, first, max_bits: int) -> DataFrame:
+def _named(rows: DataFrame, first, max_bits: int, second: str | None = None, second_bits: int = BITS) -> DataFrame:
     """(fp, name) for each distinct fp of ``rows``, name being the least ``first`` (an aggregate) of its component."""
-    nodes = cut(rows.groupBy("fp").agg(first.alias("first")))
-    roots = components(link(nodes, "fp", max_bits))
+    also = [F.min(second).alias("fp2")] if second else []
+    nodes = cut(rows.groupBy("fp").agg(first.alias("first"), *also))
+    roots = components(link(nodes, "fp", max_bits, second="fp2" if second else None, second_bits=second_bits))
     named = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     return named.join(named.groupBy("root").agg(F.min("first").alias("name")), "root").select("fp", "name")
 
@@ -211,9 +227,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(names, "fp").select("doc_id", "fp", F.col("name").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 4, shingle: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 10, shingle: int = 5, second_bits: int = 12) -> DataFrame:
     """One row of ``docs`` for each component, that of the least doc_id, with all columns as they came.
 
+    The similarity of texts is that of five-word shingles, of at least 0.8: such texts differ in up to ten bits of a
+    fingerprint as a rule. Among very many texts, unrelated ones do too, so a second fingerprint of other hashes must agree.
     A null id comes after all others. Of rows that share the id, the text with the least hash stays; of rows that share
     the text too, any one does. Documents without words stay or go like any other: one of them stays.
     """
@@ -222,7 +240,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_
         F.struct(*docs.columns).alias("_row"), F.col(doc_id).isNull().alias("_none"), F.coalesce(F.col(doc_id), F.lit(0)).alias("_id"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"), F.col(text).alias("_text"),
     )
-    rows = cut(with_fingerprints(known.drop("_row"), "_text", "fp", shingle).drop("_text"))
-    names = _named(rows, F.min(F.struct(*key)), max_bits)
+    rows = with_fingerprints(with_fingerprints(known.drop("_row"), "_text", "fp", shingle), "_text", "fp2", shingle, SEED + 1)
+    names = _named(cut(rows.drop("_text")), F.min(F.struct(*key)), max_bits, "fp2", second_bits)
     stay = names.select("name.*").distinct()
     return known.groupBy(*key).agg(F.first("_row").alias("_row")).join(stay, key, "left_semi").select("_row.*")
