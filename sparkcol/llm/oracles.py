@@ -18,6 +18,19 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
   CASE WHEN first <> page_id THEN first END refers_to FROM g
 """
 
+OP3 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+bg AS (SELECT DISTINCT item_id, least(8, len(w)) k, array_to_string(w[i:i + 7], ' ') g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) i FROM bw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM bg),
+dg AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) i FROM dw, sizes WHERE len(w) >= k)),
+hit AS (SELECT dg.doc_id, dg.i, dg.k, bg.item_id FROM dg JOIN bg ON dg.k = bg.k AND dg.g = bg.g),
+per AS (SELECT doc_id, len(list_distinct(flatten(list(range(i, i + k)))))::BIGINT n_hit, count(DISTINCT item_id) n_items,
+  array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') ids FROM hit GROUP BY doc_id)
+SELECT dw.doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_items, 0) >= 2 contaminated
+FROM dw LEFT JOIN per ON dw.doc_id = per.doc_id
+"""
+
 _NOISE = "#*$%&|<>!?=~^_"
 _ENDS = r"[.!?:;\x22'')\]…”’»][\x20\x09-\x0D]*$"
 OP7 = rf"""
@@ -51,4 +64,4 @@ s AS (SELECT *, (16 * below // total)::INTEGER shard FROM c)
 SELECT doc_id, size, text_crc32, 'bytes' law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 slot, NULL::INTEGER grown_shard FROM s
 """
 
-ORACLES = {"op1_warc": OP1, "op7_quality_rules": OP7, "op9_sharding": OP9}
+ORACLES = {"op1_warc": OP1, "op3_decontamination": OP3, "op7_quality_rules": OP7, "op9_sharding": OP9}
