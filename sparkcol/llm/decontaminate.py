@@ -156,7 +156,7 @@ def _scan(index) -> Column:
                         named[lo + t].add(known.ids[item])
             yield pd.DataFrame({"n_words": n_words, "spans": [[{"a": a, "b": b} for a, b in _merge(list(s))] for s in found], "items": [sorted(x) for x in named]})
 
-    return scan
+    return scan.asNondeterministic()  # or a later filter on its result would run it again
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 8, block_bytes: int = 8 << 20, out: str = "found") -> DataFrame:

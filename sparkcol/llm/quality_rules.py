@@ -129,4 +129,6 @@ def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLi
 def keep_good(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLimits()) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns and the texts they came with, whatever their names."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    return judge(packed, "_text", limits).where("kept").select("_row.*")
+    # the row number keeps the filter above the projections: pushed down, it would repeat all of their work
+    judged = judge(packed, "_text", limits).withColumn("_place", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_place") >= 0)).select("_row.*")

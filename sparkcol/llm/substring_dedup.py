@@ -96,7 +96,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pd.DataFrame(rows, columns=["text", "n_pieces", "n_removed"])
 
     joined = known.join(repeated_spans(known, min_pieces, min_words), ["_none", "_id", "_hash"], "left")
-    return joined.withColumn("_c", cleaned("_text", "covered")).select("row", "_c.*")
+    once = cleaned.asNondeterministic()  # or a later filter on its result would run it again
+    return joined.withColumn("_c", once("_text", "covered")).select("row", "_c.*")
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
