@@ -1,4 +1,4 @@
-"""All queries of the library by name, each with the DuckDB text that gives the same rows."""
+"""All queries of the library by name, each with the DuckDB text that gives the same rows where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalogue
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(catalogue.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalogue.ORACLES)
