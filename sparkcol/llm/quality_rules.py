@@ -21,8 +21,8 @@ from .common import free_name, words_on_white_space
 SYMBOLS = "#*$%&|<>"
 #: Marks that pile up in shouted or decorated lines.
 NOISE = SYMBOLS + "!?=~^_"
-#: How a sentence may end (the last character of a line without its trailing white space).
-LINE_END = r"[.!?:;\x22')\]…”’»][\x20\x09-\x0D]*$"
+#: A line of prose has a sentence that ends in it, or ends with such a mark itself.
+PROSE = r"[.!?…][\x22')\]”’»]*(?:[\x20\x09-\x0D]|\z)|[:;\x22')\]”’»][\x20\x09-\x0D]*\z"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 #: Phrases of licence, cookie, login and sharing lines.
 BOILERPLATE = (
@@ -40,7 +40,7 @@ class QualityLimits:
     #: Separators " | ", " > ", " » ", " · " in a line.
     max_separators: int = 2
     #: Characters in removed lines, per hundred characters in lines.
-    max_lost_percent: int = 40
+    max_lost_percent: int = 50
 
 
 def keyed_windows(hashes: Column, windows: Column) -> Column:
@@ -65,7 +65,7 @@ def line_passes(line: Column, limits: QualityLimits) -> Column:
         ((F.length(line) - F.length(F.replace(line, F.lit(s), F.lit("")))) / 3 for s in (" | ", " > ", " » ", " · ")), F.lit(0)
     )
     return (
-        line.rlike(LINE_END)
+        line.rlike(PROSE)
         & (noise * 100 <= limits.max_noise_percent * F.length(line))
         & (separators <= limits.max_separators)
         & ~F.lower(line).rlike(BOILERPLATE)
