@@ -259,3 +259,81 @@ def two_stage(vectors: DataFrame, query: Sequence[float], first_k: int = 100, fi
     everything = Window.partitionBy()
     low, high = F.min("d").over(everything), F.max("d").over(everything)
     return scored.withColumn("score", F.coalesce(F.try_divide(high - F.col("d"), high - low), F.lit(1.0))).orderBy("d", vec_id).limit(final_k)
+
+
+def sq4_encode(v: Column, low: float, high: float) -> Column:
+    """Elements as integers 0..15 between the bounds."""
+    step = (high - low) / 15 or 1.0
+    return F.transform(doubles(v), lambda x: F.least(F.lit(15), F.greatest(F.lit(0), F.floor((x - low) / step + 0.5))).cast("int"))
+
+
+def sq4_decode(codes: Column, low: float, high: float) -> Column:
+    step = (high - low) / 15 or 1.0
+    return F.transform(codes, lambda c: c * F.lit(step) + low)
+
+
+def matvec(v: Column, matrix: np.ndarray) -> Column:
+    """matrix times v."""
+    return dense(v, matrix, np.zeros(len(matrix)))
+
+
+def mlp(v: Column, layers: Sequence[tuple[np.ndarray, np.ndarray, str | None]]) -> Column:
+    """Dense layers in turn, each (weights, bias, activation), in one pass over the batch."""
+    plan = [(np.asarray(w, float), np.asarray(b, float), a) for w, b, a in layers]
+
+    @F.pandas_udf("array<double>")
+    def run(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        x = np.stack(vectors.to_numpy()).astype(float)
+        for w, b, a in plan:
+            x = x @ w.T + b
+            x = np.maximum(x, 0) if a == "relu" else np.tanh(x) if a == "tanh" else 1 / (1 + np.exp(-x)) if a == "sigmoid" else x
+        return pd.Series(list(x), dtype=object)
+
+    return run(v)
+
+
+def conv1d(v: Column, kernel: Sequence[float]) -> Column:
+    """Valid one-dimensional correlation of the vector with the kernel."""
+    n = len(kernel)
+    heads = F.slice(doubles(v), F.lit(1), F.greatest(F.lit(0), F.size(v) - (n - 1)))
+    terms = lambda i: sum((F.get(doubles(v), i + k) * float(w) for k, w in enumerate(kernel)), F.lit(0.0))
+    return F.transform(heads, lambda x, i: terms(i))
+
+
+def score_batches(rows: DataFrame, model: Callable[[pd.DataFrame], pd.Series], columns: Sequence[str], out: str = "score") -> DataFrame:
+    """``rows`` with the model's score: the model is sent once per task and called with batches of the given columns."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != out] + [f"`{out}` double"])
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(**{out: model(frame[list(columns)]).astype(float)})
+
+    return rows.mapInPandas(run, schema)
+
+
+class FlatIndex:
+    """An exact index: vectors with their squared norms, which grows by adding frames and is stored as a table."""
+
+    def __init__(self, metric: str = "l2"):
+        self.metric, self.rows = metric, None
+
+    def add(self, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> FlatIndex:
+        e = F.col(embedding)
+        new = vectors.select(F.col(vec_id).alias("vec_id"), e.alias("embedding"), squared_norm(e).alias("norm2"))
+        self.rows = new if self.rows is None else self.rows.unionByName(new)
+        return self
+
+    def search(self, query: Sequence[float], k: int = 10) -> DataFrame:
+        return knn(self.rows, query, k, self.metric).select("vec_id", "distance")
+
+    def search_batch(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        return knn_batch(self.rows, queries, k, self.metric)
+
+    def save(self, path: str) -> None:
+        self.rows.write.mode("overwrite").parquet(path)
+
+    def load(self, spark, path: str) -> FlatIndex:
+        self.rows = spark.read.parquet(path)
+        return self

@@ -589,10 +589,10 @@ def _(s, d):
     return V.knn(table(s, d, "embeddings").withColumn("embedding", V.to_half(F.col("embedding"))), _one(s, d), 10).select("vec_id", F.round("distance", 3).alias("distance"))
 
 
-@query("vec_sq8", "WITH b AS (SELECT MIN(list_min(embedding)::DOUBLE) lo, MAX(list_max(embedding)::DOUBLE) hi FROM embeddings) SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: least(255, greatest(0, floor((x - lo) / ((hi - lo) / 255) + 0.5)))::INT) AS codes FROM embeddings, b")
+@query("vec_sq8", "WITH b AS (SELECT MIN(list_min(embedding)::DOUBLE) lo, MAX(list_max(embedding)::DOUBLE) hi FROM embeddings) SELECT vec_id, array_to_string(list_transform(embedding::DOUBLE[], lambda x: least(255, greatest(0, floor((x - lo) / ((hi - lo) / 255) + 0.5)))::INT), ',') AS codes FROM embeddings, b")
 def _(s, d):
     e = table(s, d, "embeddings")
-    return e.select("vec_id", V.sq8_encode(F.col("embedding"), *V.sq8_bounds(e)).alias("codes"))
+    return e.select("vec_id", F.array_join(V.sq8_encode(F.col("embedding"), *V.sq8_bounds(e)).cast("array<string>"), ",").alias("codes"))
 
 
 @query("vec_sq8_error", "SELECT COUNT(*) AS n, TRUE AS within_half_a_step FROM embeddings")
@@ -632,6 +632,53 @@ def _(s, d):
     return e.select("vec_id", F.round(F.get(V.dense(F.col("embedding"), np.ones((1, n)), np.array([0.5]), "relu"), F.lit(0)), 4).alias("x"))
 
 
+@query("vec_sq4", "WITH b AS (SELECT MIN(list_min(embedding)::DOUBLE) lo, MAX(list_max(embedding)::DOUBLE) hi FROM embeddings) SELECT vec_id, array_to_string(list_transform(embedding::DOUBLE[], lambda x: least(15, greatest(0, floor((x - lo) / ((hi - lo) / 15) + 0.5)))::INT), ',') AS codes FROM embeddings, b")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    return e.select("vec_id", F.array_join(V.sq4_encode(F.col("embedding"), *V.sq8_bounds(e)).cast("array<string>"), ",").alias("codes"))
+
+
+@query("vec_matvec", "SELECT vec_id, ROUND(embedding[1]::DOUBLE - embedding[2]::DOUBLE, 4) AS a, ROUND(2 * embedding[3]::DOUBLE, 4) AS b FROM embeddings")
+def _(s, d):
+    import numpy as np
+
+    m = np.zeros((2, 64))
+    m[0, :2], m[1, 2] = (1, -1), 2
+    y = V.matvec(F.col("embedding"), m)
+    return table(s, d, "embeddings").select("vec_id", y.alias("y")).select("vec_id", F.round(F.get("y", F.lit(0)), 4).alias("a"), F.round(F.get("y", F.lit(1)), 4).alias("b"))
+
+
+@query("vec_mlp", "SELECT vec_id, ROUND(1 / (1 + exp(-(greatest(list_sum(embedding::DOUBLE[]), 0) - 2 * greatest(1 - embedding[1]::DOUBLE, 0)))), 4) AS score FROM embeddings")
+def _(s, d):
+    import numpy as np
+
+    first = np.ones((2, 64))
+    first[1] = 0
+    first[1, 0] = -1
+    layers = [(first, np.array([0.0, 1.0]), "relu"), (np.array([[1.0, -2.0]]), np.zeros(1), "sigmoid")]
+    return table(s, d, "embeddings").select("vec_id", F.round(F.get(V.mlp(F.col("embedding"), layers), F.lit(0)), 4).alias("score"))
+
+
+@query("vec_conv1d", "SELECT vec_id, len(y) AS n, ROUND(list_sum(y), 4) AS total, ROUND(y[1], 4) AS first, ROUND(y[62], 4) AS last FROM (SELECT vec_id, list_transform(range(1, 63), lambda i: 0.5 * embedding[i]::DOUBLE - embedding[i + 1]::DOUBLE + 0.25 * embedding[i + 2]::DOUBLE) AS y FROM embeddings)")
+def _(s, d):
+    rows = table(s, d, "embeddings").select("vec_id", V.conv1d(F.col("embedding"), [0.5, -1.0, 0.25]).alias("y"))
+    at = lambda i: F.round(F.get("y", F.lit(i)), 4) + 0.0
+    return rows.select("vec_id", F.size("y").cast("long").alias("n"), F.round(V.total(F.col("y")), 4).alias("total"), at(0).alias("first"), at(61).alias("last"))
+
+
+@query("vec_model_scores", "SELECT vec_id, ROUND(list_sum(embedding::DOUBLE[]), 4) AS score FROM embeddings")
+def _(s, d):
+    model = lambda frame: frame["embedding"].map(lambda v: float(v.astype(float).sum())).round(4)
+    return V.score_batches(table(s, d, "embeddings").select("vec_id", "embedding"), model, ["embedding"]).select("vec_id", "score")
+
+
+@query("vec_flat_index", f"SELECT vec_id, ROUND(list_cosine_distance(embedding::DOUBLE[], q), 4) AS distance FROM embeddings, {_Q} WHERE vec_id <> 0 ORDER BY list_cosine_distance(embedding::DOUBLE[], q), vec_id LIMIT 7")
+def _(s, d):
+    e = table(s, d, "embeddings").where("vec_id <> 0")
+    index = V.FlatIndex("cosine").add(e.where("vec_id % 2 = 0")).add(e.where("vec_id % 2 = 1"))
+    return index.search(_one(s, d), 7).select("vec_id", F.round("distance", 4).alias("distance"))
+
+
 # -- time buckets ----------------------------------------------------------------------------------------------------------
 
 
