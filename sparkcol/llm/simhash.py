@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(names, "fp").select("doc_id", "fp", F.col("name").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 10, shingle: int = 5, second_bits: int = 12) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 10, shingle: int = 5, second_bits: int = 14) -> DataFrame:
     """One row of ``docs`` for each component, that of the least doc_id, with all columns as they came.
 
     The similarity of texts is that of five-word shingles, of at least 0.8: such texts differ in up to ten bits of a
