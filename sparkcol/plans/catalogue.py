@@ -712,8 +712,12 @@ def _(s, d):
 @query("stream_sketch", "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bucket, COUNT(*) AS n, ROUND(CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DOUBLE), 4) AS total FROM events WHERE value IS NOT NULL GROUP BY 1")
 def _(s, d):
     """The hourly buckets through Structured Streaming."""
-    schema = table(s, d, "events").schema
-    events = s.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(d)
+    rows = table(s, d, "events")
+    reader = s.readStream.schema(rows.schema)
+    if rows.inputFiles()[0].rstrip("/").split("/")[-2] == "events.parquet":  # a folder of files
+        events = reader.parquet(f"{d}/events.parquet")
+    else:
+        events = reader.option("pathGlobFilter", "events*.parquet").parquet(d)
     root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkcol-stream-")
     run = uuid.uuid4().hex
     found = stream.run_available(stream.windowed(events, 3600), f"stream_sketch_{run}", f"{root}/stream-{run}")
