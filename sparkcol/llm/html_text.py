@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，؟।]")
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +38,8 @@ NEVER_NAMED = frozenset(
     "sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus respond reply replies share sharing social related "
     "recommended newsletter subscribe subscription signup login widget toolbar pagination pager skip hidden".split()
 )
+#: Beginnings of words that do so too, as in commentlist or advertbox.
+NEVER_BEGINS = ("comment", "advert", "sponsor", "sidebar", "cookie", "newsletter", "breadcrumb")
 #: What an opening tag closes, up to the given containers.
 CLOSES = {
     **dict.fromkeys(
@@ -113,7 +115,8 @@ class Page:
                     while stack.pop()[0] != tag:
                         pass
                 continue
-            named = any(w in NEVER_NAMED for x in NAMES.findall(m[3]) for w in WORD.findall("".join(x).lower())) if m[3] else False
+            names = {w.lower() for x in NAMES.findall(m[3]) for w in WORD.findall("".join(x))} if m[3] else set()
+            named = not names.isdisjoint(NEVER_NAMED) or any(w.startswith(NEVER_BEGINS) for w in names)
             if tag in INLINE and not named:
                 inline.append(tag)
                 continue
@@ -133,7 +136,7 @@ class Page:
             inside = any(t in ("article", "main") for t, _ in stack)
             self.label.append(tag)
             self.parent.append(around)
-            page_header = tag == "header" and not inside
+            page_header = (tag == "header" or "header" in names) and not inside
             self.never.append(self.never[around] or tag in NEVER or page_header or (named and tag not in ("html", "body", "article", "main")))
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(source, at)

@@ -202,6 +202,7 @@ def test_pages_that_are_odd(spark, tmp_path):
         ("<main><article><p>Kept, as it should be.</p><div class='comments'><p>Nice one, I liked it, very much.</p></div><form>Sign up</form></article><aside>Else</aside></main>", "Kept, as it should be."),
         ("<div id=w><div><h2>Head</h2><p>A long paragraph, with commas, and an end.</p><p>Another long one, with commas, too.</p></div><div class='cookie-notice'>We use cookies, to track.</div></div>", "Head A long paragraph, with commas, and an end. Another long one, with commas, too."),
         ("<article><script>if (a<b) x('</p>')</script><p>a<b>b</b>c &lt;tag&gt; &copy &am</article>", "abc <tag> © &am"),
+        ("<div class='siteHeader'><h1>Site, of news.</h1></div><article><div class='entry-header'><h1>Head</h1></div><p>Body, here.</p><ol class=commentlist><li>Me, too.</ol></article><div id=pageFooter>Foot, note.</div>", "Head Body, here."),
         ("<article><p>x</article>" + "<div>" * 3000 + "deep", "x"),
     ],
 )
