@@ -20,6 +20,8 @@ from .common import cut, fresh_path
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+#: Payloads with several pages that are broadcast, some sixty bytes each.
+MOST_BROADCAST = 200_000
 RFC4648 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -44,6 +46,9 @@ def describe(pages: DataFrame, page_id: str = "page_id", url: str = "url", paylo
         .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
         .where("_n > 1")
     )
+    groups = cut(groups)
+    if groups.count() <= MOST_BROADCAST:  # else a shuffle of the pages, in which adaptive execution can split a payload that very many share
+        groups = F.broadcast(groups)
     p = p.join(groups, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("_first")), F.lit(False)) & F.col("_n").isNotNull()
     return p.select(
@@ -180,7 +185,7 @@ def pages_through_archives(pages: DataFrame, path: str | None = None, min_revisi
     write_archives(describe(pages, min_revisit_bytes=min_revisit_bytes), path)
     read = read_archives(spark, path)
     own = read.where("record_type = 'response'")
-    of = own.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("stated_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
+    of = cut(own.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("stated_digest"), F.col("payload_bytes").alias("_bytes")).distinct())
     again = read.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "stated_digest")
     again = again.join(of, (F.col("refers_to") == F.col("_id")) & (again["stated_digest"] == of["stated_digest"])).select(
         "page_id", F.col("_bytes").alias("payload_bytes"), of["stated_digest"].alias("payload_digest"), "record_type", "refers_to"
