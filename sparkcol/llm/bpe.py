@@ -14,6 +14,8 @@ import base64
 import hashlib
 import heapq
 import itertools
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens that a worker remembers before it begins anew, and the longest it remembers (bytes).
-MEMORY, LONGEST = 400_000, 64
+#: Pre-tokens in either half of a worker's memory, and the longest that it remembers.
+MEMORY, LONGEST = 250_000, 64
 #: Characters of a text that are encoded at a time; a cut falls between two pre-tokens.
 PIECE = 1 << 20
 
@@ -140,22 +142,36 @@ class Tokenizer:
 
 
 class Memory(dict):
-    """Pre-token -> (its ids as text, its ids)."""
+    """Pre-token -> (its ids as text, its ids). When it is full it becomes the older half and a new one begins; what is
+    asked for again moves over, so frequent pre-tokens stay."""
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, tokenizer: Tokenizer, most: int = MEMORY):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.most = tokenizer, most
+        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
 
     def __missing__(self, token: str) -> tuple[str, tuple[int, ...]]:
-        ids = self.tokenizer.encode_token(token.encode("utf-8", "surrogatepass"))
-        found = " ".join(map(str, ids)), tuple(ids)
+        found = self.older.get(token)
+        if found is None:
+            ids = self.tokenizer.encode_token(token.encode("utf-8", "surrogatepass"))
+            found = " ".join(map(str, ids)), tuple(ids)
         if len(token) <= LONGEST:
-            if len(self) >= MEMORY:
+            if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[token] = found
         return found
 
 
+def memory_of(shipped: tuple) -> Memory:
+    """The memory of this worker process for the vocabulary: it outlives tasks, which come with functions of their own."""
+    store = vars(sys.modules.setdefault("_sparkcol_bpe", types.ModuleType("_sparkcol_bpe")))
+    name, plain = shipped
+    if store.get("name") != name:
+        store.update(name=name, memory=Memory(Tokenizer.of(plain)))
+    return store["memory"]
+
+
 def pieces(text: str, pattern: regex.Pattern, size: int = PIECE) -> Iterator[list[str]]:
     """The pre-tokens of ``text`` in lists; a list ends where a match does, so the cuts change no match."""
     if len(text) <= size:
@@ -201,7 +217,10 @@ def default_pattern() -> str:
 
 def _shipped(docs: DataFrame, path: str | None, pattern: str | None):
     """The vocabulary, of a fixed size, its perfect hash and the pattern, for the workers."""
-    return docs.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(path or default_path()), pattern or default_pattern()).plain())
+    path, pattern = path or default_path(), pattern or default_pattern()
+    with open(path, "rb") as f:
+        name = hashlib.sha256(f.read() + pattern.encode()).hexdigest()
+    return docs.sparkSession.sparkContext.broadcast((name, Tokenizer(read_ranks(path), pattern).plain()))
 
 
 def digests(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, out: str = "bpe") -> DataFrame:
@@ -210,7 +229,7 @@ def digests(docs: DataFrame, text: str = "text", path: str | None = None, patter
 
     @F.pandas_udf(DIGEST)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memory = Memory(Tokenizer.of(shipped.value))
+        memory = memory_of(shipped.value)
         for series in texts:
             yield pd.DataFrame([_digest(t or "", memory.tokenizer.pattern, memory) for t in series], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -223,7 +242,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
 
     @F.pandas_udf("array<int>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory = Memory(Tokenizer.of(shipped.value))
+        memory = memory_of(shipped.value)
         for series in texts:
             yield pd.Series([np.array([i for piece in pieces(t or "", memory.tokenizer.pattern) for x in map(memory.__getitem__, piece) for i in x[1]], np.int32) for t in series], dtype=object)
 
@@ -236,7 +255,7 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, out: str
 
     @F.pandas_udf("string")
     def run(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = {rank: t for t, rank in shipped.value[0].items()}
+        token = {rank: t for t, rank in shipped.value[1][0].items()}
         for series in lists:
             yield pd.Series([None if x is None else b"".join(token[i] for i in x).decode("utf-8", "replace") for x in series], dtype=object)
 
