@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: A sentence or clause with what ends it, or the rest of the text.
 PIECE = re.compile(r"[^.!?,;:\n]*[.!?,;:\n]+\s*|[^.!?,;:\n]+\Z")
 BASE = 0x9E3779B97F4A7C15
@@ -74,7 +76,8 @@ def repeated_spans(docs: DataFrame, min_pieces: int = 3, min_words: int = 12) ->
 
     found = docs.select("_none", "_id", "_hash", "_text").mapInPandas(run, shape)
     place = F.struct((~F.col("_none")).alias("n"), "_id", "_hash", "a")
-    first = found.groupBy("span").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first")
+    # materialised, so that adaptive execution can split a span that very many documents hold
+    first = cut(found.groupBy("span").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first"))
     later = found.join(first, "span").where(place != F.col("first"))
     return later.groupBy("_none", "_id", "_hash").agg(F.collect_set(F.struct("a", "b")).alias("covered"))
 
@@ -95,9 +98,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             ]
             yield pd.DataFrame(rows, columns=["text", "n_pieces", "n_removed"])
 
-    joined = known.join(repeated_spans(known, min_pieces, min_words), ["_none", "_id", "_hash"], "left")
+    joined = known.drop("_text").join(repeated_spans(known, min_pieces, min_words), ["_none", "_id", "_hash"], "left")
     once = cleaned.asNondeterministic()  # or a later filter on its result would run it again
-    return joined.withColumn("_c", once("_text", "covered")).select("row", "_c.*")
+    return joined.withColumn("_c", once(F.col("row")[text], "covered")).select("row", "_c.*")
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
