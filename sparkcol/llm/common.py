@@ -54,5 +54,4 @@ def ascii_lower(text: Column) -> Column:
 
 def words_on_white_space(text: Column) -> Column:
     r"""The matches of ``[^\x20\x09-\x0D]+`` in order; null has none."""
-    white = "\t\n\x0b\x0c\r"
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), white, " " * len(white)), " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

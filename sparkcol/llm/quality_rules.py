@@ -11,6 +11,7 @@ are judged each on its own. Columns of the input other than the text are passed
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +25,11 @@ NOISE = SYMBOLS + "!?=~^_"
 #: A line of prose has a sentence that ends in it, or ends with such a mark itself.
 PROSE = r"[.!?…][\x22')\]”’»]*(?:[\x20\x09-\x0D]|\z)|[:;\x22')\]”’»][\x20\x09-\x0D]*\z"
 HAS_WORD = r"[^\x20\x09-\x0D]"
-#: Phrases of licence, cookie, login and sharing lines.
+#: Phrases of licence, cookie, login and sharing lines, in lower case.
 BOILERPLATE = (
-    "all rights reserved|copyright|licensed under|public license|creative commons|terms of (use|service)|privacy policy|"
-    "cookie|javascript|subscribe|newsletter|sign up|log ?in|click here|read more|share this|powered by|lorem ipsum"
-)
+    "all rights reserved", "copyright", "licensed under", "public license", "creative commons", "terms of use", "terms of service", "privacy policy", "cookie",
+    "javascript", "subscribe", "newsletter", "sign up", "log in", "login", "click here", "read more", "share this", "powered by", "lorem ipsum",
+)
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,9 @@ def _covered(at: Column) -> Column:
     return F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g)
 
 
-def line_passes(line: Column, limits: QualityLimits) -> Column:
+def line_passes(line: Column, limits: QualityLimits, lowered: Column | None = None) -> Column:
+    """``lowered``: the line in lower case, where it is at hand; each phrase would lower it again."""
+    low = F.lower(line) if lowered is None else lowered
     noise = F.length(line) - F.length(F.translate(line, NOISE, ""))
     separators = sum(
         ((F.length(line) - F.length(F.replace(line, F.lit(s), F.lit("")))) / 3 for s in (" | ", " > ", " » ", " · ")), F.lit(0)
@@ -68,7 +71,7 @@ def line_passes(line: Column, limits: QualityLimits) -> Column:
         line.rlike(PROSE)
         & (noise * 100 <= limits.max_noise_percent * F.length(line))
         & (separators <= limits.max_separators)
-        & ~F.lower(line).rlike(BOILERPLATE)
+        & ~reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
     )
 
 
@@ -76,9 +79,10 @@ def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLi
     """All columns of ``docs`` and: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept,
     cleaned_text (the text without the lines that fail), lost_chars, line_chars (long). These replace input columns of
     the same names."""
-    t, w, h, win, keyed, at, lines, good = (free_name(docs, f"_q_{x}") for x in ("text", "words", "hashes", "windows", "keyed", "at", "lines", "good"))
+    t, w, h, win, keyed, at, lines, low, good = (free_name(docs, f"_q_{x}") for x in ("text", "words", "hashes", "windows", "keyed", "at", "lines", "low", "good"))
     df = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn(w, words_on_white_space(F.col(t)))
+    df = df.withColumn(low, F.split(F.lower(F.col(t)), "\n"))
     df = df.withColumn(lines, F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(HAS_WORD)))
     df = df.withColumn(h, F.transform(F.col(w), lambda x: F.xxhash64(x)))
     hashes = F.col(h)
@@ -105,7 +109,8 @@ def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLi
         at,
         F.sort_array(F.transform(F.filter(k, lambda x, i: same(x, F.get(k, i - 1)) | same(x, F.get(k, i + 1))), lambda x: x["i"])),
     )
-    df = df.withColumn(good, F.filter(F.col(lines), lambda x: line_passes(x, limits)))
+    lowered = F.col(low)
+    df = df.withColumn(good, F.filter(F.split(F.col(t), "\n"), lambda x, i: x.rlike(HAS_WORD) & line_passes(x, limits, F.get(lowered, i))))
     total = lambda c: F.coalesce(F.length(F.array_join(c, "")), F.lit(0)).cast("long")
     df = df.withColumns(
         {
@@ -123,7 +128,7 @@ def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLi
         "base_failed", (F.col("n_words") < limits.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * limits.max_repeat_percent)
     )
     lost_too_much = F.col("lost_chars") * 100 > F.col("line_chars") * limits.max_lost_percent
-    return df.withColumn("kept", ~F.col("base_failed") & ~lost_too_much).drop(t, w, h, win, keyed, at, lines, good)
+    return df.withColumn("kept", ~F.col("base_failed") & ~lost_too_much).drop(t, w, h, win, keyed, at, lines, low, good)
 
 
 def keep_good(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLimits()) -> DataFrame:
