@@ -6,9 +6,11 @@ order of rows; every LIMIT has a total order. ``{partsupp}`` stands for the deri
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.catalog import PARTSUPP, load_tables
+from ..sources.catalog import PARTSUPP, TPCH, load_tables
 
 REVENUE = "l_extendedprice * (1 - l_discount)"
 
@@ -174,5 +176,6 @@ def text(q: int, **parameters: object) -> str:
 
 
 def run(spark: SparkSession, sf_dir: str, q: int, **parameters: object) -> DataFrame:
-    load_tables(spark, sf_dir)
-    return spark.sql(text(q, **parameters))
+    asked = text(q, **parameters)
+    load_tables(spark, sf_dir, tuple(t for t in TPCH if re.search(rf"\b{t}\b", asked)))
+    return spark.sql(asked)
