@@ -5,7 +5,7 @@ whole pre-tokens to the only rank they could have; the stored bytes tell whether
 the vocabulary is merged: its bytes form a linked list, a heap holds the neighbouring pairs that the vocabulary knows, and the
 pair of least rank, leftmost first, is merged until none is left.
 
-Null texts count as empty and give no ids. Workers remember the pre-tokens they have met, up to a bound.
+Null texts count as empty and give no ids. A task remembers the pre-tokens it has met, up to a bound.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ import base64
 import hashlib
 import heapq
 import itertools
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens in either half of a worker's memory, and the longest that it remembers.
-MEMORY, LONGEST = 250_000, 64
+#: Pre-tokens in either half of a task's memory, and the longest that it remembers.
+MEMORY, LONGEST = 150_000, 64
 #: Characters of a text that are encoded at a time; a cut falls between two pre-tokens.
 PIECE = 1 << 20
 
@@ -163,15 +161,6 @@ class Memory(dict):
         return found
 
 
-def memory_of(shipped: tuple) -> Memory:
-    """The memory of this worker process for the vocabulary: it outlives tasks, which come with functions of their own."""
-    store = vars(sys.modules.setdefault("_sparkcol_bpe", types.ModuleType("_sparkcol_bpe")))
-    name, plain = shipped
-    if store.get("name") != name:
-        store.update(name=name, memory=Memory(Tokenizer.of(plain)))
-    return store["memory"]
-
-
 def pieces(text: str, pattern: regex.Pattern, size: int = PIECE) -> Iterator[list[str]]:
     """The pre-tokens of ``text`` in lists; a list ends where a match does, so the cuts change no match."""
     if len(text) <= size:
@@ -217,10 +206,7 @@ def default_pattern() -> str:
 
 def _shipped(docs: DataFrame, path: str | None, pattern: str | None):
     """The vocabulary, of a fixed size, its perfect hash and the pattern, for the workers."""
-    path, pattern = path or default_path(), pattern or default_pattern()
-    with open(path, "rb") as f:
-        name = hashlib.sha256(f.read() + pattern.encode()).hexdigest()
-    return docs.sparkSession.sparkContext.broadcast((name, Tokenizer(read_ranks(path), pattern).plain()))
+    return docs.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(path or default_path()), pattern or default_pattern()).plain())
 
 
 def digests(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, out: str = "bpe") -> DataFrame:
@@ -229,7 +215,7 @@ def digests(docs: DataFrame, text: str = "text", path: str | None = None, patter
 
     @F.pandas_udf(DIGEST)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memory = memory_of(shipped.value)
+        memory = Memory(Tokenizer.of(shipped.value))
         for series in texts:
             yield pd.DataFrame([_digest(t or "", memory.tokenizer.pattern, memory) for t in series], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -242,7 +228,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
 
     @F.pandas_udf("array<int>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory = memory_of(shipped.value)
+        memory = Memory(Tokenizer.of(shipped.value))
         for series in texts:
             yield pd.Series([np.array([i for piece in pieces(t or "", memory.tokenizer.pattern) for x in map(memory.__getitem__, piece) for i in x[1]], np.int32) for t in series], dtype=object)
 
@@ -255,7 +241,7 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, out: str
 
     @F.pandas_udf("string")
     def run(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = {rank: t for t, rank in shipped.value[1][0].items()}
+        token = {rank: t for t, rank in shipped.value[0].items()}
         for series in lists:
             yield pd.Series([None if x is None else b"".join(token[i] for i in x).decode("utf-8", "replace") for x in series], dtype=object)
 
