@@ -213,7 +213,9 @@ def _named(rows: DataFrame, first, max_bits: int, second: str | None = None, sec
     nodes = cut(rows.groupBy("fp").agg(first.alias("first"), *also))
     roots = components(link(nodes, "fp", max_bits, second="fp2" if second else None, second_bits=second_bits))
     named = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    return named.join(named.groupBy("root").agg(F.min("first").alias("name")), "root").select("fp", "name")
+    # written, so that the rows of a very large component can be split in the join
+    least = cut(named.groupBy("root").agg(F.min("first").alias("name")))
+    return named.join(least, "root").select("fp", "name")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 4, shingle: int = 4) -> DataFrame:
