@@ -215,26 +215,33 @@ class ProductQuantizer:
 
 
 class InvertedIndex:
-    """Approximate search: vectors are listed under their nearest centre, and a query looks into ``n_probe`` lists.
+    """Approximate search: vectors are listed under their ``shared`` nearest centres, and a query looks into ``n_probe`` lists.
 
-    Centres come from a bounded sample; every vector is listed. It takes the place of a graph index, which is one
-    mutable structure in memory and doesn't distribute.
+    Centres come from a bounded sample; every vector is listed. Near the border of two lists a neighbour is found from either
+    side. It takes the place of a graph index, which is one mutable structure in memory and doesn't distribute.
     """
 
-    def __init__(self, lists: int = 16, sample: int = 20_000, seed: int = 42):
-        self.lists, self.sample, self.seed = lists, sample, seed
+    def __init__(self, lists: int = 16, sample: int = 20_000, seed: int = 42, shared: int = 3):
+        self.lists, self.sample, self.seed, self.shared = lists, sample, seed, shared
         self.centres: np.ndarray | None = None
         self.rows: DataFrame | None = None
 
     def build(self, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> InvertedIndex:
         one = ProductQuantizer(1, self.lists, self.sample, self.seed).fit(vectors, vec_id, embedding)
-        self.centres = one.books[0]
-        self.rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), F.get(one.encode(F.col(embedding)), F.lit(0)).alias("list"))
+        self.centres = centres = one.books[0]
+        shared = self.shared
+
+        @F.pandas_udf("array<int>")
+        def listed(series: pd.Series) -> pd.Series:
+            return pd.Series([((centres - np.asarray(x, float)) ** 2).sum(axis=1).argsort(kind="stable")[:shared].astype(np.int32) for x in series], dtype=object)
+
+        self.rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), listed(F.col(embedding)).alias("lists"))
         return self
 
     def search(self, query: Sequence[float], k: int = 10, n_probe: int = 6) -> DataFrame:
         near = ((self.centres - np.asarray(query, float)) ** 2).sum(axis=1).argsort()[:n_probe]
-        return knn(self.rows.where(F.col("list").isin([int(x) for x in near])), query, k).select("vec_id", "distance")
+        looked = F.arrays_overlap("lists", F.array(*[F.lit(int(x)) for x in near]))
+        return knn(self.rows.where(looked), query, k).select("vec_id", "distance")
 
 
 def dense(v: Column, weights: np.ndarray, bias: np.ndarray, activation: str | None = None) -> Column:

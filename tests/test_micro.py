@@ -179,6 +179,19 @@ def test_approximate_search_finds_most(spark, data_dir):
     assert found / (10 * len(asked)) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_search_with_the_defaults_of_the_query_finds_most(spark, sf):
+    e = catalog.table(spark, f"/root/testdata/{sf}", "embeddings").cache()
+    index, found = V.InvertedIndex().build(e), 0
+    index.rows = index.rows.cache()
+    asked = e.where("vec_id % 100 = 0").collect()
+    exact = V.knn_batch(e, e.where("vec_id % 100 = 0"), 10).groupBy("query_id").agg(F.collect_set("vec_id")).collect()
+    exact = {r[0]: set(r[1]) for r in exact}
+    for r in asked:
+        found += len(exact[r.vec_id] & {x.vec_id for x in index.search([float(x) for x in r.embedding], 10).collect()})
+    assert asked and found / (10 * len(asked)) >= 0.9
+
+
 def test_product_quantizer_tables_agree_with_decoding(spark, data_dir):
     e = catalog.table(spark, data_dir, "embeddings").limit(50)
     pq = V.ProductQuantizer(8, 16).fit(e)
