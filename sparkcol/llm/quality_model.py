@@ -12,6 +12,7 @@ the share of class 1 (0.5 without any).
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,10 +41,9 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     count = text.count
     symbols = sum(map(count, SYMBOLS))
-    sample = distinct if n else ()
     upper = sum(map(len, filter(str.isupper, words)))
     echo = sum(map(str.__eq__, words, words[1:]))
-    most = max(map(words.count, list(sample)[:8]), default=0) if n else 0
+    most = max(Counter(words).values(), default=0)
     pairs = len(set(zip(words, words[1:], strict=False)))
     ends = sum(x.rstrip()[-1] in ".!?:;\"'”’»)" for x in lines)
     letters = sum(map(len, words))

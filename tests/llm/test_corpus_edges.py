@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import math
 import random
 
 import numpy as np
@@ -326,6 +327,13 @@ def test_scores_of_odd_rows(spark, docs, nothing):
     assert {r.score for r in quality_model.report(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_the_commonest_word_is_sought_among_all_words():
+    at = quality_model.STATISTICS.index("most_common")
+    for k in range(20):
+        words = [f"w{i}" for i in range(200)] + [f"w{k}"] * 300
+        assert math.isclose(quality_model.statistics(" ".join(words))[at], math.log(301.5 / 199.5))
+
+
 def test_densities_are_those_of_the_formula(spark):
     rng = np.random.default_rng(0)
     d = len(quality_model.STATISTICS)
