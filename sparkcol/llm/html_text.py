@@ -5,7 +5,8 @@ implicitly are seen through). Blocks under parts that never are the article - he
 whatever names itself an advert, a notice, a sidebar or a comment - are left out. What stays is summed by path: text
 length outside links and punctuation, each per block. Both ratios are smoothed over the paths that stand next to each other
 in the page, fused as a product and held against a share of the best path. The parts of the page that hold the paths that
-pass are the article: all their remaining blocks are returned in page order.
+pass are the article: all their remaining blocks are returned in page order, blocks that are mostly links only where their own
+path passes. An article or main tag adds a little to the score, which counts only among tiny texts, and keeps its headings.
 
 Null pages and pages without text give an empty text. Broken tags at the end of a cut-off page are dropped.
 """
@@ -55,6 +56,9 @@ CLOSES = {
     "th": (frozenset(["td", "th", "p"]), frozenset(["tr", "table"])),
     "body": (frozenset(["head"]), frozenset()),
 }
+#: Elements that say they are the content, and what that adds to the score of paths through them.
+NAMED = frozenset(["article", "main"])
+NAMED_SCORE = 25.0
 #: Share of the best path's score that content paths reach.
 THRESHOLD = 0.15
 
@@ -174,27 +178,40 @@ def ratios(page: Page, blocks: list[Block]) -> dict[str, float]:
         near = [(w, raw[j]) for w, j in zip(weights, (i - 1, i, i + 1), strict=True) if 0 <= j < len(raw)]
         total = sum(w for w, _ in near)
         out[p] = sum(w * x[0] for w, x in near) / total * (1 + sum(w * x[1] for w, x in near) / total)
+        if not NAMED.isdisjoint(p.split("/")):
+            out[p] += NAMED_SCORE
     return out
 
 
 def main_text(source: str | None, threshold: float = THRESHOLD) -> str:
     page = Page(source or "")
-    blocks = [b for b in page.blocks if not b.never and b.linked <= 0.6 * len(b.text)]
-    if not blocks:
+    blocks = [b for b in page.blocks if not b.never]
+    prose = [b for b in blocks if b.linked <= 0.6 * len(b.text)]
+    if not prose:
         return ""
-    scores = ratios(page, blocks)
+    scores = ratios(page, prose)
     best = max(scores.values())
-    chosen = [b for b in blocks if scores[page.tags(b)] >= threshold * best]
-    marked = [e for b in blocks for e in b.path if page.label[e] in ("article", "main")]
-    if marked:  # the page names its article
-        inner = {e for e in marked if page.label[e] == "article"} or set(marked)
-        homes = {next(e for e in b.path if e in inner) for b in chosen if inner.intersection(b.path)} or inner
-    else:  # the parts around the chosen blocks, but the whole body only where nothing else holds one
-        homes = {b.path[-2] if len(b.path) > 1 else b.path[-1] if b.path else 0 for b in chosen}
-        if any(page.label[e] in ("body", "html", "") for e in homes):
-            paths = {page.tags(b) for b in chosen}
-            return " ".join(b.text for b in blocks if page.tags(b) in paths or page.label[b.path[-1] if b.path else 0] in HEADINGS)
-    return " ".join(b.text for b in blocks if homes.intersection(b.path))
+    paths = {p for p, score in scores.items() if score >= threshold * best}
+    chosen = [b for b in prose if page.tags(b) in paths]
+    holders = {e for b in chosen for e in b.path if page.label[e] in NAMED}
+    homes = {_home(page, b) for b in chosen}
+    parts = {e for e in homes if page.label[e] not in ("body", "html", "")}  # the body alone holds everything: of it, chosen paths and headings
+    out = []
+    for b in blocks:
+        at_home = b.linked <= 0.6 * len(b.text) and not parts.isdisjoint(b.path)
+        around = [e for e in b.path if page.label[e] in NAMED]
+        headed = page.label[b.path[-1] if b.path else 0] in HEADINGS and (not holders.isdisjoint(around) if around else parts != homes)
+        if at_home or headed or (page.tags(b) in paths and _home(page, b) in homes):
+            out.append(b.text)
+    return " ".join(out)
+
+
+def _home(page: Page, block: Block) -> int:
+    """The element around the one that holds the block, or that one itself if it is an article."""
+    path = block.path
+    if not path:
+        return 0
+    return path[-1] if len(path) < 2 or page.label[path[-1]] in NAMED else path[-2]
 
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())

@@ -211,6 +211,22 @@ def test_main_text(source, text):
     assert html_text.main_text(source) == text
 
 
+PARAGRAPH = "This paragraph, which is long, tells of a thing at length; it has marks, too, and it ends. " * 4
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (f"<div id=text><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div>By a writer</div></div><div id=more><article><h3>Card</h3><p>See this</p></article><article><h3>Card</h3><p>See that</p></article></div>", f"{PARAGRAPH}{PARAGRAPH}By a writer"),
+        (f"<article><p>{PARAGRAPH}</p></article><div id=on><p>{PARAGRAPH}</p></div>", f"{PARAGRAPH}{PARAGRAPH}".strip()),
+        (f"<body><article><div><h1>Head</h1><p>{PARAGRAPH}</p><dl><dd>Note</dd></dl></div><div><table><tr><td>tiny</td></tr></table></div></article>", f"Head {PARAGRAPH}Note"),
+        (f"<article><p>{PARAGRAPH}</p><p><a href=x>A paragraph that is a link</a></p><ul><li><a href=y>menu</a></ul></article>", f"{PARAGRAPH}A paragraph that is a link"),
+    ],
+)
+def test_paths_select_the_text_whatever_is_named_article(source, text):
+    assert html_text.main_text(source) == text
+
+
 def test_html_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, None, None, "k"), (1, None, None, "k")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.report(df).collect()] == [(1, "", 0)] * 2
