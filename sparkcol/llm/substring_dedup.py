@@ -1,8 +1,9 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is cut at the ends of sentences and of their clauses (``. ! ? , ; :`` and line ends). From each such piece on, the
-span of the next pieces is hashed: at least ``min_pieces`` of them, and as many as it takes to hold ``min_words`` words, so
-that set phrases don't count. Spans meet over all documents by their hash; in the order of (doc_id, hash of the text,
+A text is cut at the ends of sentences and of their clauses (``. ! ? , ; :``, such marks of other scripts, and line ends). From
+each such piece on, the span of the next pieces is hashed: at least ``min_pieces`` of them, and as many as it takes to hold
+``min_words`` words, so that set phrases don't count. Where fewer pieces hold ``long_words`` words, these are hashed as a span
+too. In scripts without spaces each letter counts as a word. Spans meet over all documents by their hash; in the order of (doc_id, hash of the text,
 position) the first of equal spans stays, and the pieces that any other one covers are removed.
 
 Pieces are compared without case and with white space made single. Null and empty texts have no spans. A null id comes first.
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: A sentence or clause with what ends it, or the rest of the text.
-PIECE = re.compile(r"[^.!?,;:\n]*[.!?,;:\n]+\s*|[^.!?,;:\n]+\Z")
+MARKS = r".!?,;:\n。！？，；：、．｡､؟،؛۔।॥"
+PIECE = re.compile(rf"[^{MARKS}]*[{MARKS}]+\s*|[^{MARKS}]+\Z")
+#: Letters of scripts that put no spaces between words.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -34,18 +38,24 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def spans(text: str | None, min_pieces: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first piece, piece after the last) of the span that begins with each piece, as far as it has enough words."""
+def spans(text: str | None, min_pieces: int, min_words: int, long_words: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first piece, piece after the last) of the spans that begin with each piece, as far as they have enough words."""
     words = [p.lower().split() for p in PIECE.findall(text or "")]
     n = len(words)
-    if n < min_pieces:
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     hashes = np.fromiter((xxhash.xxh64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words), np.uint64, n)
-    ends = np.cumsum([0, *map(len, words)])
+    if not text.isascii() and UNSPACED.search(text):
+        lengths = [sum(max(1, len(UNSPACED.findall(w))) for w in p) for p in words]
+    else:
+        lengths = list(map(len, words))
+    ends = np.cumsum([0, *lengths])
     first = np.arange(n)
     until = np.maximum(first + min_pieces, np.searchsorted(ends, ends[:-1] + min_words))
+    few = np.searchsorted(ends, ends[:-1] + long_words)
+    short = np.flatnonzero((few <= n) & (few - first < min_pieces))
     first = first[until <= n]
-    until = until[: len(first)]
+    first, until = np.concatenate([first, short]), np.concatenate([until[: len(first)], few[short]])
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(BASE, n))])
     found = (sums[until] - sums[first]) * _powers(INVERSE, n)[first]
     return found.view(np.int64), first.astype(np.int32), until.astype(np.int32)

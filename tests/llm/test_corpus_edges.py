@@ -277,6 +277,18 @@ def test_passages_go_but_the_first(clashing, nothing):
     assert substring_dedup.drop_repeats(nothing).count() == 0
 
 
+def test_long_passages_of_few_pieces_and_other_scripts_are_found(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    two = " ".join(f"a{i}" for i in range(30)) + ". " + " ".join(f"b{i}" for i in range(30)) + "."
+    chinese = "".join(chr(0x4E00 + i) + ("，" if i % 9 == 8 else "") for i in range(60)) + "。"
+    hindi = "।".join(" ".join(chr(0x0905 + (7 * i + j) % 40) for j in range(8)) for i in range(5)) + "।"
+    texts = [long, two, chinese, hindi]
+    rows = [(2 * i + k, own + t) for i, t in enumerate(texts) for k, own in enumerate(("", "Not the same; "))]
+    got = {r.row.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * i] for i in range(4)] == texts
+    assert [got[2 * i + 1] for i in range(4)] == ["Not the same;"] * 4
+
+
 def test_a_shared_passage_inside_other_text(spark):
     shared = "here is what they share, word for word, without a change. it has two sentences, so it counts, and it goes on. "
     df = spark.createDataFrame([(8, "own begin, of eight. " + shared + "own end of eight."), (3, "three starts so. " + shared + "three stops so.")], "doc_id long, text string")
