@@ -463,6 +463,22 @@ for _name, _word, _f in (
     query(f"set_{_name}", f"{_SETS[0]} {_word} {_SETS[1]}")(lambda s, d, f=_f: f(*_two(s, d)))
 
 query("set_except_all", f"{_SETS[0]} EXCEPT ALL {_SETS[1]}")(lambda s, d: sets.minus(*_two(s, d), keep_duplicates=True))
+_WHOLE_SETS = ("SELECT l_partkey AS k FROM lineitem", "SELECT o_custkey AS k FROM orders")
+
+
+def _whole(s, d):
+    return table(s, d, "lineitem").select(F.col("l_partkey").alias("k")), table(s, d, "orders").select(F.col("o_custkey").alias("k"))
+
+
+for _name, _word, _f in (
+    ("union_all", "UNION ALL", sets.union_all),
+    ("union", "UNION", sets.union),
+    ("intersect", "INTERSECT", sets.intersect),
+    ("except", "EXCEPT", sets.minus),
+):
+    query(f"set_{_name}_whole", f"{_WHOLE_SETS[0]} {_word} {_WHOLE_SETS[1]}")(lambda s, d, f=_f: f(*_whole(s, d)))
+
+query("set_except_all_whole", f"{_WHOLE_SETS[0]} EXCEPT ALL {_WHOLE_SETS[1]}")(lambda s, d: sets.minus(*_whole(s, d), keep_duplicates=True))
 query("set_distinct", "SELECT DISTINCT p_brand, p_type FROM part")(lambda s, d: sets.distinct(table(s, d, "part"), ["p_brand", "p_type"]))
 
 # -- scalar functions ------------------------------------------------------------------------------------------------------
