@@ -98,11 +98,12 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, metric: str = "
     return vectors.withColumn("distance", METRICS[metric](F.col(embedding), q)).orderBy("distance", vec_id).limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", vec_id: str = "vec_id", embedding: str = "embedding", block: int = 256, most_queries: int = 1 << 16) -> DataFrame:
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", vec_id: str = "vec_id", embedding: str = "embedding", block: int = 256, most_queries: int = 1 << 16, probes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(query_id, vec_id, distance, rank) for a stated set of queries (vec_id, embedding) against all vectors.
 
     Queries are taken in blocks; for each block the vectors are read once and every batch of them is reduced to its k nearest
     per query by one matrix product, so no pairs are made. The number of queries is checked.
+    ``probes``: the lists that each query of a block looks into, of those in the column ``lists``.
     """
     rows = queries.select(vec_id, embedding).limit(most_queries + 1).collect()
     if len(rows) > most_queries:
@@ -113,7 +114,9 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str =
         ids = np.array([r[0] for r in part], np.int64)
         q = np.array([r[1] for r in part], float).reshape(len(part), -1)
 
-        def nearest(frames, ids=ids, q=q):
+        looked = probes(q) if probes and len(part) else None
+
+        def nearest(frames, ids=ids, q=q, looked=looked):
             for frame in frames:
                 if not len(frame) or not len(ids):
                     continue
@@ -127,11 +130,15 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str =
                 else:
                     norms = (q * q).sum(axis=1)[:, None] * (x * x).sum(axis=1)[None, :]
                     d = np.where(norms < TINY, 1.0, 1 - (q @ x.T) / np.sqrt(np.maximum(norms, TINY)))
+                if looked is not None:
+                    lists = np.stack(frame["lists"].to_numpy())
+                    seen = [np.isin(lists, own_lists).any(axis=1) for own_lists in looked]
                 for j, row in enumerate(d):
-                    best = np.lexsort((own, row))[:k]
+                    best = np.lexsort((own, row))
+                    best = (best if looked is None else best[seen[j][best]])[:k]
                     yield pd.DataFrame({"query_id": ids[j], "vec_id": own[best], "distance": row[best]})
 
-        found = vectors.select(vec_id, embedding).mapInPandas(nearest, shape)
+        found = vectors.select(vec_id, embedding, *(["lists"] if probes else [])).mapInPandas(nearest, shape)
         out = found if out is None else out.union(found)
     window = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return out.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
@@ -243,6 +250,11 @@ class InvertedIndex:
         looked = F.arrays_overlap("lists", F.array(*[F.lit(int(x)) for x in near]))
         return knn(self.rows.where(looked), query, k).select("vec_id", "distance")
 
+    def search_batch(self, queries: DataFrame, k: int = 10, n_probe: int = 6) -> DataFrame:
+        """(query_id, vec_id, distance, rank) as ``search`` finds them for each row of ``queries`` (vec_id, embedding)."""
+        near = lambda q: ((self.centres[None] - q[:, None]) ** 2).sum(axis=2).argsort(axis=1)[:, :n_probe]
+        return knn_batch(self.rows, queries, k, probes=near)
+
 
 def dense(v: Column, weights: np.ndarray, bias: np.ndarray, activation: str | None = None) -> Column:
     """activation(W v + b) in one matrix product per batch."""
@@ -268,6 +280,19 @@ def two_stage(vectors: DataFrame, query: Sequence[float], first_k: int = 100, fi
     return scored.withColumn("score", F.coalesce(F.try_divide(high - F.col("d"), high - low), F.lit(1.0))).orderBy("d", vec_id).limit(final_k)
 
 
+def two_stage_batch(vectors: DataFrame, queries: DataFrame, first_k: int = 100, final_k: int = 10, metric: str = "l2", rerank: str = "cosine", vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, d, score, rank) as ``two_stage`` finds them for each row of ``queries``."""
+    coarse = knn_batch(vectors, queries, first_k, metric, vec_id, embedding).select("query_id", F.col("vec_id").alias("_id"))
+    asked = queries.select(F.col(vec_id).alias("query_id"), F.col(embedding).alias("_q"))
+    known = vectors.select(F.col(vec_id).alias("_id"), F.col(embedding).alias("_e"))
+    scored = coarse.join(known, "_id").join(asked, "query_id").select("query_id", F.col("_id").alias("vec_id"), METRICS[rerank](F.col("_e"), F.col("_q")).alias("d"))
+    own = Window.partitionBy("query_id")
+    low, high = F.min("d").over(own), F.max("d").over(own)
+    score = F.coalesce(F.try_divide(high - F.col("d"), high - low), F.lit(1.0))
+    ranked = scored.withColumn("score", score).withColumn("rank", F.row_number().over(own.orderBy("d", "vec_id")))
+    return ranked.where(F.col("rank") <= final_k)
+
+
 def sq4_encode(v: Column, low: float, high: float) -> Column:
     """Elements as integers 0..15 between the bounds."""
     step = (high - low) / 15 or 1.0

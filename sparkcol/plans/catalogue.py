@@ -695,6 +695,48 @@ def _(s, d):
     return index.search(_one(s, d), 7).select("vec_id", F.round("distance", 4).alias("distance"))
 
 
+# the searches for every row whose id is divisible by 100, against all rows
+
+
+def _asked(s, d):
+    e = table(s, d, "embeddings")
+    return e, e.where("vec_id % 100 = 0")
+
+
+def _found(found):
+    return found.select("query_id", "vec_id", F.round("distance", 4).alias("distance"), "rank")
+
+
+@query("vec_flat_index_batch", "SELECT query_id, vec_id, ROUND(distance, 4) AS distance, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, power(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE rank <= 7")
+def _(s, d):
+    e, asked = _asked(s, d)
+    return _found(V.FlatIndex().add(e.where("vec_id % 2 = 0")).add(e.where("vec_id % 2 = 1")).search_batch(asked, 7))
+
+
+@query("vec_inverted_index_batch")
+def _(s, d):
+    e, asked = _asked(s, d)
+    return _found(V.InvertedIndex().build(e).search_batch(asked, 10))
+
+
+@query("vec_fp16_batch")
+def _(s, d):
+    e, asked = _asked(s, d)
+    return _found(V.knn_batch(e.withColumn("embedding", V.to_half(F.col("embedding"))), asked, 10))
+
+
+@query("vec_product_quantizer_batch")
+def _(s, d):
+    e, asked = _asked(s, d)
+    pq = V.ProductQuantizer().fit(e)
+    return _found(V.knn_batch(e.select("vec_id", pq.decode(pq.encode(F.col("embedding"))).alias("embedding")), asked, 10))
+
+
+@query("vec_two_stage_batch", "WITH c AS (SELECT query_id, vec_id, dd FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY l2, vec_id) AS r FROM (SELECT a.vec_id AS query_id, b.vec_id, power(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2) AS l2, list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dd FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE r <= 100) SELECT query_id, vec_id, ROUND(dd, 4) AS d, ROUND(score, 4) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, (MAX(dd) OVER w - dd) / (MAX(dd) OVER w - MIN(dd) OVER w) AS score, row_number() OVER (PARTITION BY query_id ORDER BY dd, vec_id) AS rank FROM c WINDOW w AS (PARTITION BY query_id)) WHERE rank <= 10")
+def _(s, d):
+    return V.two_stage_batch(*_asked(s, d)).select("query_id", "vec_id", F.round("d", 4).alias("d"), F.round("score", 4).alias("score"), "rank")
+
+
 # -- time buckets ----------------------------------------------------------------------------------------------------------
 
 

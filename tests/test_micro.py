@@ -192,6 +192,28 @@ def test_search_with_the_defaults_of_the_query_finds_most(spark, sf):
     assert asked and found / (10 * len(asked)) >= 0.9
 
 
+def test_searches_take_all_ids_divisible_by_100(spark, data_dir):
+    from sparkcol.plans import registry
+
+    e = catalog.table(spark, data_dir, "embeddings")
+    asked = {r.vec_id: [float(x) for x in r.embedding] for r in e.where("vec_id % 100 = 0").collect()}
+    index, half = V.InvertedIndex().build(e), e.withColumn("embedding", V.to_half(F.col("embedding")))
+    pq = V.ProductQuantizer().fit(e)
+    codes = e.select("vec_id", pq.encode(F.col("embedding")).alias("codes"))
+    single = {
+        "vec_inverted_index": lambda q: index.search(q, 10),
+        "vec_fp16": lambda q: V.knn(half, q, 10),
+        "vec_product_quantizer": lambda q: codes.withColumn("distance", F.round(pq.asymmetric_distance(F.col("codes"), q), 12)).orderBy("distance", "vec_id").limit(10),
+        "vec_flat_index": lambda q: V.knn(e, q, 7),
+        "vec_two_stage": lambda q: V.two_stage(e, q),
+    }
+    for name, search in single.items():
+        rows = sorted(registry.queries()[f"{name}_batch"](spark, data_dir).collect(), key=lambda r: (r.query_id, r["rank"]))
+        assert {r.query_id for r in rows} == set(asked)
+        one = max(asked)
+        assert {r.vec_id for r in rows if r.query_id == one} == {r.vec_id for r in search(asked[one]).collect()}
+
+
 def test_product_quantizer_tables_agree_with_decoding(spark, data_dir):
     e = catalog.table(spark, data_dir, "embeddings").limit(50)
     pq = V.ProductQuantizer(8, 16).fit(e)
