@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -102,12 +104,36 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     """(query_id, vec_id, distance, rank) for a stated set of queries (vec_id, embedding) against all vectors.
 
     Queries are taken in blocks; for each block the vectors are read once and every batch of them is reduced to its k nearest
-    per query by one matrix product, so no pairs are made. The number of queries is checked.
+    per query by one matrix product, so no pairs are made. The driver reads the queries partition by partition and holds
+    ``most_queries`` of them at a time; while there are more, what is found for these is written before the next are taken.
     ``probes``: the lists that each query of a block looks into, of those in the column ``lists``.
     """
-    rows = queries.select(vec_id, embedding).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
+    left = iter(queries.select(vec_id, embedding).toLocalIterator())
+    rows, out = list(islice(left, most_queries)), None
+    while True:
+        found = _knn_blocks(vectors, rows, k, metric, vec_id, embedding, block, probes)
+        rows = list(islice(left, most_queries))
+        if not rows and out is None:
+            return found
+        found = _written(found)
+        out = found if out is None else out.union(found)
+        if not rows:
+            return _ranked(out.drop("rank"), k)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkcol-checkpoint-"))
+    return df.checkpoint()
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    window = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
+def _knn_blocks(vectors: DataFrame, rows: list, k: int, metric: str, vec_id: str, embedding: str, block: int, probes: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
     shape, out = "query_id long, vec_id long, distance double", None
     for i in range(0, max(1, len(rows)), block):
         part = rows[i : i + block]
@@ -140,8 +166,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str =
 
         found = vectors.select(vec_id, embedding, *(["lists"] if probes else [])).mapInPandas(nearest, shape)
         out = found if out is None else out.union(found)
-    window = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return out.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return _ranked(out, k)
 
 
 def to_half(v: Column) -> Column:

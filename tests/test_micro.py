@@ -214,6 +214,14 @@ def test_searches_take_all_ids_divisible_by_100(spark, data_dir):
         assert {r.vec_id for r in rows if r.query_id == one} == {r.vec_id for r in search(asked[one]).collect()}
 
 
+def test_more_queries_than_are_held_at_a_time(spark, data_dir):
+    e = catalog.table(spark, data_dir, "embeddings")
+    asked = e.where("vec_id % 50 = 0")
+    whole = sorted(map(tuple, V.knn_batch(e, asked, 5).collect()))
+    assert len(whole) == 5 * asked.count()
+    assert sorted(map(tuple, V.knn_batch(e, asked, 5, block=2, most_queries=3).collect())) == whole
+
+
 def test_product_quantizer_tables_agree_with_decoding(spark, data_dir):
     e = catalog.table(spark, data_dir, "embeddings").limit(50)
     pq = V.ProductQuantizer(8, 16).fit(e)
