@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -220,13 +221,60 @@ PARAGRAPH = "This paragraph, which is long, tells of a thing at length; it has m
         (f"<div id=text><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div>By a writer</div></div><div id=more><article><h3>Card</h3><p>See this</p></article><article><h3>Card</h3><p>See that</p></article></div>", f"{PARAGRAPH}{PARAGRAPH}By a writer"),
         (f"<article><p>{PARAGRAPH}</p></article><div id=on><p>{PARAGRAPH}</p></div>", f"{PARAGRAPH}{PARAGRAPH}".strip()),
         (f"<body><article><div><h1>Head</h1><p>{PARAGRAPH}</p><dl><dd>Note</dd></dl></div><div><table><tr><td>tiny</td></tr></table></div></article>", f"Head {PARAGRAPH}Note"),
-        (f"<article><p>{PARAGRAPH}</p><p><a href=x>A paragraph that is a link</a></p><ul><li><a href=y>menu</a></ul></article>", f"{PARAGRAPH}A paragraph that is a link"),
+        (f"<article><p>{PARAGRAPH}</p><p><a href=x>A paragraph that is a link</a></p><ul><li><a href=y>An item</a></ul></article>", f"{PARAGRAPH}A paragraph that is a link An item"),
+        (f"<article><p>{PARAGRAPH}</p><ul><li><a href=x>one</a><li><a href=y>two</a><li><a href=z>three</a></ul></article>", PARAGRAPH.strip()),
+        ("<p title=it's>Hello don't stop. More text.</p>", "Hello don't stop. More text."),
+        (f"<article><p>{PARAGRAPH}</p><h2 id='related-work'>Related work</h2><p>Other text, here.</p><section id='social-policy'><p>Policy.</p></section></article>", f"{PARAGRAPH}Related work Other text, here. Policy."),
+        (f"<head><title>The head - a site</title></head><body><header><h1>The head</h1><p>Tagline</p></header><div><p>{PARAGRAPH}</p></div>", f"The head {PARAGRAPH}".strip()),
+        (f"<form id=all><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>End.</p></div></form>", f"{PARAGRAPH}{PARAGRAPH}End."),
+        ("<p>x &am<b>p;</b> y</p>", "x &amp; y"),
+        ("<div class=ad>Only an advert, so.</div>", ""),
     ],
 )
 def test_paths_select_the_text_whatever_is_named_article(source, text):
     assert html_text.main_text(source) == text
 
 
+def plain_page(seed):
+    """A page whose tags and names tell nothing: a menu, a teaser, the article, a side list and a foot; and the article's text."""
+    rng = random.Random(seed)
+    words = "the of and thing words made river stone light over under house garden morning evening people often never always small large".split()
+
+    def sentence(low, high):
+        w = [rng.choice(words) for _ in range(rng.randrange(low, high))]
+        return " ".join([*w[:4], *([w[4] + ","] if len(w) > 8 else w[4:5]), *w[5:]]).capitalize() + "."
+
+    parts = [("h1", sentence(3, 7)[:-1])]
+    for _ in range(rng.randrange(2, 9)):
+        parts.append(("p", sentence(2, 4) if rng.random() < 0.15 else " ".join(sentence(6, 16) for _ in range(rng.randrange(2, 8)))))
+        if rng.random() < 0.2:
+            parts += rng.choice([[("h2", sentence(2, 5)[:-1])], [("li", sentence(3, 8))] * 3, [("blockquote", sentence(20, 40))]])
+    body = "".join(f"<{t}>{x}</{t}>" for t, x in parts)
+    menu = "<div><ul>" + "".join(f"<li><a href=/{i}>{rng.choice(words)}</a></li>" for i in range(rng.randrange(4, 10))) + "</ul></div>"
+    teaser, foot = f"<div>{sentence(4, 8)}</div>", f"<div>&copy; {sentence(3, 8)}</div>"
+    side = "<div>" + "".join(f"<div><a href=/{i}>{sentence(4, 8)}</a></div>" for i in range(5)) + "</div>"
+    source = rng.choice([f"<body>{menu}{teaser}<div>{body}</div>{side}{foot}", f"<body><div>{menu}{teaser}<div><div>{body}</div></div>{foot}</div>", f"<table><tr><td>{menu}<td>{body}<td>{side}</table>{foot}"])
+    return source, " ".join(x for _, x in parts)
+
+
+def test_the_ratios_choose_on_pages_that_tell_nothing(monkeypatch):
+    pages = [plain_page(seed) for seed in range(200)]
+    assert sum(html_text.main_text(source) == text for source, text in pages) >= 194
+    scores = html_text.path_scores
+    monkeypatch.setattr(html_text, "path_scores", lambda page, blocks: dict.fromkeys(scores(page, blocks), 1.0))
+    assert sum(html_text.main_text(source) == text for source, text in pages) <= 20
+
+
+def test_deep_and_long_pages():
+    deep = "".join(f"<div>t{i}" for i in range(100_000))
+    began = time.process_time()
+    assert len(html_text.main_text(deep)) == 688_889
+    assert html_text.main_text("<ul><li>" + "<div>" * 50_000 + "<li>x</li>" * 50_000).count("x") == 50_000
+    assert time.process_time() - began < 10
+    long = "A sentence, of some words, again. " * 300_000
+    assert html_text.main_text(f"<nav>menu</nav><p>{long}</p>") == long.strip()
+
+
 def test_html_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, None, None, "k"), (1, None, None, "k")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.report(df).collect()] == [(1, "", 0)] * 2
