@@ -14,14 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, a local master gets one of its own; a cluster raises."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkcol-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+        if not configured and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sparkcol-checkpoint-"))
+    return (configured or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -34,6 +34,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove what was written under ``path``, wherever that is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that no column of ``df`` has (names are compared without case, as Spark does)."""
     taken = {c.lower() for c in df.columns}

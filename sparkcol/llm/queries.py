@@ -26,7 +26,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select(F.col("row.doc_id").alias("doc_id"), "n_pieces", "n_removed", "text")
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_sentences", "n_removed", "text")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,19 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is cut at the ends of sentences and of their clauses (``. ! ? , ; :``, such marks of other scripts, and line ends). From
-each such piece on, the span of the next pieces is hashed: at least ``min_pieces`` of them, and as many as it takes to hold
-``min_words`` words, so that set phrases don't count. Where fewer pieces hold ``long_words`` words, these are hashed as a span
-too. In scripts without spaces each letter counts as a word. Spans meet over all documents by their hash; in the order of (doc_id, hash of the text,
-position) the first of equal spans stays, and the pieces that any other one covers are removed.
-
-Pieces are compared without case and with white space made single. Null and empty texts have no spans. A null id comes first.
-Rows that share both id and text count as one document and get the same result.
+A text is cut into sentences: at ``. ! ?``, such marks of other scripts, and line ends. A sentence of more than ``LONG`` words is
+cut further at its clause marks (``, ; :`` and their kin), and a clause that is still longer than twice that behind words that
+their own hash picks, so that the cuts of a copied passage are the same wherever it stands. From each sentence on, the
+span of the next ones is hashed: at least ``min_sentences`` of them, and as many as it takes to hold ``min_words`` words, so that
+set phrases don't count; and up to each sentence, the span of such a size that ends with it. Where fewer sentences hold ``long_words`` words, these are hashed as a span too; a text that is too short for
+any span is one span as a whole. In scripts without spaces each letter counts as a word.
+
+Spans meet over all documents by 128 bits of hash: they are put in one order by (hash, doc_id, hash of the text, position), in which
+equal spans are neighbours, however many tasks their row of neighbours crosses. The first of equal spans stays, and the
+sentences that any other one covers are removed.
+
+Sentences are compared without case and with white space made single. Null and empty texts, and those of white space, have no
+spans; an empty table gives an empty result. Ids may be of any type that has an order; a null id comes last. Rows that share both id
+and text count as one document and get the same result. One text with its spans is held in memory; nothing is cut off.
 """
 
 from __future__ import annotations
@@ -17,53 +23,100 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted, whole_row
 
-#: A sentence or clause with what ends it, or the rest of the text.
-MARKS = r".!?,;:\n。！？，；：、．｡､؟،؛۔।॥"
-PIECE = re.compile(rf"[^{MARKS}]*[{MARKS}]+\s*|[^{MARKS}]+\Z")
+#: Marks that end sentences, and those that end clauses.
+ENDS = ".!?…\n。！？｡؟۔।॥"
+CLAUSE_ENDS = ",;:，；：、､،؛"
+SENTENCE = re.compile(rf"[^{ENDS}]*[{ENDS}]+\s*|[^{ENDS}]+\Z")
+CLAUSE = re.compile(rf"[^{CLAUSE_ENDS}]*[{CLAUSE_ENDS}]+\s*|[^{CLAUSE_ENDS}]+\Z")
+SPACED_WORD = re.compile(r"\s*\S+\s*")
 #: Letters of scripts that put no spaces between words.
-UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff]")
+#: Words of a sentence beyond which it is cut at clause marks; twice as many make a clause be cut at picked words, one in so many.
+LONG, PICKED = 20, 8
+BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+INVERSES = np.array([pow(int(b), -1, 1 << 64) for b in BASES], np.uint64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
-def spans(text: str | None, min_pieces: int, min_words: int, long_words: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first piece, piece after the last) of the spans that begin with each piece, as far as they have enough words."""
-    words = [p.lower().split() for p in PIECE.findall(text or "")]
+def _length(words: list[str], spaced: bool) -> int:
+    return len(words) if spaced else sum(max(1, len(UNSPACED.findall(w))) for w in words)
+
+
+def sentences(text: str | None) -> tuple[list[str], list[list[str]], list[int]]:
+    """The sentences and parts of sentences of a text, which joined give the text; their words, lowered; their lengths."""
+    pieces, words, lengths = [], [], []
+    if not text:
+        return pieces, words, lengths
+    spaced = text.isascii() or not UNSPACED.search(text)
+
+    def add(piece: str, own: list[str], length: int) -> None:
+        pieces.append(piece)
+        words.append(own)
+        lengths.append(length)
+
+    for sentence in SENTENCE.findall(text):
+        own = sentence.lower().split()
+        length = _length(own, spaced)
+        if length <= LONG:
+            add(sentence, own, length)
+            continue
+        for clause in CLAUSE.findall(sentence):
+            own = clause.lower().split()
+            length = _length(own, spaced)
+            if length <= 2 * LONG:
+                add(clause, own, length)
+                continue
+            part: list[str] = []
+            for word in SPACED_WORD.findall(clause) or [clause]:
+                part.append(word)
+                if xxhash.xxh3_64_intdigest(word.strip().lower().encode("utf-8", "surrogatepass")) % PICKED == 0:
+                    add("".join(part), (own := "".join(part).lower().split()), _length(own, spaced))
+                    part = []
+            if part:
+                add("".join(part), (own := "".join(part).lower().split()), _length(own, spaced))
+    return pieces, words, lengths
+
+
+def spans(text: str | None, min_sentences: int = 2, min_words: int = 25, long_words: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, as two longs; first sentence; sentence after the last) of the spans of a text."""
+    _, words, lengths = sentences(text)
     n = len(words)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words), np.uint64, n)
-    if not text.isascii() and UNSPACED.search(text):
-        lengths = [sum(max(1, len(UNSPACED.findall(w))) for w in p) for p in words]
-    else:
-        lengths = list(map(len, words))
     ends = np.cumsum([0, *lengths])
+    if not n or not ends[-1]:
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    digests = b"".join([xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words])
+    hashes = np.frombuffer(digests, "<u8").reshape(n, 2)
     first = np.arange(n)
-    until = np.maximum(first + min_pieces, np.searchsorted(ends, ends[:-1] + min_words))
+    until = np.maximum(first + min_sentences, np.searchsorted(ends, ends[:-1] + min_words))
+    back = np.minimum(first + 1 - min_sentences, np.searchsorted(ends, ends[1:] - min_words, "right") - 1)
     few = np.searchsorted(ends, ends[:-1] + long_words)
-    short = np.flatnonzero((few <= n) & (few - first < min_pieces))
-    first = first[until <= n]
-    first, until = np.concatenate([first, short]), np.concatenate([until[: len(first)], few[short]])
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(BASE, n))])
-    found = (sums[until] - sums[first]) * _powers(INVERSE, n)[first]
+    kinds = ((first, until, until <= n), (back, first + 1, back >= 0), (first, few, (few <= n) & (few - first < min_sentences)))
+    both = np.unique(np.concatenate([a[ok] * (n + 1) + b[ok] for a, b, ok in kinds]))
+    first, until = both // (n + 1), both % (n + 1)
+    if not len(first):
+        first, until = np.zeros(1, np.int64), np.full(1, n)
+    found = np.empty((len(first), 2), np.uint64)
+    for half in (0, 1):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[:, half] * _powers(BASES[half], n))])
+        found[:, half] = (sums[until] - sums[first]) * _powers(INVERSES[half], n)[first]
     return found.view(np.int64), first.astype(np.int32), until.astype(np.int32)
 
 
-def without_pieces(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the pieces of the given spans, the number of its pieces, and of those removed."""
-    pieces = PIECE.findall(text)
+def without_sentences(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """The text without the sentences of the given spans, the number of its sentences, and of those removed."""
+    pieces = sentences(text)[0]
     gone = np.zeros(len(pieces) + 1, np.int64)
     for a, b in covered:
         gone[a] += 1
@@ -72,48 +125,105 @@ def without_pieces(text: str, covered: list[tuple[int, int]]) -> tuple[str, int,
     return "".join([p for p, s in zip(pieces, stay, strict=True) if s]).rstrip(), len(pieces), int((~stay).sum())
 
 
-def repeated_spans(docs: DataFrame, min_pieces: int = 3, min_words: int = 12) -> DataFrame:
-    """(_none, _id, _hash) of documents, and ``covered``: their spans that repeat an earlier one, as (a, b)."""
-    shape = "_none boolean, _id long, _hash int, a int, b int, span long"
+def _spans_of(docs: DataFrame, options: dict[str, int]) -> DataFrame:
+    """(h1, h2, _id, _key, a, b) of all spans."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            parts = [spans(t, min_pieces, min_words) for t in frame["_text"]]
-            sizes = [len(p[0]) for p in parts]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [spans(t, **options) for t in batch.column("_text").to_pylist()]
+            sizes = [len(p[1]) for p in parts]
             if sum(sizes):
                 h, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pd.DataFrame({**{c: np.repeat(frame[c].to_numpy(), sizes) for c in ("_none", "_id", "_hash")}, "a": a, "b": b, "span": h})
-
-    found = docs.select("_none", "_id", "_hash", "_text").mapInPandas(run, shape)
-    place = F.struct((~F.col("_none")).alias("n"), "_id", "_hash", "a")
-    # materialised, so that adaptive execution can split a span that very many documents hold
-    first = cut(found.groupBy("span").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first"))
-    later = found.join(first, "span").where(place != F.col("first"))
-    return later.groupBy("_none", "_id", "_hash").agg(F.collect_set(F.struct("a", "b")).alias("covered"))
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_pieces: int = 3, min_words: int = 12) -> DataFrame:
-    """All rows and columns of ``docs`` as a struct ``row``, with the cleaned ``text``, ``n_pieces`` and ``n_removed`` (long)."""
-    known = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(text).alias("_text"), F.col(doc_id).isNull().alias("_none"),
-        F.coalesce(F.col(doc_id), F.lit(0)).cast("long").alias("_id"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("_hash"),
-    )
-
-    @F.pandas_udf("text string, n_pieces long, n_removed long")
+                rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column("_id").take(rows), batch.column("_key").take(rows), pa.array(a), pa.array(b)], ["h1", "h2", "_id", "_key", "a", "b"]
+                )
+
+    return docs.select("_id", "_key", "_text").mapInArrow(run, f"h1 long, h2 long, _id {docs.schema['_id'].dataType.simpleString()}, _key long, a int, b int")
+
+
+#: What a row of ``_marked`` is: a span known not to be the first; a span of the first group of its task; the first span that a task has of its last group.
+LATER, LEADING, LAST = 0, 1, 2
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of spans in order, those that are not the first of their group, as far as one task can tell."""
+    groups, last = 0, None  # last: the first row, as a batch, of the group that the rows have reached
+
+    def put(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *rows.columns], ["kind", *rows.schema.names])
+
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        h1, h2, key, a = (batch.column(c).to_numpy() for c in ("h1", "h2", "_key", "a"))
+        new = np.ones(n, bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        known = [last.column(c)[0].as_py() for c in ("h1", "h2", "_key", "a")] if last else None
+        if known:
+            new[0] = known[0] != h1[0] or known[1] != h2[0]
+        start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        first_key, first_a = key[start], a[start]
+        if known:
+            first_key, first_a = np.where(start < 0, known[2], first_key), np.where(start < 0, known[3], first_a)
+        leading = np.cumsum(new) + groups <= 1
+        later = ~leading & ((key != first_key) | (a != first_a))
+        for mask, kind in ((later, LATER), (leading, LEADING)):
+            if mask.any():
+                yield put(batch.filter(pa.array(mask)), kind)
+        groups += int(new.sum())
+        if start[-1] >= 0:
+            last = batch.slice(start[-1], 1)
+    if last:
+        yield put(last, LAST)
+
+
+def repeated_spans(docs: DataFrame, **options: int) -> DataFrame:
+    """(_id, _key) of documents, and ``covered``: their spans that repeat an earlier one, as (a, b)."""
+    found = _spans_of(docs, options)
+    order = ["h1", "h2", F.col("_id").asc_nulls_last(), "_key", "a"]
+    # the order goes on within equal spans, so a span that very many documents hold is dealt over tasks like any others
+    ordered = found.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = cut(ordered.mapInArrow(_marked, "kind int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)))
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "a")
+    edges = marked.where(F.col("kind") != LATER).groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    # at most two groups for each task of the range exchange, so their number is bounded by a setting
+    crossing = marked.where(F.col("kind") == LEADING).join(F.broadcast(edges), ["h1", "h2"]).where(~(F.col("first._key").eqNullSafe(F.col("_key")) & (F.col("first.a") == F.col("a"))))
+    later = marked.where(F.col("kind") == LATER).select("_id", "_key", "a", "b").union(crossing.select("_id", "_key", "a", "b"))
+    return later.groupBy("_id", "_key").agg(F.collect_set(F.struct("a", "b")).alias("covered"))
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``row``, ``_text``, and what tells documents apart: ``_id`` and ``_key``, a hash of id and text."""
+    i, t = F.col(quoted(doc_id)), F.col(quoted(text))
+    key: Column = F.xxhash64(i.isNull(), F.coalesce(i.cast("string"), F.lit("")), t.isNull(), F.coalesce(t, F.lit("")))
+    return docs.select(whole_row(docs).alias("row"), t.alias("_text"), i.alias("_id"), key.alias("_key"))
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """All rows and columns of ``docs`` as a struct ``row``, with the cleaned ``text``, ``n_sentences`` and ``n_removed`` (long).
+
+    ``options``: min_sentences, min_words and long_words of a span.
+    """
+    known = _keyed(docs, doc_id, text)
+
+    @F.pandas_udf("text string, n_sentences long, n_removed long")
     def cleaned(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for series, covered in texts:
             rows = [
-                (t, len(PIECE.findall(t or "")), 0) if c is None else without_pieces(t, [(int(x["a"]), int(x["b"])) for x in c])
+                (t, len(sentences(t)[0]), 0) if c is None else without_sentences(t, [(int(x["a"]), int(x["b"])) for x in c])
                 for t, c in zip(series, covered, strict=True)
             ]
-            yield pd.DataFrame(rows, columns=["text", "n_pieces", "n_removed"])
+            yield pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
 
-    joined = known.drop("_text").join(repeated_spans(known, min_pieces, min_words), ["_none", "_id", "_hash"], "left")
+    covered = repeated_spans(known, **options).select(F.col("_id").alias("_other"), F.col("_key").alias("_other_key"), "covered")
+    joined = known.drop("_text").join(covered, F.col("_id").eqNullSafe(F.col("_other")) & (F.col("_key") == F.col("_other_key")), "left")
     once = cleaned.asNondeterministic()  # or a later filter on its result would run it again
     return joined.withColumn("_c", once(F.col("row")[text], "covered")).select("row", "_c.*")
 
 
-def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """``docs`` with the cleaned texts; documents of which nothing is left go. Other columns are untouched."""
     df = remove_repeats(docs, doc_id, text, **options)
     left = (F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)

@@ -34,7 +34,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def clashing(docs):
     names = ("kept", "fp", "found", "_row", "_text", "n_words", "shard", "component_id", "_id", "x", "score", "N_PIECES", "_place", "bpe", "covered", "_hash", "row")
-    return docs.withColumns({n: F.lit(f"extra {n}") for n in names})
+    return docs.withColumns({n: F.lit(f"extra {n}") for n in names}).withColumnRenamed("score", "a.dotted `name`")
 
 
 @pytest.fixture(scope="module")
@@ -325,20 +325,44 @@ def test_passages_go_but_the_first(clashing, nothing):
     assert substring_dedup.drop_repeats(nothing).count() == 0
 
 
-def test_long_passages_of_few_pieces_and_other_scripts_are_found(spark):
-    long = " ".join(f"word{i}" for i in range(60))
+def test_passages_of_any_script_and_shape_are_found(spark):
+    long = " ".join(f"word{i}" for i in range(60)) + "."
     two = " ".join(f"a{i}" for i in range(30)) + ". " + " ".join(f"b{i}" for i in range(30)) + "."
-    chinese = "".join(chr(0x4E00 + i) + ("，" if i % 9 == 8 else "") for i in range(60)) + "。"
+    chinese = "".join(chr(0x4E00 + i) + ("。" if i % 9 == 8 else "") for i in range(60)) + "。"
     hindi = "।".join(" ".join(chr(0x0905 + (7 * i + j) % 40) for j in range(8)) for i in range(5)) + "।"
-    texts = [long, two, chinese, hindi]
-    rows = [(2 * i + k, own + t) for i, t in enumerate(texts) for k, own in enumerate(("", "Not the same; "))]
+    arabic = "، ".join(" ".join(chr(0x0627 + (5 * i + j) % 20) * 3 for j in range(8)) for i in range(5)) + "؟"
+    tail = " ".join(f"c{i}" for i in range(20)) + ". " + " ".join(f"d{i}" for i in range(20)) + ". End of it all."
+    texts = [long, two, chinese, hindi, arabic, tail]
+    rows = [(2 * i + k, own + t) for i, t in enumerate(texts) for k, own in enumerate(("", "Not the same. "))]
     got = {r.row.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[2 * i] for i in range(4)] == texts
-    assert [got[2 * i + 1] for i in range(4)] == ["Not the same;"] * 4
+    assert [got[2 * i] for i in range(len(texts))] == texts
+    assert [got[2 * i + 1] for i in range(len(texts))] == ["Not the same."] * len(texts)
+
+
+def test_short_texts_that_are_equal_are_one(spark):
+    short = ["Only this one sentence.", "唯一的一句话。", "एक वाक्य।", "جملة واحدة؟"]
+    df = spark.createDataFrame([(f"{k}-{i}", t.upper() if k else t) for k in (0, 1) for i, t in enumerate(short)] + [("9", "Only this one other sentence.")], "doc_id string, text string")
+    got = {r.row.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == {**{f"0-{i}": 0 for i in range(4)}, **{f"1-{i}": 1 for i in range(4)}, "9": 0}
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 200])
+def test_a_span_that_most_documents_hold_crosses_tasks(spark, partitions):
+    shared = "This is the notice that stands below each of the texts, word for word. It has some thirty words in two sentences, so that it is found, and it goes on. "
+    df = spark.createDataFrame([(i, f"{shared}{i} is own." if i % 3 else f"{i} has none.") for i in range(3000)], "doc_id long, `a.b` string").withColumnRenamed("a.b", "text")
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.row.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    assert got == {i: 2 if i % 3 and i != 1 else 0 for i in range(3000)}
 
 
 def test_a_shared_passage_inside_other_text(spark):
-    shared = "here is what they share, word for word, without a change. it has two sentences, so it counts, and it goes on. "
+    shared = "here is what they share, word for word, without a change. it has two sentences, so it counts, and it goes on, for so many words that it is a passage. "
     df = spark.createDataFrame([(8, "own begin, of eight. " + shared + "own end of eight."), (3, "three starts so. " + shared + "three stops so.")], "doc_id long, text string")
     got = {r.row.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
     assert got[3].count("they share") == 1 and got[8] == "own begin, of eight. own end of eight."

@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from oracle import duck_rows, spark_rows
 
-from sparkcol.llm import queries, substring_dedup
+from sparkcol.llm import queries
 
 ORACLES = queries.oracle_sql()
 
@@ -37,29 +37,63 @@ def test_op2_is_the_article(spark, duck, data_dir):
         assert got[page_id].text == want and got[page_id].n_chars == len(want)
 
 
+def brute_sentences(text):
+    """Sentences by reading characters: a run of marks and the white space behind it ends one; long ones end at commas and the like."""
+
+    def cut(part, marks):
+        out, now, ended = [], "", 0  # ended: 1 inside marks, 2 in the white space behind them
+        for c in part:
+            if ended and not (c in marks and ended == 1) and not c.isspace():
+                out.append(now)
+                now, ended = "", 0
+            if c in marks:
+                if ended == 2:
+                    out.append(now)
+                    now = ""
+                ended = 1 if not (ended == 2 and c.isspace()) else ended
+            elif ended:
+                ended = 2
+            now += c
+        return out + [now] if now else out
+
+    for sentence in cut(text, ".!?\n"):
+        if len(sentence.split()) <= 20:
+            yield sentence
+            continue
+        for clause in cut(sentence, ",;:"):
+            part = ""
+            for word in re.findall(r"\s*\S+\s*", clause) if len(clause.split()) > 40 else [clause]:
+                part += word
+                if len(clause.split()) > 40 and xxhash.xxh3_64(word.strip().lower().encode()).intdigest() % 8 == 0:
+                    yield part
+                    part = ""
+            if part:
+                yield part
+
+
 def test_op4_equals_brute_force(spark, duck, data_dir):
-    seen, want = set(), {}
+    seen, want = {}, {}
     for doc_id, text, _ in documents(duck):
-        pieces = substring_dedup.PIECE.findall(text)
+        pieces = list(brute_sentences(text))
         assert "".join(pieces) == text
-        words = [tuple(p.lower().split()) for p in pieces]
-        gone, own = set(), []
+        words = [p.lower().split() for p in pieces]
+        runs = set()
         for k in range(len(words)):
-            e = n = 0
-            for e in range(k, len(words) + 1):
-                if e - k >= 3 and n >= 12:
-                    break
-                if e < len(words):
-                    n += len(words[e])
-            if e - k < 3 or n < 12:
-                continue
-            span = tuple(words[k:e])
-            if span in seen:
+            for least, at_least in ((2, 25), (1, 50)):
+                e = next((e for e in range(k + least, len(words) + 1) if sum(map(len, words[k:e])) >= at_least), None)
+                if e and (least == 2 or e - k < 2):
+                    runs.add((k, e))
+            k = next((j for j in range(k - 1, -1, -1) if sum(map(len, words[j : k + 1])) >= 25), None), k + 1
+            if k[0] is not None:
+                runs.add(k)
+        if not runs and any(words):
+            runs = {(0, len(words))}
+        gone = set()
+        for k, e in sorted(runs):
+            if seen.setdefault(tuple(map(tuple, words[k:e])), (doc_id, k)) != (doc_id, k):
                 gone.update(range(k, e))
-            else:
-                seen.add(span)
-        want[doc_id] = "".join(p for j, p in enumerate(pieces) if j not in gone).rstrip() if gone else text
-    assert {r.doc_id: r.text for r in queries.op4_substring_dedup(spark, data_dir).collect()} == want
+        want[doc_id] = ("".join(p for j, p in enumerate(pieces) if j not in gone).rstrip() if gone else text, len(pieces), len(gone))
+    assert {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in queries.op4_substring_dedup(spark, data_dir).collect()} == want
 
 
 def test_op5_equals_tiktoken(spark, duck, data_dir):
