@@ -32,6 +32,7 @@ FROM dw LEFT JOIN per ON dw.doc_id = per.doc_id
 """
 
 _NOISE = "#*$%&|<>!?=~^_"
+_PHRASES = " + ".join(f"contains(lower(x), '{p}')::INTEGER" for p in BOILERPLATE)
 _PROSE = PROSE.replace("'", "''")
 OP7 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') t, {WORDS} w FROM documents),
@@ -42,7 +43,7 @@ cov AS (SELECT doc_id, sum(least(5, coalesce(i - before, 5)))::BIGINT n_repeat_w
 good AS (SELECT *, list_filter(lines, lambda x: regexp_matches(x, '{_PROSE}')
     AND (length(x) - length({_without('x', _NOISE)})) * 100 <= 10 * length(x)
     AND (length(x) - length(replace(x, ' | ', '')) + length(x) - length(replace(x, ' > ', '')) + length(x) - length(replace(x, ' » ', '')) + length(x) - length(replace(x, ' · ', ''))) <= 6
-    AND NOT regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')) g FROM l),
+    AND ({_PHRASES}) * 80 < length(x)) g FROM l),
 m AS (SELECT good.doc_id, len(w)::BIGINT n_words, length(array_to_string(w, ''))::BIGINT word_chars, (length(t) - length({_without('t', '#*$%&|<>')}))::BIGINT n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT n_repeat_words,
     coalesce(length(array_to_string(lines, '')), 0)::BIGINT line_chars, coalesce(length(array_to_string(g, '')), 0)::BIGINT good_chars

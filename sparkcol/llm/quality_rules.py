@@ -5,7 +5,9 @@ removed; a document that loses too much of its text that way is rejected. Before
 the number of words and on repeated five-word windows apply to the whole text.
 
 Null text counts as a text without words: all counts are 0, it fails the base rules. Repeated rows
-are judged each on its own. Columns of the input other than the text are passed on untouched.
+are judged each on its own; an empty table gives an empty result. Columns of the input other than the text are passed on
+untouched. A text is held in memory as five arrays (words, their hashes, windows, lines, good lines), some ten times its size;
+nothing is cut off.
 """
 
 from __future__ import annotations
@@ -16,19 +18,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, words_on_white_space
+from .common import free_name, quoted, whole_row, words_on_white_space
 
 #: Characters that count as symbols. A fixed value of the contract.
 SYMBOLS = "#*$%&|<>"
 #: Marks that pile up in shouted or decorated lines.
 NOISE = SYMBOLS + "!?=~^_"
-#: A line of prose has a sentence that ends in it, or ends with such a mark itself.
-PROSE = r"[.!?…][\x22')\]”’»]*(?:[\x20\x09-\x0D]|\z)|[:;\x22')\]”’»][\x20\x09-\x0D]*\z"
+#: A line of prose has a sentence that ends in it, or ends with such a mark itself; marks of scripts that put no space behind them
+#: count anywhere, and scripts without such marks by a run of letters.
+PROSE = (
+    r"[.!?…][\x22')\]”’»]*(?:[\x20\x09-\x0D]|\z)|[。！？｡؟۔।॥។။།።։]|[:;\x22')\]”’»」』][\x20\x09-\x0D]*\z"
+    r"|[ก-ฺเ-๎ກ-ຽເ-ໝ]{12}"
+)
 HAS_WORD = r"[^\x20\x09-\x0D]"
 #: Phrases of licence, cookie, login and sharing lines, in lower case.
 BOILERPLATE = (
-    "all rights reserved", "copyright", "licensed under", "public license", "creative commons", "terms of use", "terms of service", "privacy policy", "cookie",
-    "javascript", "subscribe", "newsletter", "sign up", "log in", "login", "click here", "read more", "share this", "powered by", "lorem ipsum",
+    "all rights reserved", "licensed under", "public license", "terms of use", "terms of service", "privacy policy", "use cookies", "uses cookies", "accept cookies",
+    "cookie settings", "cookie policy", "enable javascript", "subscribe to our", "our newsletter", "sign up for", "log in to", "click here", "read more", "share this", "powered by", "lorem ipsum",
 )
 
 
@@ -40,14 +46,17 @@ class QualityLimits:
     max_noise_percent: int = 10
     #: Separators " | ", " > ", " » ", " · " in a line.
     max_separators: int = 2
+    #: Characters of a line that one phrase of boilerplate condemns: a longer line that mentions it stays.
+    phrase_reach: int = 80
     #: Characters in removed lines, per hundred characters in lines.
     max_lost_percent: int = 50
 
 
 def keyed_windows(hashes: Column, windows: Column) -> Column:
-    """(w, v, i) of each five-word window, sorted: two independent hashes, 64 and 32 bits, and the position.
+    """(w, v, i) of each five-word window, sorted: hashes of 64 and 32 bits, both of the words' own 64-bit hashes, and the position.
 
-    Equality of windows rests on these 96 bits; equal windows are neighbours.
+    Windows whose words differ in their 64-bit hashes are taken for equal only if both hashes of the window meet; equal windows are
+    neighbours.
     """
     return F.array_sort(
         F.transform(windows, lambda w, i: F.struct(w.alias("w"), F.hash(*[F.get(hashes, i + k) for k in range(5)]).alias("v"), i.alias("i")))
@@ -67,11 +76,12 @@ def line_passes(line: Column, limits: QualityLimits, lowered: Column | None = No
     separators = sum(
         ((F.length(line) - F.length(F.replace(line, F.lit(s), F.lit("")))) / 3 for s in (" | ", " > ", " » ", " · ")), F.lit(0)
     )
+    phrases = reduce(lambda a, b: a + b, [F.contains(low, F.lit(x)).cast("int") for x in BOILERPLATE])
     return (
         line.rlike(PROSE)
         & (noise * 100 <= limits.max_noise_percent * F.length(line))
         & (separators <= limits.max_separators)
-        & ~reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
+        & (phrases * limits.phrase_reach < F.length(line))
     )
 
 
@@ -80,7 +90,7 @@ def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLi
     cleaned_text (the text without the lines that fail), lost_chars, line_chars (long). These replace input columns of
     the same names."""
     t, w, h, win, keyed, at, lines, low, good = (free_name(docs, f"_q_{x}") for x in ("text", "words", "hashes", "windows", "keyed", "at", "lines", "low", "good"))
-    df = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    df = docs.withColumn(t, F.coalesce(F.col(quoted(text)), F.lit("")))
     df = df.withColumn(w, words_on_white_space(F.col(t)))
     df = df.withColumn(low, F.split(F.lower(F.col(t)), "\n"))
     df = df.withColumn(lines, F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(HAS_WORD)))
@@ -133,7 +143,7 @@ def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLi
 
 def keep_good(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLimits()) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns and the texts they came with, whatever their names."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    packed = docs.select(whole_row(docs).alias("_row"), F.col(quoted(text)).alias("_text"))
     # the row number keeps the filter above the projections: pushed down, it would repeat all of their work
     judged = judge(packed, "_text", limits).withColumn("_place", F.monotonically_increasing_id())
     return judged.where(F.col("kept") & (F.col("_place") >= 0)).select("_row.*")

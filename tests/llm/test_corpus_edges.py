@@ -78,11 +78,21 @@ def test_repeated_windows_are_counted_once_each(spark):
 
 def test_line_rules(spark):
     good = "This line ends as a sentence should, with a mark."
-    for line, passes in ((good, True), ("Home | News | Sport | Weather | More.", False), ("All rights reserved.", False), ("WOW!!! BUY!!! NOW!!! OK!!!", False), ("no mark at its end", False), ('She said "no."', True), ("It ended. Then the line went on", True)):
+    for line, passes in ((good, True), ("Home | News | Sport | Weather | More.", False), ("All rights reserved.", False), ("WOW!!! BUY!!! NOW!!! OK!!!", False), ("no mark at its end", False), ('She said "no."', True), ("It ended. Then the line went on", True),
+        ("We use cookies, so click here.", False), ("In a long report on the web, the paper found that most of the sites that people visit use cookies to follow them.", True),
+        ("She baked two dozen cookies for the fair on Sunday.", True), ("यह एक साफ वाक्य है।", True), ("这是一个干净的句子。然后是下一个", True), ("هل هذه جملة نظيفة؟", True), ("นี่เป็นประโยคที่สะอาดและยาวพอ", True), ("कोई चिह्न नहीं", False)):
         df = spark.createDataFrame([(line,)], "line string")
         assert df.select(quality_rules.line_passes(F.col("line"), quality_rules.QualityLimits())).first()[0] is passes, line
 
 
+def test_clean_texts_of_other_scripts_are_kept(spark):
+    hindi = "यह एक साफ और लंबा पाठ है जिसमें बहुत से शब्द हैं। इसके वाक्य दंड से समाप्त होते हैं और यह कई बातें बताता है।"
+    arabic = "هذا نص نظيف وطويل فيه كلمات كثيرة جدا عن أشياء مختلفة؟ نعم هو كذلك وينتهي بعلامة۔"
+    chinese = "这 是 一个 干净 的 文本 它 有 很多 词 而且 以 句号 结束。"
+    df = spark.createDataFrame([(1, hindi), (2, arabic), (3, chinese)], "doc_id long, text string")
+    assert {(r.doc_id, r.base_failed, r.kept, r.lost_chars) for r in quality_rules.judge(df).collect()} == {(i, False, True, 0) for i in (1, 2, 3)}
+
+
 # -- sharding
 
 
