@@ -4,23 +4,26 @@ Words are maximal runs of digits, letters a-z (A-Z lowered) and bytes beyond ASC
 an item; an item of fewer words, but not none, is one window. Window hashes of a batch of texts are computed at once from
 prefix sums of a polynomial, looked up in a bitmap and a sorted array, and hits are verified byte for byte.
 
-The benchmark is read in blocks of bounded size, as many as it takes; each block is broadcast and all documents are
-scanned against it, what earlier blocks found being carried along. A usual benchmark is one block.
+The benchmark is read in blocks of bounded size, as many as it takes; each block is broadcast and all texts are
+scanned against it. A usual benchmark is one block. Of several, only what is found is kept, by a hash of the text, and joined to the
+documents at the end; texts are read again for each block, never written.
 
 Null texts and texts without words have no hits. Items without text or words have no window; an item whose id is null
-hits words but isn't counted. Repeated item ids count once. Memory is some forty bytes for each byte of a batch of texts.
+hits words but isn't counted. Repeated item ids count once; equal documents get equal results. An empty table of documents gives an
+empty result, an empty benchmark no hits. Memory is some forty bytes for each byte of a batch of texts (2 MB, or one longer text).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted, whole_row
 
 #: How bytes count in words: lowered, or a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -87,8 +90,8 @@ class Index:
             self.sizes[size] = first[order], hashes[order], bitmap
 
     def plain(self) -> tuple:
-        """What a broadcast can carry to workers that don't have this package."""
-        return self.ids, vars(self.words), self.sizes
+        """What a broadcast can carry to workers that don't have this package: without the sums, which only hashing needs."""
+        return self.ids, vars(self.words) | {"sums": None, "undo": None}, self.sizes
 
     @classmethod
     def of(cls, plain: tuple) -> Index:
@@ -137,13 +140,13 @@ FOUND = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 def _scan(index) -> Column:
     @F.pandas_udf(FOUND)
-    def scan(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Index.of(index.value)
-        for series, spans, items in frames:
+        for series in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in series]
             n_words = np.zeros(len(texts), np.int64)
-            found = [{(int(x["a"]), int(x["b"])) for x in s} for s in spans]
-            named = [set(x) for x in items]
+            found: list[set[tuple[int, int]]] = [set() for _ in texts]
+            named: list[set[str]] = [set() for _ in texts]
             for lo, hi in _batches(texts):
                 words = Words(texts[lo:hi])
                 n_words[lo:hi] = np.bincount(words.text_of, minlength=hi - lo)
@@ -159,21 +162,38 @@ def _scan(index) -> Column:
     return scan.asNondeterministic()  # or a later filter on its result would run it again
 
 
+def _merged(spans: Column) -> Column:
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": a, "b": b} for a, b in _merge([(int(x["a"]), int(x["b"])) for x in one])] for one in lists], dtype=object)
+
+    return run(spans)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 8, block_bytes: int = 8 << 20, out: str = "found") -> DataFrame:
     """``docs`` with ``out``: n_words, spans of hit words (by number, merged) and the sorted ids of the items found."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
+    items = benchmark.select(F.col(quoted(item_id)).cast("string").alias("id"), F.col(quoted(item_text)).alias("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    empty = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    df = docs.withColumn(out, empty)
-    for block in range(n_blocks):
+    t = F.col(quoted(text))
+
+    def scan(block: int) -> Column:
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], n).plain())
-        df = df.withColumn(out, _scan(index)(F.col(text), F.col(out)["spans"], F.col(out)["items"]))
-        if block + 1 < n_blocks:
-            df = cut(df)
-    return df
+        return _scan(spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], n).plain()))(t)
+
+    if n_blocks == 1:
+        return docs.withColumn(out, scan(0))
+    key = [F.xxhash64(t).alias("_t1"), F.xxhash64(F.lit(n), t).alias("_t2")]
+    parts = [docs.select(*key, F.lit(block).alias("_block"), scan(block).alias("f")) for block in range(n_blocks)]
+    hits = reduce(DataFrame.union, [p.where((F.size("f.spans") > 0) | (F.col("_block") == 0)) for p in parts])
+    each = hits.groupBy("_t1", "_t2", "_block").agg(F.first("f").alias("f"))  # copies of a text found the same
+    found = each.groupBy("_t1", "_t2").agg(F.max("f.n_words").alias("n_words"), F.flatten(F.collect_list("f.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f.items")))).alias("items"))
+    # written, so that the documents that share one text can be split in the join
+    found = cut(found.select("_t1", "_t2", F.struct("n_words", _merged(F.col("spans")).alias("spans"), "items").alias("_found")))
+    packed = docs.select(whole_row(docs).alias("_row"), *key).join(found, ["_t1", "_t2"], "left")
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() != out.lower()]
+    return packed.select(*kept, F.col("_found").alias(out))
 
 
 def n_hit(found: Column) -> Column:
@@ -205,7 +225,7 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "spans", text: str = "text", n: int = 8, min_items: int = 2, **options) -> DataFrame:
     """``docs`` without the words hit (``what="spans"``; a document of which no word is left goes) or without the documents
     that hold at least ``min_items`` items (``what="documents"``). All columns keep their names; others are untouched."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    packed = docs.select(whole_row(docs).alias("_row"), F.col(quoted(text)).alias("_text"))
     df = find(packed, benchmark, "_text", n=n, out="_found", **options)
     if what == "documents":
         return df.where(F.size(F.col("_found")["items"]) < min_items).select("_row.*")

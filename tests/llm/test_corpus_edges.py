@@ -526,3 +526,49 @@ def test_near_copies_go_and_others_stay(spark):
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base))] + [(i, " ".join(rng.choice(words) for _ in range(400))) for i in range(10, 60)]
     kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {1} | set(range(10, 60))
+
+
+def test_links_of_two_fingerprints_are_between_pairs(spark):
+    prints = [(0, 0), (0, 2**30 - 1), (1, 2**30 - 1), (1, -1)]
+    links = simhash.link(spark.createDataFrame(prints, "fp long, fp2 long"), max_bits=26, second="fp2")
+    roots = {tuple(r.node): tuple(r.root) for r in components.components(links).collect()}
+    assert roots == {(0, 2**30 - 1): (0, 2**30 - 1), (1, 2**30 - 1): (0, 2**30 - 1)}
+
+
+def test_most_texts_of_similarity_08_are_linked(spark):
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lnrst"]
+    rows, like = [], []
+    for k in range(600):
+        base = [rng.choice(words) for _ in range(rng.randrange(150, 500))]
+        near = list(base)
+        for i in rng.sample(range(len(base)), rng.randrange(1, max(2, len(base) // 45))):
+            near[i] = "changed"
+        a, b = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, near))
+        if len(a & b) / len(a | b) >= 0.8:
+            like.append(k)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(like) > 300 and sum(2 * k + 1 not in kept for k in like) >= 0.9 * len(like)
+    assert all(2 * k in kept for k in range(600))
+
+
+def test_comparisons_of_distinct_fingerprints_grow_slowly():
+    rng = np.random.default_rng(4)
+    work = {}
+    for n in (1 << 14, 1 << 18):
+        fp, fp2 = rng.integers(0, 1 << 63, (2, n), np.uint64) * np.uint64(2) + rng.integers(0, 2, (2, n), np.uint64)
+        masks = simhash.sampled_keys(n)
+        pairs = sum(int((c * (c - 1) // 2).sum()) for m, m2 in masks for c in [np.unique((fp & np.uint64(m)) * np.uint64(0x9E3779B97F4A7C15) ^ (fp2 & np.uint64(m2)), return_counts=True)[1].astype(np.int64)])
+        work[n] = n * len(masks), pairs
+    (rows, pairs), (more_rows, more_pairs) = work.values()
+    assert more_pairs <= simhash.PER_KEY * more_rows
+    assert math.log(more_rows / rows, 16) < 1.3 and math.log(more_pairs / pairs, 16) < 1.35  # sixteen times as many fingerprints
+
+
+def test_ids_of_other_types(spark):
+    text = PROSE + "A third one ends the text, at last."
+    df = spark.createDataFrame([("b", text), ("a", text), (None, text), ("c", "Another text that is not like it, with words of its own, all of them.")], "doc_id string, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == ["a", "c"]
+    assert {r.component_id for r in simhash.near_duplicates(df).collect()} == {"a", "c"}
+    assert {r.doc_id: r.n_removed > 0 for r in substring_dedup.remove_repeats(df).select("row.doc_id", "n_removed").collect()} == {"a": False, "b": True, "c": False, None: True}
