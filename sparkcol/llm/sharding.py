@@ -4,7 +4,8 @@ Rows are ordered by a key. A splitter is a key; shard ``s`` begins at the first
 ``s / n`` of all bytes. Splitters are found by counting: each pass counts the exact rows and bytes between candidate
 keys over all partitions, and places the next candidates inside the interval that holds each splitter, until every
 splitter is within the tolerance (0 bytes: exact). Then rows are exchanged once, to buckets that the candidates found on
-the way delimit, and numbered inside them.
+the way delimit, and numbered inside them. A bucket of more rows than a task should have is dealt further by equal steps of
+the key, or of the position where it holds a single key; the exact counts of these steps number their rows.
 
 The order is (key, position in the materialised input), so a key that a third of the rows share is split like any
 other range. A null key sorts first. Rows that repeat keep their own places. The only data on the driver are the
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted
 
 #: Where a null key sorts.
 NULL_KEY = -(2**63) + 1
@@ -109,15 +110,16 @@ def find_splitters(rows: DataFrame, key: str, place: str, size: str, targets: di
     return found, [known[k] for k in sorted(known)]
 
 
-def histogram_sort(rows: DataFrame, key: str, size: str, n_shards: int = 16, tolerance: int = 0, buckets_per_shard: int = 8) -> DataFrame:
-    """``rows`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard, in the order of the key).
+def histogram_sort(rows: DataFrame, key: str, size: str, n_shards: int = 16, tolerance: int = 0, buckets_per_shard: int = 8, task_rows: int = 1 << 20) -> DataFrame:
+    """``rows`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard, in the order of the key); these replace
+    input columns of the same names.
 
     ``key`` must be integral and within 63 bits; ``size`` a long column of positive sizes. ``rows`` should be narrow
-    (identifiers and sizes): it is written to the shared folder once, and each pass reads it.
-    An empty input gives an empty result.
+    (identifiers and sizes): it is written to the shared folder once, and each pass reads it. ``task_rows``: rows that one task
+    should number. An empty input gives an empty result.
     """
-    k, p, b, off = "_hs_key", "_hs_place", "_hs_bucket", "_hs_offset"
-    base = cut(rows.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), p: F.monotonically_increasing_id()}))
+    k, p, b, off, sub = "_hs_key", "_hs_place", "_hs_bucket", "_hs_offset", "_hs_step"
+    base = cut(rows.withColumns({k: F.coalesce(F.col(quoted(key)).cast("long"), F.lit(NULL_KEY)), p: F.monotonically_increasing_id()}))
     total = base.agg(F.sum(size)).first()[0] or 0
     bounds = [-(-total * s // n_shards) for s in range(1, n_shards)]
     targets = {t: tolerance for t in bounds}
@@ -131,21 +133,44 @@ def histogram_sort(rows: DataFrame, key: str, size: str, n_shards: int = 16, tol
     starts = [found[t] for t in bounds]
     chosen = sorted({x.at: x for x in found.values() if known[0].at < x.at < known[-1].at}.values(), key=lambda x: x.at)
     lows = [known[0], *chosen]
+    highs = [*chosen, known[-1]]
     shard_of = [sum(s.at <= x.at for s in starts) for x in lows]
     base_rows = [0, *(s.rows for s in starts)]
-    lookup = F.array(*[F.lit(x) for x in shard_of])
-    offsets = F.array(*[F.lit(x.rows - base_rows[s]).cast("long") for x, s in zip(lows, shard_of, strict=True)])
-    out = base.withColumn(b, _interval(k, p, [x.at for x in chosen])).repartition(b)
-    window = Window.partitionBy(b).orderBy(k, p)
-    out = out.withColumn(off, F.row_number().over(window).cast("long") - 1)
-    return out.withColumns({"shard": F.get(lookup, F.col(b)).cast("int"), "slot": F.get(offsets, F.col(b)) + F.col(off)}).drop(k, p, b, off)
+    at = lambda values, kind: F.get(F.array(*[F.lit(x).cast(kind) for x in values]), F.col(b))
+    steps = [max(1, -(-(hi.rows - lo.rows) // task_rows)) for lo, hi in zip(lows, highs, strict=True)]
+    out = base.withColumn(b, _interval(k, p, [x.at for x in chosen]))
+    before = F.lit(0).cast("long")
+    if max(steps) > 1:
+        last_place = base.agg(F.max(p)).first()[0]
+        by_key = [hi.at[0] - lo.at[0] > 1 for lo, hi in zip(lows, highs, strict=True)]
+        key_step = [(hi.at[0] + 1 - lo.at[0]) / n for lo, hi, n in zip(lows, highs, steps, strict=True)]
+        ends = [hi.at[1] if hi.at[0] == lo.at[0] else last_place + 1 for lo, hi in zip(lows, highs, strict=True)]
+        place_step = [(end - lo.at[1]) / n for lo, end, n in zip(lows, ends, steps, strict=True)]
+        # doubles round, but keep the order; keys are subtracted as doubles, for they may be far apart
+        low_key = at([x.at[0] for x in lows], "double")
+        of_key = F.floor((F.col(k).cast("double") - low_key) / at(key_step, "double"))
+        # an interval without keys between its ends holds one key, or the end of one and the beginning of the next
+        of_place = F.when(F.col(k) > at([x.at[0] for x in lows], "long"), at(steps, "long") + F.floor(F.col(p).cast("double") * at(steps, "long") / F.lit(last_place + 1.0))).otherwise(
+            F.floor((F.col(p) - at([x.at[1] for x in lows], "long")) / at(place_step, "double"))
+        )
+        out = out.withColumn(sub, F.when(at(by_key, "boolean"), of_key).otherwise(of_place).cast("long"))
+        ordered = Window.partitionBy(b).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
+        counts = out.groupBy(b, sub).agg(F.count("*").alias("_n")).withColumn(off, F.coalesce(F.sum("_n").over(ordered), F.lit(0).cast("long"))).drop("_n")
+        out = out.join(counts, [b, sub])
+        before = F.col(off)
+    else:
+        out = out.withColumn(sub, F.lit(0)).repartition(b)
+    window = Window.partitionBy(b, sub).orderBy(k, p)
+    place = before + F.row_number().over(window).cast("long") - 1
+    out = out.withColumn("slot", at([x.rows - base_rows[s] for x, s in zip(lows, shard_of, strict=True)], "long") + place)
+    return out.withColumn("shard", at(shard_of, "int")).drop(k, p, b, off, sub).select(*[quoted(c) for c in [*[c for c in rows.columns if c not in ("shard", "slot")], "shard", "slot"]])
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text plus 1; null text: 1) and text_crc32 (null: that of the empty text)."""
-    filled = F.coalesce(F.col(text), F.lit(""))
+    filled = F.coalesce(F.col(quoted(text)), F.lit(""))
     return docs.select(
-        F.col(doc_id).alias("doc_id"), (F.octet_length(filled).cast("long") + 1).alias("size"), F.crc32(filled.cast("binary")).alias("text_crc32")
+        F.col(quoted(doc_id)).alias("doc_id"), (F.octet_length(filled).cast("long") + 1).alias("size"), F.crc32(filled.cast("binary")).alias("text_crc32")
     )
 
 

@@ -7,7 +7,9 @@ candidate: its header gives the offset of its successor, and pointer jumping fro
 candidates that are reachable from there. Rows that are not reachable are parts of the payload of the reachable one
 before them.
 
-Payloads are texts in UTF-8. A null payload is empty. Repeated ids are written as records of their own.
+Payloads are texts in UTF-8. A null payload is empty. Repeated ids are written as records of their own; ids may be of any type that
+has a text form, null among them. An empty table makes archives without records, and an empty result. A record is held in memory as a
+whole, a payload of up to 2 GB; nothing is cut off. A payload that doesn't have the digest its record states raises an error.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import cut, delete_path, fresh_path, quoted
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -38,7 +40,7 @@ def describe(pages: DataFrame, page_id: str = "page_id", url: str = "url", paylo
     Of the rows with an equal payload of at least ``min_revisit_bytes`` the one with the smallest id is the response
     (all rows with that id, should it repeat; a null id only if no row of the group has one); the others revisit it.
     """
-    p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
+    p = pages.select(F.col(quoted(page_id)).alias("page_id"), F.col(quoted(url)).alias("url"), F.coalesce(F.col(quoted(payload)), F.lit("")).alias("payload"))
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload").cast("binary"))})
     groups = (
         p.where(F.col("payload_bytes") >= min_revisit_bytes)
@@ -62,15 +64,25 @@ def _one_line(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\r\n]+", " ")
 
 
+def _urn(page_id: Column) -> Column:
+    """The name of a page in a header; of a null id, one without an id."""
+    return F.concat(F.lit("<urn:page"), F.coalesce(F.concat(F.lit(":"), F.url_encode(page_id.cast("string"))), F.lit("")), F.lit(">"))
+
+
+def _id_of(urn: Column, id_type: str) -> Column:
+    """The id in such a name; null without one, or if it is none of the type."""
+    return F.when(urn.startswith("<urn:page:"), F.url_decode(F.regexp_extract(urn, r"<urn:page:([^>]*)>", 1))).try_cast(id_type)
+
+
 def write_archives(described: DataFrame, path: str, max_records_per_file: int = 20_000) -> None:
     """One record per row of what ``describe`` returns. A revisit has an empty payload and names the record it repeats."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.when(F.col("record_type") == "response", F.col("payload")).otherwise(""))
     header = F.concat(
         F.lit(MAGIC + "WARC-Type: "), F.col("record_type"),
         F.lit("\r\nWARC-Target-URI: "), _one_line(F.col("url")),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), _one_line(F.col("page_id")),
-        F.lit(">\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
-        F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
+        F.lit("\r\nWARC-Record-ID: "), _urn(F.col("page_id")),
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
+        F.when(F.col("record_type") == "revisit", F.concat(F.lit("\r\nWARC-Refers-To: "), _urn(F.col("refers_to")))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("block").cast("string"),
     )
     lines = described.withColumn("block", http).select(F.concat(header, F.lit(END), F.col("block")).alias("value"))
@@ -90,7 +102,7 @@ def header_field(header: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(header, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
-def parse(value: Column) -> dict[str, Column]:
+def parse(value: Column, id_type: str = "long") -> dict[str, Column]:
     """Fields of a record from what follows its magic; step is the distance from the magic to the record's successor,
     null without a valid header. payload_bytes and payload_digest are of the payload as it stands in ``value``."""
     head = F.substring_index(value, END, 1)
@@ -100,13 +112,12 @@ def parse(value: Column) -> dict[str, Column]:
     block = F.substring(value.cast("binary"), start + 1, F.when(valid, length.cast("long")).cast("int"))
     http = F.octet_length(F.substring_index(block.cast("string"), END, 1)) + len(END)
     payload = F.substring(block, http + 1, F.lit(2**31 - 1))
-    urn = lambda name: F.regexp_extract(header_field(head, name), r"<urn:page:(-?\d+)>", 1)
     return {
         "step": F.when(valid, start.cast("long") + len(MAGIC) + len(END) + length.cast("long")),
         "record_type": header_field(head, "WARC-Type"),
         "url": header_field(head, "WARC-Target-URI"),
-        "page_id": F.nullif(urn("WARC-Record-ID"), F.lit("")).cast("long"),
-        "refers_to": F.nullif(urn("WARC-Refers-To"), F.lit("")).cast("long"),
+        "page_id": _id_of(header_field(head, "WARC-Record-ID"), id_type),
+        "refers_to": _id_of(header_field(head, "WARC-Refers-To"), id_type),
         "stated_digest": F.regexp_extract(header_field(head, "WARC-Payload-Digest"), "sha1:(.*)", 1),
         "payload": payload,
     }
@@ -142,14 +153,14 @@ def reachable(edges: DataFrame) -> DataFrame:
     return e.join(reached, ["file", "_run"]).where("offset >= _in").drop("_run", "_in")
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = False, id_type: str = "long") -> DataFrame:
     """The verified records under ``path``: file, offset, record_type, page_id, url, refers_to, stated_digest, and payload_bytes
     and payload_digest of the payload as read; with ``payloads`` the payload itself (binary) too.
 
-    Magic inside payloads starts no record. A record that its file cuts short is left out.
+    Magic inside payloads starts no record. A record that its file cuts short is left out. Ids that aren't of ``id_type`` are null.
     """
     found = candidates(spark, path)
-    fields = parse(F.col("value"))
+    fields = parse(F.col("value"), id_type)
     rows = found.select("file", "block", "place", (F.octet_length("value").cast("long") + len(MAGIC)).alias("size"), *[c.alias(k) for k, c in fields.items()])
     if not payloads:
         rows = _digested(rows)
@@ -179,15 +190,24 @@ def _digested(rows: DataFrame) -> DataFrame:
 
 def pages_through_archives(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to archives, read these back, and return a row per record: page_id, payload_bytes, payload_digest (both of
-    the full payload, for a revisit that of the record it refers to), record_type and refers_to."""
+    the full payload, for a revisit that of the record it refers to), record_type and refers_to.
+
+    Archives stay where ``path`` says; without one they are put into the shared folder and deleted once they are read.
+    """
     spark = pages.sparkSession
-    path = path or fresh_path(spark, "warc")
-    write_archives(describe(pages, min_revisit_bytes=min_revisit_bytes), path)
-    read = read_archives(spark, path)
-    own = read.where("record_type = 'response'")
-    of = cut(own.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("stated_digest"), F.col("payload_bytes").alias("_bytes")).distinct())
+    place = path or fresh_path(spark, "warc")
+    write_archives(describe(pages, min_revisit_bytes=min_revisit_bytes), place)
+    read = read_archives(spark, place, id_type=pages.schema["page_id"].dataType.simpleString())
+    sound = F.when(F.col("payload_digest") == F.col("stated_digest"), F.col("payload_digest"))
+    corrupt = F.raise_error(F.concat(F.lit("payload without its stated digest: record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    own = read.where("record_type = 'response'").withColumn("payload_digest", F.coalesce(sound, corrupt.cast("string")))
+    of = cut(own.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct())
     again = read.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "stated_digest")
-    again = again.join(of, (F.col("refers_to") == F.col("_id")) & (again["stated_digest"] == of["stated_digest"])).select(
-        "page_id", F.col("_bytes").alias("payload_bytes"), of["stated_digest"].alias("payload_digest"), "record_type", "refers_to"
+    again = again.join(of, F.col("refers_to").eqNullSafe(F.col("_id")) & (F.col("stated_digest") == F.col("_digest"))).select(
+        "page_id", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", "refers_to"
     )
-    return own.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(again)
+    out = own.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(again)
+    if path is None:
+        out = cut(out)
+        delete_path(spark, place)
+    return out

@@ -105,6 +105,8 @@ def check_shards(rows, n=16):
     total = sum(r["size"] for r in rows)
     order = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
     below = 0
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in order]
+    assert keys == sorted(keys)
     for r in order:
         assert r["shard"] == n * below // total
         below += r["size"]
@@ -129,6 +131,15 @@ def test_splitters_are_exact(spark, case):
     texts = ["x" * (i % 50 if case != "steep sizes" else int(1.002**i)) for i in range(n)]
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(5)
     check_shards(placed(df, 7, buckets_per_shard=4), 7)
+    check_shards(placed(df, 7, buckets_per_shard=4, task_rows=20), 7)
+
+
+def test_a_bucket_is_dealt_over_tasks(spark):
+    df = spark.range(0, 4000, 1, 4).select(F.expr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END").alias("doc_id"), F.lit("x").alias("text"))
+    rows = sharding.histogram_sort(sharding.digest(df), "doc_id", "size", 2, buckets_per_shard=2, task_rows=50)
+    check_shards(rows.collect(), 2)
+    plan = rows._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "Python" not in plan
 
 
 def test_tolerance_is_met(spark):
@@ -199,6 +210,35 @@ def test_pages_that_are_odd(spark, tmp_path):
     assert warc.pages_through_archives(pages(spark, []), str(tmp_path / "e")).count() == 0
 
 
+def test_ids_of_any_type_come_back(spark, tmp_path):
+    rows = [("a b>c", "u", "one"), ("%41é", None, "two"), ("", "w", "one"), (None, "x", "only")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.pages_through_archives(df, str(tmp_path / "w")).collect()}
+    assert got == {("a b>c", "revisit", ""), ("%41é", "response", None), ("", "response", None), (None, "response", None)}
+
+
+def test_a_corrupt_payload_raises(spark, tmp_path):
+    path = tmp_path / "w"
+    warc.write_archives(warc.describe(pages(spark, [(1, "u", "payload one")])).withColumn("payload_digest", F.lit("WRONG")), str(path))
+    with pytest.raises(Exception, match="stated digest"):
+        own = warc.write_archives
+        try:
+            warc.write_archives = lambda *a: None
+            warc.pages_through_archives(pages(spark, [(1, "u", "payload one")]), str(path)).collect()
+        finally:
+            warc.write_archives = own
+
+
+def test_very_long_records(spark, tmp_path):
+    import hashlib
+
+    long = "é magic WARC/1.1\r\n and more " * 400_000
+    r = warc.pages_through_archives(pages(spark, [(1, "u", long)]), str(tmp_path / "w")).first()
+    assert r.payload_bytes == len(long.encode()) and len(r.payload_digest) == 32
+    payload = warc.read_archives(spark, str(tmp_path / "w"), payloads=True).first().payload
+    assert hashlib.sha1(payload).digest() == hashlib.sha1(long.encode()).digest()
+
+
 # -- HTML
 
 
