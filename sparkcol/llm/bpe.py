@@ -5,7 +5,9 @@ whole pre-tokens to the only rank they could have; the stored bytes tell whether
 the vocabulary is merged: its bytes form a linked list, a heap holds the neighbouring pairs that the vocabulary knows, and the
 pair of least rank, leftmost first, is merged until none is left.
 
-Null texts count as empty and give no ids. A task remembers the pre-tokens it has met, up to a bound.
+Null texts count as empty and give no ids; equal texts give equal ids, an empty table an empty result. A task remembers the
+pre-tokens it has met, up to a bound. A text is encoded piece by piece, so that a very long one needs its own size and no more; a
+single pre-token needs some hundred times its size.
 """
 
 from __future__ import annotations
@@ -86,6 +88,7 @@ class Tokenizer:
         self.table = table or PerfectHash(tokens)
         self.slots = [(tokens[i], ranks[tokens[i]]) for i in self.table.key_at]
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.of_two = [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
 
     def plain(self) -> tuple:
         """What a broadcast can carry to workers that don't have this package."""
@@ -105,27 +108,31 @@ class Tokenizer:
 
     def merge(self, token: bytes) -> list[int]:
         """Second tier: a heap of pairs over linked parts; a part is known by its first byte, ``end`` is where it stops."""
-        n, ranks = len(token), self.ranks
+        n, rank_of, of_two, push, pop = len(token), self.ranks.get, self.of_two, heapq.heappush, heapq.heappop
         end = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(token[i : i + 2])) is not None]
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := of_two[token[i] << 8 | token[i + 1]]) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            _, i, stop = pop(heap)
             middle = end[i]
             if not middle or middle >= n or end[middle] != stop:  # one of the two parts is no more what it was
                 continue
             end[i], end[middle] = stop, 0
             if stop < n:
                 before[stop] = i
-                if (r := ranks.get(token[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if i and (r := ranks.get(token[before[i] : stop])) is not None:
-                heapq.heappush(heap, (r, before[i], stop))
+                last = end[stop]
+                if (r := rank_of(token[i:last])) is not None:
+                    push(heap, (r, i, last))
+            if i:
+                first = before[i]
+                if (r := rank_of(token[first:stop])) is not None:
+                    push(heap, (r, first, stop))
         out, i = [], 0
         while i < n:
-            out.append(ranks[token[i : end[i]]])
-            i = end[i]
+            stop = end[i]
+            out.append(rank_of(token[i:stop]))
+            i = stop
         return out
 
     def encode_token(self, token: bytes) -> list[int]:
@@ -140,19 +147,19 @@ class Tokenizer:
 
 
 class Memory(dict):
-    """Pre-token -> (its ids as text, its ids). When it is full it becomes the older half and a new one begins; what is
-    asked for again moves over, so frequent pre-tokens stay."""
+    """Pre-token -> (its ids as text, its number of ids, what these decode to). When it is full it becomes the older half and a new
+    one begins; what is asked for again moves over, so frequent pre-tokens stay."""
 
     def __init__(self, tokenizer: Tokenizer, most: int = MEMORY):
         super().__init__()
         self.tokenizer, self.most = tokenizer, most
-        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
-    def __missing__(self, token: str) -> tuple[str, tuple[int, ...]]:
+    def __missing__(self, token: str) -> tuple[str, int, bytes]:
         found = self.older.get(token)
         if found is None:
             ids = self.tokenizer.encode_token(token.encode("utf-8", "surrogatepass"))
-            found = " ".join(map(str, ids)), tuple(ids)
+            found = " ".join(map(str, ids)), len(ids), self.tokenizer.decode(ids)
         if len(token) <= LONGEST:
             if len(self) >= self.most:
                 self.older = dict(self)
@@ -184,11 +191,12 @@ DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 def _digest(text: str, pattern: regex.Pattern, memory: Memory) -> tuple[int, str, str]:
     n, ids_hash, decoded_hash = 0, hashlib.sha256(), hashlib.sha256()
     for tokens in pieces(text, pattern):
-        found = list(map(memory.__getitem__, tokens))
-        ids = list(itertools.chain.from_iterable([x[1] for x in found]))
-        ids_hash.update((" " * (n > 0) + " ".join([x[0] for x in found])).encode())
-        decoded_hash.update(memory.tokenizer.decode(ids))
-        n += len(ids)
+        if not tokens:
+            continue
+        ids, counts, decoded = zip(*map(memory.__getitem__, tokens), strict=True)
+        ids_hash.update((" " * (n > 0) + " ".join(ids)).encode())
+        decoded_hash.update(b"".join(decoded))
+        n += sum(counts)
     return n, ids_hash.hexdigest(), decoded_hash.hexdigest()
 
 
@@ -230,7 +238,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memory = Memory(Tokenizer.of(shipped.value))
         for series in texts:
-            yield pd.Series([np.array([i for piece in pieces(t or "", memory.tokenizer.pattern) for x in map(memory.__getitem__, piece) for i in x[1]], np.int32) for t in series], dtype=object)
+            ids = [" ".join([memory[x][0] for piece in pieces(t or "", memory.tokenizer.pattern) for x in piece]) for t in series]
+            yield pd.Series([np.array(x.split(), np.int32) for x in ids], dtype=object)
 
     return docs.withColumn(out, run(F.col(text)))
 
