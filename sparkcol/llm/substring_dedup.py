@@ -142,8 +142,9 @@ def _spans_of(docs: DataFrame, options: dict[str, int]) -> DataFrame:
     return docs.select("_id", "_key", "_text").mapInArrow(run, f"h1 long, h2 long, _id {docs.schema['_id'].dataType.simpleString()}, _key long, a int, b int")
 
 
-#: What a row of ``_marked`` is: a span known not to be the first; a span of the first group of its task; the first span that a task has of its last group.
-LATER, LEADING, LAST = 0, 1, 2
+#: What a row of ``_marked`` is: a span known not to be the first; a span of the first group of its task, which may go on from the
+#: task before; the first span that a task has of its first or last group.
+LATER, LEADING, EDGE = 0, 1, 2
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +173,30 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mask, kind in ((later, LATER), (leading, LEADING)):
             if mask.any():
                 yield put(batch.filter(pa.array(mask)), kind)
+        if not groups:
+            yield put(batch.slice(0, 1), EDGE)
         groups += int(new.sum())
         if start[-1] >= 0:
             last = batch.slice(start[-1], 1)
-    if last:
-        yield put(last, LAST)
+    if last and groups > 1:
+        yield put(last, EDGE)
+
+
+def _not_first(firsts: dict[tuple[int, int], tuple[int, int]]):
+    """Of marked spans, those that are not the first of their group over all tasks; ``firsts`` tells that of the groups at edges, as (_key, a)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, h1, h2, key, a = (batch.column(c).to_numpy() for c in ("kind", "h1", "h2", "_key", "a"))
+            later = kind == LATER
+            leading = kind == LEADING
+            for one, two in set(zip(h1[leading].tolist(), h2[leading].tolist(), strict=True)):
+                first_key, first_a = firsts[one, two]
+                later |= leading & (h1 == one) & (h2 == two) & ((key != first_key) | (a != first_a))
+            if later.any():
+                yield batch.filter(pa.array(later)).select(["_id", "_key", "a", "b"])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, **options: int) -> DataFrame:
@@ -187,10 +207,11 @@ def repeated_spans(docs: DataFrame, **options: int) -> DataFrame:
     ordered = found.repartitionByRange(*order).sortWithinPartitions(*order)
     marked = cut(ordered.mapInArrow(_marked, "kind int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)))
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "a")
-    edges = marked.where(F.col("kind") != LATER).groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    edges = marked.where(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.min(place).alias("first"))
     # at most two groups for each task of the range exchange, so their number is bounded by a setting
-    crossing = marked.where(F.col("kind") == LEADING).join(F.broadcast(edges), ["h1", "h2"]).where(~(F.col("first._key").eqNullSafe(F.col("_key")) & (F.col("first.a") == F.col("a"))))
-    later = marked.where(F.col("kind") == LATER).select("_id", "_key", "a", "b").union(crossing.select("_id", "_key", "a", "b"))
+    firsts = {(r.h1, r.h2): (r._key, r.a) for r in edges.select("h1", "h2", "first._key", "first.a").collect()}
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields if f.name not in ("h1", "h2"))
+    later = marked.mapInArrow(_not_first(firsts), shape)
     return later.groupBy("_id", "_key").agg(F.collect_set(F.struct("a", "b")).alias("covered"))
 
 
