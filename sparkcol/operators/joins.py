@@ -2,26 +2,85 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import total as total_of
+from .shared import written
+
 HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
-STRATEGY = {"auto": None, "hash": "shuffle_hash", "merge": "merge"}
+STRATEGY = {"hash": "shuffle_hash", "merge": "merge"}
+#: Bytes up to which a side is broadcast.
+MOST_BROADCAST = 64 << 20
 
 
 def join(probe: DataFrame, build: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner", strategy: str = "auto") -> DataFrame:
     """Equi-join on pairs (probe column, build column). Null keys never match. Semi and anti keep probe rows, once each;
-    an anti join with an empty build side keeps them all."""
-    hint = STRATEGY[strategy]
+    an anti join with an empty build side keeps them all.
+
+    ``strategy``: hash, merge, or auto, which marks a build side for broadcast where that is estimated small and measured runs
+    say that it is fastest (``plans.advisor``), and else leaves the choice to adaptive execution. A full join is never marked.
+    """
     condition = [probe[a] == build[b] for a, b in on]
-    return probe.join(build.hint(hint) if hint else build, condition, HOW[how])
+    if strategy == "auto":
+        build = advised(build) if how not in ("right", "full") else build
+    else:
+        build = build.hint(STRATEGY[strategy])
+    return probe.join(build, condition, HOW[how])
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of ``df``; without statistics a large number."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def advised(build: DataFrame, most_bytes: int = MOST_BROADCAST) -> DataFrame:
+    """``build``, marked for broadcast if measured runs say so for its estimated size, and that is within the bound."""
+    from ..plans import advisor
+
+    size = estimated_bytes(build)
+    return F.broadcast(build) if size <= most_bytes and advisor.fastest("join", size / 2**20) == "broadcast_hash" else build
+
+
+def bounded_broadcast(df: DataFrame, most_bytes: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` marked for broadcast if the optimizer's estimate of its size is within the bound, else as it is."""
+    return F.broadcast(df) if estimated_bytes(df) <= most_bytes else df
 
 
 def not_in(probe: DataFrame, build: DataFrame, column: str, key: str) -> DataFrame:
-    """``column NOT IN (SELECT key FROM build)`` with SQL's nulls: a null in ``build`` lets nothing through."""
-    return probe.join(build.select(F.col(key).alias("_k")), (F.col(column) == F.col("_k")) | F.col("_k").isNull() | F.col(column).isNull(), "left_anti")
+    """``column NOT IN (SELECT key FROM build)`` with SQL's nulls: a null in ``build`` lets nothing through, and a null in ``column``
+    passes only if ``build`` is empty.
+
+    One aggregation counts rows and keys of ``build``; the rest is an anti-join on equal keys.
+    """
+    n_rows, n_keys = build.agg(F.count("*")).scalar(), build.agg(F.count(key)).scalar()
+    anti = probe.join(build.select(F.col(key).alias("_k")), F.col(column) == F.col("_k"), "left_anti")
+    return anti.where((n_rows == 0) | ((n_rows == n_keys) & F.col(column).isNotNull()))
+
+
+def bloom_join(probe: DataFrame, build: DataFrame, on: tuple[str, str], false_positives: float = 0.03, most_bits: int = 1 << 26) -> DataFrame:
+    """Inner join behind a bloom filter of the build keys, which drops probe rows before they are shuffled.
+
+    The filter is made by one aggregation of ``build`` (read twice, so it should be selective or stored) and has up to ``most_bits`` bits
+    (8 MB); beyond that it lets more rows through, which the join then drops. Keys are longs, ints or strings. A null key never matches.
+    """
+    spark = probe.sparkSession
+    keyed = build.where(F.col(on[1]).isNotNull())
+    n = keyed.count()
+    if not n:
+        return probe.join(build, probe[on[0]] == build[on[1]])
+    bits = min(most_bits, max(64, int(-n * math.log(false_positives) / math.log(2) ** 2)))
+    jvm, keys = spark._jvm, keyed.select(F.xxhash64(on[1]).alias("h"))
+    made = keys._jdf.stat().bloomFilter("h", max(1, int(bits * math.log(2) ** 2 / -math.log(false_positives))), bits)
+    stream = jvm.java.io.ByteArrayOutputStream()
+    made.writeTo(stream)
+    expressions, utils = jvm.org.apache.spark.sql.catalyst.expressions, getattr(jvm.org.apache.spark.sql.classic, "ExpressionUtils")
+    literal = expressions.Literal.create(stream.toByteArray(), jvm.org.apache.spark.sql.types.DataTypes.BinaryType)
+    within = utils.column(expressions.BloomFilterMightContain(literal, utils.expression(F.xxhash64(probe[on[0]])._jc)))
+    return probe.where(Column(within)).join(build, probe[on[0]] == build[on[1]])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
@@ -34,36 +93,47 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return points.withColumn("_b", bucket(at)).join(spread, "_b").where(F.col(at).between(F.col(low), F.col(high))).drop("_b")
 
 
-def inequality_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str) -> DataFrame:
-    """Pairs with a op b for a small right side, such as a table of bands."""
+def inequality_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str, buckets: int = 64) -> DataFrame:
+    """Pairs with a op b. A right side within the bound of a broadcast, such as a table of bands, meets each left row in a loop.
+
+    A larger one is cut into ``buckets`` ranges of b: a left row goes to the ranges that can match, an equi-join, in which only
+    its own range has rows to drop. The result has the size it has: up to all pairs.
+    """
     from .filters import COMPARE
 
-    return left.join(right, COMPARE[op](F.col(a), F.col(b)))
+    condition = COMPARE[op](F.col(a), F.col(b))
+    if estimated_bytes(right) <= MOST_BROADCAST:
+        return left.join(F.broadcast(right), condition)
+    cuts = sorted(set(right.approxQuantile(b, [i / buckets for i in range(1, buckets)], 0.001)))
+    place = lambda c: sum((F.when(F.col(c) >= x, 1).otherwise(0) for x in cuts), F.lit(0))
+    reach = F.sequence(place(a), F.lit(len(cuts))) if op in ("lt", "le") else F.sequence(F.lit(0), place(a))
+    spread = left.where(F.col(a).isNotNull()).withColumn("_r", F.explode(reach))
+    return spread.join(right.where(F.col(b).isNotNull()).withColumn("_r", place(b)), "_r").where(condition).drop("_r")
 
 
 def inequality_counts(left: DataFrame, right: DataFrame, a: str, op: str, b: str, out: str = "n") -> DataFrame:
     """Each row of ``left`` with the number of rows of ``right`` with a op b, without making the pairs.
 
-    Distinct values of both sides are put in one order and cumulative counts read off; the window has no partition, so
-    what it sees is one row per distinct value.
+    Distinct values of both sides are dealt by ranges and written once; counts run inside each range, and the ranges' totals, of
+    which there are as many as tasks, are added up and joined back.
     """
-    from pyspark.sql import Window
-
     values = right.groupBy(F.col(b).alias("v")).agg(F.count("*").alias("c")).where("v IS NOT NULL")
     asked = left.select(F.col(a).alias("v")).where("v IS NOT NULL").distinct().withColumn("c", F.lit(0).cast("long"))
-    both = values.union(asked).groupBy("v").agg(F.sum("c").alias("c"))
-    window = Window.orderBy("v")
-    running = F.sum("c").over(window)
-    total = F.sum("c").over(Window.partitionBy())
+    ranged = values.union(asked).groupBy("v").agg(F.sum("c").alias("c")).repartitionByRange("v")
+    both = written(ranged.withColumn("_part", F.spark_partition_id()))
+    inside = F.sum("c").over(Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    totals = both.groupBy("_part").agg(F.sum("c").alias("_t"))
+    before = F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    offsets = totals.select("_part", before.alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("_all"))  # a row per task
+    placed = both.withColumn("_inside", inside).join(F.broadcast(offsets), "_part")
+    running, total = F.col("_before") + F.col("_inside"), F.col("_all")
     n = {"gt": running - F.col("c"), "ge": running, "lt": total - running, "le": total - running + F.col("c")}[op]
-    counted = both.select("v", n.alias(out))
+    counted = placed.select("v", n.alias(out))
     return left.join(counted, left[a] == counted["v"], "left").drop("v").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
 
 
-def join_group_sum(fact: DataFrame, dim: DataFrame, on: tuple[str, str], keys: Sequence[str], value: Column, out: str = "total") -> DataFrame:
-    from .aggregates import exact_sum
-
-    return fact.join(dim, fact[on[0]] == dim[on[1]]).groupBy(*keys).agg(exact_sum(value).alias(out))
+def join_group_sum(fact: DataFrame, dim: DataFrame, on: tuple[str, str], keys: Sequence[str], value: Column, out: str = "total", scale: int | None = None) -> DataFrame:
+    return fact.join(dim, fact[on[0]] == dim[on[1]]).groupBy(*keys).agg(total_of(value, scale).alias(out))
 
 
 def multi_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
@@ -73,27 +143,17 @@ def multi_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str]]) -> D
     return fact
 
 
-def outer_join_aggregate(left: DataFrame, right: DataFrame, on: tuple[str, str], value: str | None = None) -> DataFrame:
+def outer_join_aggregate(left: DataFrame, right: DataFrame, on: tuple[str, str], value: str | None = None, scale: int | None = None) -> DataFrame:
     """Each left row with the count (and sum of ``value``) of its right rows, 0 where there are none. The right side is
     aggregated before the join, so its rows never multiply."""
-    from .aggregates import exact_sum
-
-    aggregates = [F.count("*").alias("n")] + ([exact_sum(F.col(value)).alias("total")] if value else [])
+    aggregates = [F.count("*").alias("n")] + ([total_of(F.col(value), scale).alias("total")] if value else [])
     counted = right.groupBy(F.col(on[1]).alias("_k")).agg(*aggregates)
     out = left.join(counted, left[on[0]] == F.col("_k"), "left").drop("_k").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    return out.withColumn("total", F.coalesce("total", F.lit(0.0))) if value else out
-
-
-def bounded_broadcast(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """``df`` marked for broadcast if the optimizer's estimate of its size is within the bound, else as it is."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= most_bytes else df
+    return out.withColumn("total", F.coalesce("total", F.lit(0).cast(counted.schema["total"].dataType))) if value else out
 
 
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, value: str) -> DataFrame:
     """Each left row with the ``value`` of the latest right row of its keys at or before it: a union and one window, no pairs."""
-    from pyspark.sql import Window
-
     window = Window.partitionBy(*by).orderBy(F.col("_t"), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
     payload = F.struct(*left.columns)
     a = left.select(*by, F.col(at).alias("_t"), F.lit(1).alias("_side"), payload.alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))

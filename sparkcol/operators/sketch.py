@@ -17,12 +17,16 @@ def bucket_start(at: Column, seconds: int) -> Column:
     return (F.floor(F.unix_seconds(at.cast("timestamp")) / seconds) * seconds).cast("long")
 
 
-def buckets(events: DataFrame, level: int, at: str = "ts", value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
-    v = F.col(value).cast("decimal(18,4)")
+def statistics(value: str, scale: int | None) -> list[Column]:
+    """The columns of a bucket. ``scale``: sums over decimals of so many places, which don't depend on the order of rows; else of the type."""
+    v = F.col(value) if scale is None else F.col(value).cast(f"decimal(18,{scale})")
+    square = v.cast("double") * v.cast("double") if scale is None else (v * v).cast(f"decimal(36,{2 * scale})")
+    return [F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(square).alias("squares"), F.min(value).alias("low"), F.max(value).alias("high")]
+
+
+def buckets(events: DataFrame, level: int, at: str = "ts", value: str = "value", keys: tuple[str, ...] = (), scale: int | None = None) -> DataFrame:
     start = bucket_start(F.col(at), LEVELS[level][0]).alias("bucket")
-    return events.where(F.col(value).isNotNull()).groupBy(*keys, start).agg(
-        F.count("*").alias("n"), F.sum(v).alias("total"), F.sum((v * v).cast("decimal(28,8)")).alias("squares"), F.min(value).alias("low"), F.max(value).alias("high")
-    )
+    return events.where(F.col(value).isNotNull()).groupBy(*keys, start).agg(*statistics(value, scale))
 
 
 def merge(finer: DataFrame, level: int, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def order(column: str, descending: bool = False) -> Column:
     return F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
@@ -33,7 +35,7 @@ def argsort(df: DataFrame, column: str, row_id: str, descending: bool = False, o
     single-task window."""
     name = "_partition"
     placed = df.select(row_id, column).orderBy(order(column, descending), row_id).withColumns({name: F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
-    placed = placed.withColumn("_m", F.col("_m").bitwiseAND((1 << 33) - 1)).persist()
+    placed = written(placed.withColumn("_m", F.col("_m").bitwiseAND((1 << 33) - 1)))
     counts = placed.groupBy(name).agg(F.count("*").alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     return placed.join(F.broadcast(starts.select(name, "_start")), name).select(row_id, column, (F.col("_start") + F.col("_m")).alias(out))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from itertools import islice
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Below this product of squared norms, cosine distance is 1.
 TINY = 1e-10
 
@@ -103,29 +104,22 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, metric: str = "
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", vec_id: str = "vec_id", embedding: str = "embedding", block: int = 256, most_queries: int = 1 << 16, probes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(query_id, vec_id, distance, rank) for a stated set of queries (vec_id, embedding) against all vectors.
 
-    Queries are taken in blocks; for each block the vectors are read once and every batch of them is reduced to its k nearest
-    per query by one matrix product, so no pairs are made. The driver reads the queries partition by partition and holds
-    ``most_queries`` of them at a time; while there are more, what is found for these is written before the next are taken.
+    The vectors are read once: a task holds the queries, and the k nearest of each that it has met; a batch of vectors is set against
+    ``block`` queries at a time, by one matrix product or as few operations, so no pairs are made. The driver reads the queries partition
+    by partition and broadcasts ``most_queries`` of them; while there are more, what is found for these is written before the next are taken.
     ``probes``: the lists that each query of a block looks into, of those in the column ``lists``.
     """
     left = iter(queries.select(vec_id, embedding).toLocalIterator())
     rows, out = list(islice(left, most_queries)), None
     while True:
-        found = _knn_blocks(vectors, rows, k, metric, vec_id, embedding, block, probes)
+        found = _nearest(vectors, rows, k, metric, vec_id, embedding, block, probes)
         rows = list(islice(left, most_queries))
         if not rows and out is None:
-            return found
-        found = _written(found)
+            return _ranked(found, k)
+        found = written(_ranked(found, k))
         out = found if out is None else out.union(found)
         if not rows:
-            return _ranked(out.drop("rank"), k)
-
-
-def _written(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkcol-checkpoint-"))
-    return df.checkpoint()
+            return out
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -133,40 +127,49 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def _knn_blocks(vectors: DataFrame, rows: list, k: int, metric: str, vec_id: str, embedding: str, block: int, probes: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
-    shape, out = "query_id long, vec_id long, distance double", None
-    for i in range(0, max(1, len(rows)), block):
-        part = rows[i : i + block]
-        ids = np.array([r[0] for r in part], np.int64)
-        q = np.array([r[1] for r in part], float).reshape(len(part), -1)
-
-        looked = probes(q) if probes and len(part) else None
-
-        def nearest(frames, ids=ids, q=q, looked=looked):
-            for frame in frames:
-                if not len(frame) or not len(ids):
-                    continue
-                x, own = np.stack(frame[embedding].to_numpy()).astype(float), frame[vec_id].to_numpy()
-                if metric == "l1":
-                    d = np.stack([np.abs(x - one).sum(axis=1) for one in q])
-                elif metric == "l2":
-                    d = np.stack([((x - one) ** 2).sum(axis=1) for one in q])
-                elif metric == "ip":
-                    d = -(q @ x.T)
-                else:
-                    norms = (q * q).sum(axis=1)[:, None] * (x * x).sum(axis=1)[None, :]
-                    d = np.where(norms < TINY, 1.0, 1 - (q @ x.T) / np.sqrt(np.maximum(norms, TINY)))
-                if looked is not None:
-                    lists = np.stack(frame["lists"].to_numpy())
-                    seen = [np.isin(lists, own_lists).any(axis=1) for own_lists in looked]
-                for j, row in enumerate(d):
-                    best = np.lexsort((own, row))
-                    best = (best if looked is None else best[seen[j][best]])[:k]
-                    yield pd.DataFrame({"query_id": ids[j], "vec_id": own[best], "distance": row[best]})
-
-        found = vectors.select(vec_id, embedding, *(["lists"] if probes else [])).mapInPandas(nearest, shape)
-        out = found if out is None else out.union(found)
-    return _ranked(out, k)
+def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l1":
+        return np.stack([np.abs(x - one).sum(axis=1) for one in q])
+    if metric == "l2":
+        return np.stack([((x - one) ** 2).sum(axis=1) for one in q])
+    if metric == "ip":
+        return -(q @ x.T)
+    norms = (q * q).sum(axis=1)[:, None] * (x * x).sum(axis=1)[None, :]
+    return np.where(norms < TINY, 1.0, 1 - (q @ x.T) / np.sqrt(np.maximum(norms, TINY)))
+
+
+def _nearest(vectors: DataFrame, rows: list, k: int, metric: str, vec_id: str, embedding: str, block: int, probes: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+    """(query_id, vec_id, distance): for each task, the k nearest that it has of each query."""
+    asked = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+    looked = probes(asked) if probes and len(rows) else None
+    shipped = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), asked, looked))
+
+    def nearest(frames):
+        ids, q, looked = shipped.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        for frame in frames:
+            if not len(frame) or not len(ids):
+                continue
+            x, own = np.stack(frame[embedding].to_numpy()).astype(float), frame[vec_id].to_numpy()
+            lists = np.stack(frame["lists"].to_numpy()) if looked is not None else None
+            for i in range(0, len(ids), block):
+                for j, row in enumerate(_distances(q[i : i + block], x, metric), i):
+                    at = np.arange(len(own)) if lists is None else np.flatnonzero(np.isin(lists, looked[j]).any(axis=1))
+                    if len(best[j][0]) == k:
+                        at = at[row[at] <= best[j][0][-1]]
+                    if len(at) > k:  # no more than those up to the k-th distance, ties included
+                        at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
+                    if len(at):
+                        d, who = np.concatenate([best[j][0], row[at]]), np.concatenate([best[j][1], own[at]])
+                        order = np.lexsort((who, d))[:k]
+                        best[j] = d[order], who[order]
+        for i in range(0, len(ids), 4096):
+            part = best[i : i + 4096]
+            sizes = [len(d) for d, _ in part]
+            if sum(sizes):
+                yield pd.DataFrame({"query_id": np.repeat(ids[i : i + 4096], sizes), "vec_id": np.concatenate([w for _, w in part]), "distance": np.concatenate([d for d, _ in part])})
+
+    return vectors.select(vec_id, embedding, *(["lists"] if probes else [])).mapInPandas(nearest, "query_id long, vec_id long, distance double")
 
 
 def to_half(v: Column) -> Column:
@@ -195,6 +198,21 @@ def sq8_decode(codes: Column, low: float, high: float) -> Column:
     return F.transform(codes, lambda c: c * F.lit(step) + low)
 
 
+def sampled(vectors: DataFrame, most: int, vec_id: str = "vec_id", embedding: str = "embedding") -> np.ndarray:
+    """Up to ``most`` vectors, those whose ids have the least hashes: what models are fitted on."""
+    rows = vectors.select(vec_id, embedding).where(F.col(embedding).isNotNull()).orderBy(F.xxhash64(F.col(vec_id)), vec_id).limit(most).collect()
+    return np.array([r[1] for r in rows], float)
+
+
+def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    """Centres of up to ``k`` groups; a group that runs empty keeps its centre."""
+    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(rounds):
+        near = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.stack([x[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
+    return centres
+
+
 class ProductQuantizer:
     """Sub-vectors replaced by the number of their nearest centroid; centroids from a bounded sample by k-means."""
 
@@ -203,19 +221,13 @@ class ProductQuantizer:
         self.books: np.ndarray | None = None
 
     def fit(self, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> ProductQuantizer:
-        rows = vectors.select(vec_id, embedding).orderBy(F.xxhash64(F.col(vec_id)), vec_id).limit(self.sample).collect()
-        x = np.array([r[1] for r in rows], float)
-        rng = np.random.default_rng(self.seed)
-        books = []
-        for sub in np.split(x, self.parts, axis=1):
-            centres = sub[rng.choice(len(sub), min(self.centroids, len(sub)), replace=False)]
-            for _ in range(12):
-                near = ((sub[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-                centres = np.stack([sub[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
-            books.append(centres)
-        self.books = np.stack(books)
+        self._learn(sampled(vectors, self.sample, vec_id, embedding))
         return self
 
+    def _learn(self, x: np.ndarray) -> None:
+        rng = np.random.default_rng(self.seed)
+        self.books = np.stack([kmeans(sub, self.centroids, rng) for sub in np.split(x, self.parts, axis=1)])
+
     def encode(self, v: Column) -> Column:
         books = self.books
 
@@ -246,39 +258,111 @@ class ProductQuantizer:
         return sum(looked[1:], looked[0])
 
 
+class RotatedProductQuantizer(ProductQuantizer):
+    """A product quantizer behind a rotation that is learned with it: codes and rotation in turn, the latter by an orthogonal fit."""
+
+    rounds = 8
+
+    def _learn(self, x: np.ndarray) -> None:
+        self.rotation = np.eye(x.shape[1])
+        for _ in range(self.rounds):
+            turned = x @ self.rotation
+            super()._learn(turned)
+            subs = np.split(turned, self.parts, axis=1)
+            back = np.concatenate([b[((s[:, None, :] - b[None]) ** 2).sum(axis=2).argmin(axis=1)] for b, s in zip(self.books, subs, strict=True)], axis=1)
+            u, _, v = np.linalg.svd(x.T @ back)
+            self.rotation = u @ v
+
+    def encode(self, v: Column) -> Column:
+        return super().encode(matvec(v, self.rotation.T))
+
+    def decode(self, codes: Column) -> Column:
+        return matvec(super().decode(codes), self.rotation)
+
+    def asymmetric_distance(self, codes: Column, query: Sequence[float]) -> Column:
+        return super().asymmetric_distance(codes, np.asarray(query, float) @ self.rotation)
+
+
+def reconstruction_error(vectors: DataFrame, quantizer, embedding: str = "embedding") -> float:
+    """The mean squared distance of vectors to what their codes decode to."""
+    back = vectors.select(embedding, quantizer.decode(quantizer.encode(F.col(embedding))).alias("_back"))
+    return back.agg(F.avg(l2_squared(F.col(embedding), F.col("_back")))).first()[0]
+
+
+class QuantizedIndex:
+    """Search by codes alone for the first ``first_k``, which are then measured by their vectors."""
+
+    def __init__(self, quantizer: ProductQuantizer, first_k: int = 300):
+        self.quantizer, self.first_k, self.rows = quantizer, first_k, None
+
+    def build(self, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> QuantizedIndex:
+        known = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
+        self.quantizer.fit(known)
+        self.rows = known.withColumn("codes", self.quantizer.encode(F.col("embedding")))
+        return self
+
+    def search_batch(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, vec_id, distance, rank) for each row of ``queries`` (vec_id, embedding)."""
+        decoded = self.rows.select("vec_id", self.quantizer.decode(F.col("codes")).alias("embedding"))
+        coarse = knn_batch(decoded, queries, max(k, self.first_k)).select("query_id", F.col("vec_id").alias("_id"))
+        asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
+        known = self.rows.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_e"))
+        found = coarse.join(known, "_id").join(asked, "query_id").select("query_id", F.col("_id").alias("vec_id"), l2_squared(F.col("_e"), F.col("_q")).alias("distance"))
+        return _ranked(found, k)
+
+
 class InvertedIndex:
     """Approximate search: vectors are listed under their ``shared`` nearest centres, and a query looks into ``n_probe`` lists.
 
     Centres come from a bounded sample; every vector is listed. Near the border of two lists a neighbour is found from either
-    side. It takes the place of a graph index, which is one mutable structure in memory and doesn't distribute.
+    side. It takes the place of a graph index, which is one mutable structure in memory and doesn't distribute. ``metric``: l2, l1, cosine
+    (lists of unit vectors) or ip (lists of vectors with one element more, which makes all as long as the longest).
     """
 
-    def __init__(self, lists: int = 16, sample: int = 20_000, seed: int = 42, shared: int = 3):
-        self.lists, self.sample, self.seed, self.shared = lists, sample, seed, shared
+    def __init__(self, lists: int = 16, sample: int = 20_000, seed: int = 42, shared: int = 3, metric: str = "l2"):
+        self.lists, self.sample, self.seed, self.shared, self.metric = lists, sample, seed, shared, metric
         self.centres: np.ndarray | None = None
         self.rows: DataFrame | None = None
 
     def build(self, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> InvertedIndex:
-        one = ProductQuantizer(1, self.lists, self.sample, self.seed).fit(vectors, vec_id, embedding)
-        self.centres = centres = one.books[0]
-        shared = self.shared
+        longest = (vectors.agg(F.max(squared_norm(F.col(embedding)))).first()[0] or 0.0) if self.metric == "ip" else 0.0
+        metric, shared = self.metric, self.shared
+        x = _listable(sampled(vectors, self.sample, vec_id, embedding), metric, longest)
+        self.centres = centres = kmeans(x, self.lists, np.random.default_rng(self.seed))
 
         @F.pandas_udf("array<int>")
         def listed(series: pd.Series) -> pd.Series:
-            return pd.Series([((centres - np.asarray(x, float)) ** 2).sum(axis=1).argsort(kind="stable")[:shared].astype(np.int32) for x in series], dtype=object)
+            if not len(series):
+                return pd.Series([], dtype=object)
+            x = _listable(np.stack(series.to_numpy()).astype(float), metric, longest)
+            return pd.Series([((centres - one) ** 2).sum(axis=1).argsort(kind="stable")[:shared].astype(np.int32) for one in x], dtype=object)
 
         self.rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), listed(F.col(embedding)).alias("lists"))
         return self
 
-    def search(self, query: Sequence[float], k: int = 10, n_probe: int = 6) -> DataFrame:
-        near = ((self.centres - np.asarray(query, float)) ** 2).sum(axis=1).argsort()[:n_probe]
+    def _probes(self, q: np.ndarray, n_probe: int) -> np.ndarray:
+        asked = _listable(q, self.metric, None)
+        return ((self.centres[None] - asked[:, None]) ** 2).sum(axis=2).argsort(axis=1)[:, :n_probe]
+
+    def search(self, query: Sequence[float], k: int = 10, n_probe: int = 6, where: Column | None = None) -> DataFrame:
+        """The nearest k; ``where``: a condition on vec_id or embedding that they must meet."""
+        near = self._probes(np.asarray(query, float)[None], n_probe)[0]
         looked = F.arrays_overlap("lists", F.array(*[F.lit(int(x)) for x in near]))
-        return knn(self.rows.where(looked), query, k).select("vec_id", "distance")
+        return knn(self.rows.where(looked if where is None else looked & where), query, k, self.metric).select("vec_id", "distance")
 
     def search_batch(self, queries: DataFrame, k: int = 10, n_probe: int = 6) -> DataFrame:
         """(query_id, vec_id, distance, rank) as ``search`` finds them for each row of ``queries`` (vec_id, embedding)."""
-        near = lambda q: ((self.centres[None] - q[:, None]) ** 2).sum(axis=2).argsort(axis=1)[:, :n_probe]
-        return knn_batch(self.rows, queries, k, probes=near)
+        return knn_batch(self.rows, queries, k, self.metric, probes=lambda q: self._probes(q, n_probe))
+
+
+def _listable(x: np.ndarray, metric: str, longest: float | None) -> np.ndarray:
+    """Vectors so changed that the nearest by ``metric`` are near by squared distance; ``longest``: the greatest squared norm, None for queries."""
+    if metric == "cosine":
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), TINY)
+    if metric == "ip":
+        rest = np.zeros(len(x)) if longest is None else np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))
+        return np.concatenate([x, rest[:, None]], axis=1)
+    return x
 
 
 def dense(v: Column, weights: np.ndarray, bias: np.ndarray, activation: str | None = None) -> Column:
@@ -334,6 +418,20 @@ def matvec(v: Column, matrix: np.ndarray) -> Column:
     return dense(v, matrix, np.zeros(len(matrix)))
 
 
+def adapter(v: Column, down: np.ndarray, up: np.ndarray, strength: float = 1.0) -> Column:
+    """v + strength * up relu(down v): a low-rank correction of a vector, in one pass over the batch."""
+    d, u = np.asarray(down, float), np.asarray(up, float)
+
+    @F.pandas_udf("array<double>")
+    def run(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        x = np.stack(vectors.to_numpy()).astype(float)
+        return pd.Series(list(x + strength * np.maximum(x @ d.T, 0) @ u.T), dtype=object)
+
+    return run(v)
+
+
 def mlp(v: Column, layers: Sequence[tuple[np.ndarray, np.ndarray, str | None]]) -> Column:
     """Dense layers in turn, each (weights, bias, activation), in one pass over the batch."""
     plan = [(np.asarray(w, float), np.asarray(b, float), a) for w, b, a in layers]
@@ -383,7 +481,17 @@ class FlatIndex:
         return self
 
     def search(self, query: Sequence[float], k: int = 10) -> DataFrame:
-        return knn(self.rows, query, k, self.metric).select("vec_id", "distance")
+        """The nearest k; of cosine and l2 only the inner products are computed, the stored norms give the rest."""
+        q, e = F.array(*[F.lit(float(x)) for x in query]), F.col("embedding")
+        own = float(np.square(np.asarray(query, float)).sum())
+        if self.metric == "cosine":
+            norms = F.col("norm2") * own
+            distance = F.when(norms < TINY, 1.0).otherwise(1 - dot(e, q) / F.sqrt(norms))
+        elif self.metric == "l2":
+            distance = F.greatest(F.lit(0.0), F.col("norm2") + own - 2 * dot(e, q))
+        else:
+            distance = METRICS[self.metric](e, q)
+        return self.rows.select("vec_id", distance.alias("distance")).orderBy("distance", "vec_id").limit(k)
 
     def search_batch(self, queries: DataFrame, k: int = 10) -> DataFrame:
         return knn_batch(self.rows, queries, k, self.metric)

@@ -1,83 +1,138 @@
-"""A catalogue of physical strategies with a cost model, a chooser over it, and a store of measured runs, all as DataFrames.
+"""Strategies learned from measured runs, and a catalogue of runs that is kept in tables.
 
-It advises and reports; the choice that counts is made by Catalyst and adaptive execution.
+A run of a strategy is (operation, strategy, mb, seconds): how long it took with so many MB on its decisive side. The runs of a
+strategy make a straight line by least squares, and of several strategies the one whose line is lowest at the size in question is
+advised; ``joins.join`` asks for a join's build side. Lines come from ``MEASURED``, or from runs of one's own by ``measure_joins``.
+
+Of queries that are run again and again, in several versions, the mean time is taken with its 95 % interval: a version is settled
+if that is narrow, and the best one is that whose interval ends lowest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import statistics
+import time
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "name string, operation string, startup double, per_row double, parallelism double, memory double, energy double, min_rows long, max_rows long"
-#: name, operation, startup, cost per row, parallelism, share of memory, share of energy, rows for which it is meant.
-STRATEGIES = [
-    ("pushed_filter", "filter", 0.02, 0.2, 8.0, 0.1, 0.9, 0, None),
-    ("bloom_filter", "filter", 0.5, 0.1, 8.0, 0.2, 0.9, 100_000, None),
-    ("broadcast_join", "join", 0.8, 0.8, 8.0, 1.0, 0.9, 0, 1_000_000),
-    ("shuffled_hash_join", "join", 1.0, 1.5, 8.0, 0.8, 0.9, 50_000, 100_000_000),
-    ("sort_merge_join", "join", 1.5, 2.0, 8.0, 0.3, 1.0, 100_000, None),
-    ("bucketed_range_join", "range_join", 1.5, 2.5, 8.0, 0.5, 1.0, 0, None),
-    ("semi_join", "semi_join", 0.2, 0.4, 8.0, 0.4, 0.9, 0, None),
-    ("anti_join", "anti_join", 0.2, 0.4, 8.0, 0.4, 0.9, 0, None),
-    ("partial_hash_aggregate", "aggregate", 0.1, 0.8, 8.0, 0.6, 0.9, 0, None),
-    ("salted_aggregate", "aggregate", 1.2, 1.1, 8.0, 0.4, 1.0, 10_000_000, None),
-    ("sort_aggregate", "aggregate", 0.6, 2.0, 8.0, 0.2, 1.0, 1_000_000, None),
-    ("range_sort", "sort", 0.5, 3.0, 8.0, 0.5, 1.0, 0, None),
-    ("take_ordered", "top_k", 0.1, 0.5, 8.0, 0.1, 0.9, 0, None),
-    ("exact_knn", "vector_search", 0.1, 0.5, 8.0, 0.2, 0.9, 0, None),
-    ("inverted_index", "vector_search", 1.0, 0.05, 8.0, 0.4, 0.9, 100_000, None),
-    ("drop_duplicates", "distinct", 0.1, 1.0, 8.0, 0.6, 0.9, 0, None),
-]
-
-
-def strategies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STRATEGIES, SCHEMA)
-
-
-def estimate(rows: Column) -> Column:
-    """Startup plus the cost of the rows over the parallelism."""
-    return F.col("startup") + F.col("per_row") * rows / F.col("parallelism")
-
-
-def scores(table: DataFrame, rows: int, goal: str = "cost", load: float = 0.0) -> DataFrame:
-    """``score`` by goal, lowest best: cost, latency, throughput (under ``load``, 0 to 1), memory or energy. A strategy outside its rows pays a fifth more."""
-    n = F.lit(float(rows))
-    base = estimate(n)
-    by_goal = {
-        "cost": base,
-        "latency": F.col("startup") + F.col("per_row") * n / 1e6,
-        "throughput": base * (1 + load),
-        "memory": base * F.col("memory"),
-        "energy": base * F.col("energy"),
-    }[goal]
-    outside = (F.col("min_rows") > rows) | F.coalesce(F.col("max_rows") < rows, F.lit(False))
-    return table.withColumn("score", F.round(F.when(outside, by_goal * 1.2).otherwise(by_goal), 6))
-
-
-def choose(table: DataFrame, rows: int, goal: str = "cost", load: float = 0.0) -> DataFrame:
-    """The best strategy of each operation: operation, name, score."""
-    scored = scores(table, rows, goal, load)
-    return scored.groupBy("operation").agg(F.min(F.struct("score", "name")).alias("s")).select("operation", F.col("s.name").alias("name"), F.col("s.score").alias("score"))
-
-
-def confidence(runs: DataFrame, least: int = 3) -> DataFrame:
-    """Of measured runs (query, version, ms): n, avg_ms and the confidence in that average, 0 below ``least`` runs, rising with
-    their number up to thirty and with their steadiness."""
-    found = runs.groupBy("query", "version").agg(F.count("*").alias("n"), F.avg("ms").alias("avg_ms"), F.stddev_pop("ms").alias("sd"))
-    steady = F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.col("sd"), F.col("avg_ms")), F.lit(0.0)))
-    value = 0.6 * F.least(F.lit(1.0), F.col("n") / 30) + 0.4 * steady
-    return found.select("query", "version", "n", F.round("avg_ms", 4).alias("avg_ms"), F.round(F.when(F.col("n") >= least, value).otherwise(0.0), 4).alias("confidence"))
-
-
-def best_versions(runs: DataFrame, least: int = 3) -> DataFrame:
-    """Per query, the version with the least average among those with enough runs."""
-    known = confidence(runs, least).where(F.col("n") >= least)
-    return known.groupBy("query").agg(F.min(F.struct("avg_ms", "version")).alias("s")).select("query", F.col("s.version").alias("version"), F.col("s.avg_ms").alias("avg_ms"))
-
-
-def save_runs(runs: DataFrame, path: str) -> None:
-    runs.write.mode("append").partitionBy("query").parquet(path)
-
-
-def load_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("query", "version", "ms")
+from ..operators import sketch
+
+RUNS = "operation string, strategy string, mb double, seconds double"
+#: Runs of ``measure_joins`` on eight threads of one machine: MB of the build side, seconds with two million probe rows.
+MEASURED: list[tuple[str, str, float, float]] = [("join", "broadcast_hash", 0.6, 0.1), ("join", "broadcast_hash", 20.0, 0.4), ("join", "sort_merge", 0.6, 0.5), ("join", "sort_merge", 20.0, 0.6)]
+SAMPLES = "query string, version string, ms double, n_rows long, at timestamp"
+#: Half the width of a 95 % interval of a normal variable, in standard deviations.
+Z95 = 1.96
+
+
+def measured(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MEASURED, RUNS)
+
+
+def fit(runs: DataFrame) -> DataFrame:
+    """(operation, strategy, n, fixed, per_mb): the line of each strategy. Runs at one size give their mean and no slope; a line never
+    falls with the size."""
+    lines = runs.groupBy("operation", "strategy").agg(
+        F.count("*").alias("n"), F.avg("seconds").alias("mean"), F.regr_intercept("seconds", "mb").alias("a"), F.regr_slope("seconds", "mb").alias("b")
+    )
+    rises = F.coalesce(F.col("b") > 0, F.lit(False))
+    return lines.select("operation", "strategy", "n", F.when(rises, F.col("a")).otherwise(F.col("mean")).alias("fixed"), F.when(rises, F.col("b")).otherwise(0.0).alias("per_mb"))
+
+
+def choose(lines: DataFrame, mb: float) -> DataFrame:
+    """Per operation the strategy with the least expected seconds at the size; ties by name."""
+    expected = F.greatest(F.lit(0.0), F.col("fixed") + F.col("per_mb") * F.lit(float(mb)))
+    best = lines.groupBy("operation").agg(F.min(F.struct(expected.alias("seconds"), "strategy")).alias("s"))
+    return best.select("operation", "s.strategy", "s.seconds")
+
+
+@cache
+def _lines(operation: str) -> dict[str, tuple[float, float]]:
+    out = {}
+    for strategy in {s for o, s, _, _ in MEASURED if o == operation}:
+        at, took = zip(*[(mb, sec) for o, s, mb, sec in MEASURED if (o, s) == (operation, strategy)], strict=True)
+        slope, fixed = statistics.linear_regression(at, took) if len(set(at)) > 1 else (0.0, 0.0)
+        out[strategy] = (fixed, slope) if slope > 0 else (statistics.fmean(took), 0.0)
+    return out
+
+
+def fastest(operation: str, mb: float) -> str | None:
+    """What ``choose`` says of the measured runs, without a Spark job; None for an operation that wasn't measured."""
+    lines = _lines(operation)
+    return min(lines, key=lambda s: (max(0.0, lines[s][0] + lines[s][1] * mb), s)) if lines else None
+
+
+def measure_joins(spark: SparkSession, build_rows: tuple[int, ...] = (10_000, 300_000, 1_000_000, 3_000_000), probe_rows: int = 2_000_000, tries: int = 3) -> DataFrame:
+    """Runs of broadcast, shuffled hash and sort-merge joins over generated keys, the best of ``tries`` each."""
+    runs = []
+    probe = spark.range(probe_rows).select(F.pmod(F.xxhash64("id"), F.lit(max(build_rows))).alias("k"), "id")
+    for n in build_rows:
+        build = spark.range(n).select(F.col("id").alias("k"), F.sha1(F.col("id").cast("string")).alias("v"))
+        for strategy, hint in (("broadcast_hash", "broadcast"), ("shuffled_hash", "shuffle_hash"), ("sort_merge", "merge")):
+            took = []
+            for _ in range(tries):
+                began = time.perf_counter()
+                probe.join(build.hint(hint), "k").write.format("noop").mode("overwrite").save()
+                took.append(time.perf_counter() - began)
+            runs.append(("join", strategy, round(n * 64 / 2**20, 3), round(min(took), 4)))
+    return spark.createDataFrame(runs, RUNS)
+
+
+def steadiness(samples: DataFrame) -> DataFrame:
+    """Of samples (query, version, ms): n, mean, the half width of its 95 % interval, and whether that is within a tenth of the
+    mean. A single sample has no interval and is never settled."""
+    found = samples.groupBy("query", "version").agg(F.count("ms").alias("n"), F.avg("ms").alias("mean_ms"), F.stddev_samp("ms").alias("sd"))
+    half = F.lit(Z95) * F.col("sd") / F.sqrt("n")
+    return found.select("query", "version", "n", "mean_ms", half.alias("half_ms"), F.coalesce(half <= 0.1 * F.col("mean_ms"), F.lit(False)).alias("settled"))
+
+
+def best_versions(samples: DataFrame) -> DataFrame:
+    """Per query the version whose interval ends lowest, among those with an interval; ties by name."""
+    known = steadiness(samples).where("half_ms IS NOT NULL").withColumn("worst_ms", F.col("mean_ms") + F.col("half_ms"))
+    best = known.groupBy("query").agg(F.min(F.struct("worst_ms", "version", "mean_ms")).alias("s"))
+    return best.select("query", "s.version", "s.mean_ms", "s.worst_ms")
+
+
+class Catalog:
+    """Operators, samples of queries, their statistics and their time buckets, kept as four tables under a folder.
+
+    ``operators`` (operation, strategy, fixed, per_mb), ``metrics`` (the samples), ``query_stats`` (n, mean, least, greatest and deviation
+    by query and version) and ``sketch_buckets`` (levels 1 to 3 by query and version; level 0 lives as long as the samples).
+    """
+
+    TABLES = ("operators", "metrics", "query_stats", "sketch_buckets")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def record(self, samples: DataFrame) -> None:
+        """Append samples (query, version, ms, n_rows, at)."""
+        samples.select("query", "version", "ms", "n_rows", "at").write.mode("append").parquet(f"{self.path}/metrics")
+
+    def save(self, runs: DataFrame) -> None:
+        """Make the other tables anew, from runs of strategies and from all samples."""
+        samples = self.table("metrics")
+        fit(runs).select("operation", "strategy", "fixed", "per_mb").write.mode("overwrite").parquet(f"{self.path}/operators")
+        stats = samples.groupBy("query", "version").agg(
+            F.count("*").alias("n"), F.avg("ms").alias("mean_ms"), F.min("ms").alias("least_ms"), F.max("ms").alias("greatest_ms"), F.stddev_pop("ms").alias("deviation_ms")
+        )
+        stats.write.mode("overwrite").parquet(f"{self.path}/query_stats")
+        keys = ("query", "version")
+        level = sketch.buckets(samples, 1, "at", "ms", keys)
+        for number in (1, 2, 3):
+            level = level if number == 1 else sketch.merge(level, number, keys)
+            level.withColumn("level", F.lit(number)).write.mode("overwrite" if number == 1 else "append").parquet(f"{self.path}/sketch_buckets")
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self.TABLES:
+            raise ValueError(f"no table {name!r}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def restore(self) -> dict[str, DataFrame]:
+        """All four tables, as temporary views catalog_<name> too."""
+        found = {name: self.table(name) for name in self.TABLES}
+        for name, df in found.items():
+            df.createOrReplaceTempView(f"catalog_{name}")
+        return found

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import filters as P
 from ..operators import joins as J
-from ..operators import sets, sketch, sorts
+from ..operators import learned, sets, sketch, sorts
 from ..operators import vectors as V
+from ..operators.shared import shared_folder
 from ..sources import files
 from ..sources.catalog import table
 from ..streaming import sketch as stream
@@ -157,14 +157,14 @@ def _(s, d):
 
 for _name, _column, _spark, _sql in (
     ("sum_int", "p_size", lambda: F.sum("p_size"), "CAST(SUM(p_size) AS BIGINT)"),
-    ("sum_double", "p_retailprice", lambda: A.exact_sum(F.col("p_retailprice")), D("p_retailprice")),
+    ("sum_double", "p_retailprice", lambda: A.total(F.col("p_retailprice"), 4), D("p_retailprice")),
     ("min_int", "p_size", lambda: F.min("p_size"), "MIN(p_size)"),
     ("max_int", "p_size", lambda: F.max("p_size"), "MAX(p_size)"),
     ("max_long", "p_partkey", lambda: F.max("p_partkey"), "MAX(p_partkey)"),
     ("min_double", "p_retailprice", lambda: F.min("p_retailprice"), "MIN(p_retailprice)"),
     ("max_double", "p_retailprice", lambda: F.max("p_retailprice"), "MAX(p_retailprice)"),
     ("avg_int", "p_size", lambda: F.round(F.avg("p_size"), 6), "ROUND(AVG(p_size), 6)"),
-    ("avg_exact", "p_retailprice", lambda: F.round(A.exact_sum(F.col("p_retailprice")) / F.count("*"), 6), f"ROUND({D('p_retailprice')} / COUNT(*), 6)"),
+    ("avg_exact", "p_retailprice", lambda: F.round(A.total(F.col("p_retailprice"), 4) / F.count("*"), 6), f"ROUND({D('p_retailprice')} / COUNT(*), 6)"),
     ("count", "*", lambda: F.count("*"), "COUNT(*)"),
     ("count_nonnull", "p_size", lambda: A.count_nonnull("p_size", 7), "COUNT(NULLIF(p_size, 7))"),
     ("count_nonzero", "p_size", lambda: A.count_nonzero("p_size"), "COUNT(*) FILTER (WHERE p_size <> 0)"),
@@ -179,12 +179,12 @@ def _(s, d):
 
 @query("agg_all_stats", f"SELECT {D('o_totalprice')} AS sum, COUNT(o_totalprice) AS count, MIN(o_totalprice) AS min, MAX(o_totalprice) AS max, ROUND({D('o_totalprice')} / COUNT(o_totalprice), 4) AS avg FROM orders")
 def _(s, d):
-    return A.all_stats(table(s, d, "orders"), "o_totalprice")
+    return A.all_stats(table(s, d, "orders"), "o_totalprice", 4).withColumn("avg", F.round("avg", 4))
 
 
 @query("agg_selection", f"SELECT {D('l_quantity')} AS total, MIN(l_quantity) AS low, MAX(l_quantity) AS high FROM lineitem WHERE l_returnflag = 'R'")
 def _(s, d):
-    return table(s, d, "lineitem").where("l_returnflag = 'R'").agg(A.exact_sum(F.col("l_quantity")).alias("total"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    return table(s, d, "lineitem").where("l_returnflag = 'R'").agg(A.total(F.col("l_quantity"), 4).alias("total"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
 
 
 @query("agg_empty_input", "SELECT MIN(p_size) AS low, MAX(p_size) AS high, AVG(p_size) AS mean, COUNT(p_size) AS n FROM part WHERE p_size < 0")
@@ -194,44 +194,44 @@ def _(s, d):
 
 @query("agg_filter_sum_product", f"SELECT {D('l_extendedprice * l_discount')} AS total FROM lineitem WHERE l_quantity < 24")
 def _(s, d):
-    return A.filter_sum_product(table(s, d, "lineitem"), F.col("l_quantity") < 24, "l_extendedprice", "l_discount")
+    return A.filter_sum_product(table(s, d, "lineitem"), F.col("l_quantity") < 24, "l_extendedprice", "l_discount", scale=4)
 
 
 @query("group_stats", f"SELECT l_suppkey, {D('l_quantity')} AS total, COUNT(*) AS n, MIN(l_quantity) AS low, MAX(l_quantity) AS high FROM lineitem GROUP BY l_suppkey")
 def _(s, d):
     q = F.col("l_quantity")
-    return A.group(table(s, d, "lineitem"), ["l_suppkey"], total=A.exact_sum(q), n=F.count("*"), low=F.min(q), high=F.max(q))
+    return A.group(table(s, d, "lineitem"), ["l_suppkey"], total=A.total(q, 4), n=F.count("*"), low=F.min(q), high=F.max(q))
 
 
 @query("group_text_keys", f"SELECT l_returnflag, l_linestatus, {D('l_quantity')} AS total FROM lineitem GROUP BY l_returnflag, l_linestatus")
 def _(s, d):
-    return A.group(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], total=A.exact_sum(F.col("l_quantity")))
+    return A.group(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], total=A.total(F.col("l_quantity"), 4))
 
 
 @query("group_dense", f"SELECT g.range AS g, {D('c_acctbal')} AS sum, COUNT(c_acctbal) AS count, MIN(c_acctbal) AS min, MAX(c_acctbal) AS max FROM range(30) g LEFT JOIN customer ON c_nationkey = g.range GROUP BY g.range")
 def _(s, d):
-    return A.dense_group(table(s, d, "customer"), "c_nationkey", 30, "c_acctbal")
+    return A.dense_group(table(s, d, "customer"), "c_nationkey", 30, "c_acctbal", 4)
 
 
 @query("group_conditional", "SELECT l_returnflag, " + ", ".join(f"{D(f'CASE WHEN {c} THEN l_quantity ELSE 0 END')} AS {n}" for n, c in (("small", "l_quantity < 10"), ("middle", "l_quantity >= 10 AND l_quantity < 40"), ("rest", "l_quantity >= 40"))) + " FROM lineitem GROUP BY l_returnflag")
 def _(s, d):
     q = F.col("l_quantity")
-    return A.conditional_sums(table(s, d, "lineitem"), ["l_returnflag"], {"small": q < 10, "middle": q < 40}, q, otherwise="rest")
+    return A.conditional_sums(table(s, d, "lineitem"), ["l_returnflag"], {"small": q < 10, "middle": q < 40}, q, otherwise="rest", scale=4)
 
 
 @query("group_having", f"SELECT l_orderkey, {D('l_quantity')} AS total FROM lineitem GROUP BY l_orderkey HAVING SUM(l_quantity) > 200")
 def _(s, d):
-    return A.having(table(s, d, "lineitem"), ["l_orderkey"], A.exact_sum(F.col("l_quantity")), "total > 200", "total")
+    return A.having(table(s, d, "lineitem"), ["l_orderkey"], A.total(F.col("l_quantity"), 4), "total > 200", "total")
 
 
 @query("group_two_phase", f"SELECT l_returnflag, {D('l_quantity')} AS sum, COUNT(l_quantity) AS count FROM lineitem GROUP BY l_returnflag")
 def _(s, d):
-    return A.two_phase(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity")
+    return A.two_phase(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity", scale=4)
 
 
 @query("group_top_n", f"SELECT l_partkey, {D('l_extendedprice')} AS total FROM lineitem GROUP BY l_partkey ORDER BY total DESC, l_partkey LIMIT 25")
 def _(s, d):
-    return A.top_groups(table(s, d, "lineitem"), ["l_partkey"], A.exact_sum(F.col("l_extendedprice")), 25, "total")
+    return A.top_groups(table(s, d, "lineitem"), ["l_partkey"], A.total(F.col("l_extendedprice"), 4), 25, "total")
 
 
 @query("group_count_distinct", "SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS n_distinct FROM lineitem GROUP BY l_returnflag")
@@ -262,18 +262,23 @@ def _(s, d):
 
 @query("group_rollup", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def _(s, d):
-    return table(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return A.rollup(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], n=F.count("*"))
 
 
 @query("group_cube", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def _(s, d):
-    return table(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return A.cube(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], n=F.count("*"))
 
 
 @query("window_running", "SELECT o_orderkey, o_custkey, " + "CAST(SUM(CAST(o_totalprice AS DECIMAL(18,4))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running FROM orders")
 def _(s, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return table(s, d, "orders").select("o_orderkey", "o_custkey", F.sum(F.col("o_totalprice").cast("decimal(18,4)")).over(w).cast("double").alias("running"))
+    rows = A.running(table(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "running", F.sum(F.col("o_totalprice").cast("decimal(18,4)")))
+    return rows.select("o_orderkey", "o_custkey", F.col("running").cast("double").alias("running"))
+
+
+@query("window_lag", "SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders")
+def _(s, d):
+    return A.lagged(table(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey", "before").select("o_orderkey", "o_custkey", "before")
 
 
 # -- joins -----------------------------------------------------------------------------------------------------------------
@@ -308,7 +313,19 @@ def _(s, d):
 
 @query("join_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def _(s, d):
-    return J.join(table(s, d, "part"), table(s, d, "lineitem").where("l_quantity > 49"), [("p_partkey", "l_partkey")], "anti").select("p_partkey")
+    return J.not_in(table(s, d, "part"), table(s, d, "lineitem").where("l_quantity > 49"), "p_partkey", "l_partkey").select("p_partkey")
+
+
+@query("join_not_in_nulls", "SELECT p_partkey FROM part WHERE NULLIF(p_size, 7) NOT IN (SELECT NULLIF(l_linenumber, 2) FROM lineitem)")
+def _(s, d):
+    """A null among the keys lets nothing through."""
+    part, line = table(s, d, "part").withColumn("size", F.expr("nullif(p_size, 7)")), table(s, d, "lineitem").select(F.expr("nullif(l_linenumber, 2)").alias("k"))
+    return J.not_in(part, line, "size", "k").select("p_partkey")
+
+
+@query("join_not_in_null_probe", "SELECT p_partkey FROM part WHERE NULLIF(p_size, 7) NOT IN (SELECT l_linenumber FROM lineitem)")
+def _(s, d):
+    return J.not_in(table(s, d, "part").withColumn("size", F.expr("nullif(p_size, 7)")), table(s, d, "lineitem"), "size", "l_linenumber").select("p_partkey")
 
 
 @query("join_merge", "SELECT o_orderkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 48")
@@ -371,17 +388,17 @@ def _(s, d):
 
 @query("join_group_sum", f"SELECT c_mktsegment, {D('o_totalprice')} AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 def _(s, d):
-    return J.join_group_sum(table(s, d, "orders"), table(s, d, "customer"), ("o_custkey", "c_custkey"), ["c_mktsegment"], F.col("o_totalprice"))
+    return J.join_group_sum(table(s, d, "orders"), table(s, d, "customer"), ("o_custkey", "c_custkey"), ["c_mktsegment"], F.col("o_totalprice"), scale=4)
 
 
 @query("join_outer_aggregate", f"SELECT c_custkey, COUNT(o_orderkey) AS n, COALESCE({D('o_totalprice')}, 0) AS total FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderdate < DATE '1995-06-01') o ON o_custkey = c_custkey GROUP BY c_custkey")
 def _(s, d):
-    return J.outer_join_aggregate(table(s, d, "customer").select("c_custkey"), _early(s, d), ("c_custkey", "o_custkey"), "o_totalprice")
+    return J.outer_join_aggregate(table(s, d, "customer").select("c_custkey"), _early(s, d), ("c_custkey", "o_custkey"), "o_totalprice", 4)
 
 
 @query("join_bloom", "SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 400000")
 def _(s, d):
-    return J.join(table(s, d, "lineitem"), table(s, d, "orders").where("o_totalprice > 400000"), [("l_orderkey", "o_orderkey")]).select("l_orderkey", "l_linenumber", "o_totalprice")
+    return J.bloom_join(table(s, d, "lineitem"), table(s, d, "orders").where("o_totalprice > 400000"), ("l_orderkey", "o_orderkey")).select("l_orderkey", "l_linenumber", "o_totalprice")
 
 
 @query("join_as_of", "SELECT e.event_id, e.value, (SELECT max_by(p.value, p.ts) FROM (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p WHERE p.user_id = e.user_id AND p.ts <= e.ts) AS value_as_of FROM events e WHERE event_type = 'click'")
@@ -444,14 +461,11 @@ def _(s, d):
     return sorts.merge_sorted([table(s, d, "customer").select(F.col("c_nationkey").alias("k")), table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))], ["k"])
 
 
-_SETS = ("SELECT c_nationkey AS k FROM customer WHERE c_custkey % 100 < 20", "SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 10 < 4")
+_SETS = ("SELECT l_partkey AS k FROM lineitem", "SELECT o_custkey AS k FROM orders")
 
 
 def _two(s, d):
-    return (
-        table(s, d, "customer").where("c_custkey % 100 < 20").select(F.col("c_nationkey").alias("k")),
-        table(s, d, "supplier").where("s_suppkey % 10 < 4").select(F.col("s_nationkey").alias("k")),
-    )
+    return table(s, d, "lineitem").select(F.col("l_partkey").alias("k")), table(s, d, "orders").select(F.col("o_custkey").alias("k"))
 
 
 for _name, _word, _f in (
@@ -463,22 +477,7 @@ for _name, _word, _f in (
     query(f"set_{_name}", f"{_SETS[0]} {_word} {_SETS[1]}")(lambda s, d, f=_f: f(*_two(s, d)))
 
 query("set_except_all", f"{_SETS[0]} EXCEPT ALL {_SETS[1]}")(lambda s, d: sets.minus(*_two(s, d), keep_duplicates=True))
-_WHOLE_SETS = ("SELECT l_partkey AS k FROM lineitem", "SELECT o_custkey AS k FROM orders")
-
-
-def _whole(s, d):
-    return table(s, d, "lineitem").select(F.col("l_partkey").alias("k")), table(s, d, "orders").select(F.col("o_custkey").alias("k"))
-
-
-for _name, _word, _f in (
-    ("union_all", "UNION ALL", sets.union_all),
-    ("union", "UNION", sets.union),
-    ("intersect", "INTERSECT", sets.intersect),
-    ("except", "EXCEPT", sets.minus),
-):
-    query(f"set_{_name}_whole", f"{_WHOLE_SETS[0]} {_word} {_WHOLE_SETS[1]}")(lambda s, d, f=_f: f(*_whole(s, d)))
-
-query("set_except_all_whole", f"{_WHOLE_SETS[0]} EXCEPT ALL {_WHOLE_SETS[1]}")(lambda s, d: sets.minus(*_whole(s, d), keep_duplicates=True))
+query("set_intersect_all", f"{_SETS[0]} INTERSECT ALL {_SETS[1]}")(lambda s, d: sets.intersect(*_two(s, d), keep_duplicates=True))
 query("set_distinct", "SELECT DISTINCT p_brand, p_type FROM part")(lambda s, d: sets.distinct(table(s, d, "part"), ["p_brand", "p_type"]))
 
 # -- scalar functions ------------------------------------------------------------------------------------------------------
@@ -600,7 +599,11 @@ def _(s, d):
     return found.select("query_id", "vec_id", F.round("distance", 4).alias("distance"), "rank")
 
 
-@query("vec_fp16")
+#: An element rounded to half precision: eleven binary digits, the last place of the smallest numbers being 2 ** -24.
+_HALF = "list_transform({}::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / power(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * power(2, greatest(floor(log2(abs(x))), -14) - 10) END)"
+
+
+@query("vec_fp16", f"SELECT vec_id, ROUND(distance, 3) AS distance FROM (SELECT vec_id, power(list_distance({_HALF.format('embedding')}, q), 2) AS distance FROM embeddings, {_Q}) ORDER BY distance, vec_id LIMIT 10")
 def _(s, d):
     return V.knn(table(s, d, "embeddings").withColumn("embedding", V.to_half(F.col("embedding"))), _one(s, d), 10).select("vec_id", F.round("distance", 3).alias("distance"))
 
@@ -719,12 +722,62 @@ def _(s, d):
     return _found(V.InvertedIndex().build(e).search_batch(asked, 10))
 
 
-@query("vec_fp16_batch")
+@query("vec_fp16_batch", f"SELECT query_id, vec_id, ROUND(distance, 4) AS distance, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, power(list_distance(a.embedding::DOUBLE[], h), 2) AS distance FROM embeddings a, (SELECT vec_id, {_HALF.format('embedding')} AS h FROM embeddings) b WHERE a.vec_id % 100 = 0)) WHERE rank <= 10")
 def _(s, d):
     e, asked = _asked(s, d)
     return _found(V.knn_batch(e.withColumn("embedding", V.to_half(F.col("embedding"))), asked, 10))
 
 
+for _metric in ("cosine", "ip", "l1"):
+
+    @query(f"vec_inverted_index_{_metric}_batch")
+    def _(s, d, metric=_metric):
+        e, asked = _asked(s, d)
+        return _found(V.InvertedIndex(metric=metric).build(e).search_batch(asked, 10))
+
+
+@query("vec_quantized_index_batch")
+def _(s, d):
+    """By codes first, then by the vectors themselves."""
+    e, asked = _asked(s, d)
+    return _found(V.QuantizedIndex(V.RotatedProductQuantizer()).build(e).search_batch(asked, 10))
+
+
+@query("vec_autoencoder")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    model = learned.Autoencoder().fit(e)
+    back = e.withColumn("back", model.decode(model.encode(F.col("embedding"))))
+    return back.select("vec_id", F.round(V.l2_squared(F.col("embedding"), F.col("back")), 4).alias("error"))
+
+
+@query("vec_neural_quantizer")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    model = learned.NeuralQuantizer().fit(e)
+    return e.select("vec_id", model.encode(F.col("embedding")).alias("codes"))
+
+
+@query("vec_learned_similarity")
+def _(s, d):
+    """Pairs of each vector with those before it by one and by some: learned from whether their distance is less than usual."""
+    e = table(s, d, "embeddings")
+    pairs = e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    usual = pairs.agg(F.percentile_approx(V.l2_squared(F.col("a"), F.col("b")), 0.5)).first()[0]
+    model = learned.PairModel().fit(pairs.withColumn("label", (V.l2_squared(F.col("a"), F.col("b")) < usual).cast("int")))
+    return pairs.select("vec_id", F.round(model.score(F.col("a"), F.col("b")), 4).alias("score"))
+
+
+@query("vec_adapter", "SELECT vec_id, ROUND(embedding[1]::DOUBLE + 0.5 * greatest(list_sum(embedding::DOUBLE[]), 0), 4) AS first, ROUND(embedding[2]::DOUBLE, 4) AS second FROM embeddings")
+def _(s, d):
+    import numpy as np
+
+    up = np.zeros((64, 1))
+    up[0] = 1
+    rows = table(s, d, "embeddings").select("vec_id", V.adapter(F.col("embedding"), np.ones((1, 64)), up, 0.5).alias("y"))
+    return rows.select("vec_id", F.round(F.get("y", F.lit(0)), 4).alias("first"), F.round(F.get("y", F.lit(1)), 4).alias("second"))
+
+
 @query("vec_product_quantizer_batch")
 def _(s, d):
     e, asked = _asked(s, d)
@@ -748,23 +801,23 @@ FROM events WHERE value IS NOT NULL GROUP BY 1))"""
 
 
 for _level, (_seconds, _) in sketch.LEVELS.items():
-    query(f"sketch_level_{_level}", _bucket_sql(_seconds))(lambda s, d, n=_level: sketch.finished(sketch.buckets(table(s, d, "events"), n)))
+    query(f"sketch_level_{_level}", _bucket_sql(_seconds))(lambda s, d, n=_level: sketch.finished(sketch.buckets(table(s, d, "events"), n, scale=4)))
 
 
 @query("sketch_merged", _bucket_sql(86400))
 def _(s, d):
     """Days from hours from minutes: only the finest level reads the data."""
-    return sketch.finished(sketch.merge(sketch.merge(sketch.buckets(table(s, d, "events"), 1), 2), 3))
+    return sketch.finished(sketch.merge(sketch.merge(sketch.buckets(table(s, d, "events"), 1, scale=4), 2), 3))
 
 
 @query("sketch_recent", f"WITH e AS (SELECT CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) b, value FROM events WHERE value IS NOT NULL) SELECT COUNT(*) AS n, ROUND({D('value')}, 4) AS total, MIN(value) AS low, MAX(value) AS high FROM e WHERE b > 1705276800 - 86400 AND b <= 1705276800")
 def _(s, d):
-    return sketch.recent(sketch.buckets(table(s, d, "events"), 1), 1705276800, 86400)
+    return sketch.recent(sketch.buckets(table(s, d, "events"), 1, scale=4), 1705276800, 86400)
 
 
 @query("sketch_retained", "WITH e AS (SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bucket, COUNT(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT bucket, n FROM e WHERE bucket > (SELECT MAX(bucket) FROM e) - 3600 * 168")
 def _(s, d):
-    return sketch.retained(sketch.buckets(table(s, d, "events"), 2), 2).select("bucket", "n")
+    return sketch.retained(sketch.buckets(table(s, d, "events"), 2, scale=4), 2).select("bucket", "n")
 
 
 @query("stream_sketch", "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bucket, COUNT(*) AS n, ROUND(CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DOUBLE), 4) AS total FROM events WHERE value IS NOT NULL GROUP BY 1")
@@ -776,29 +829,56 @@ def _(s, d):
         events = reader.parquet(f"{d}/events.parquet")
     else:
         events = reader.option("pathGlobFilter", "events*.parquet").parquet(d)
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkcol-stream-")
-    run = uuid.uuid4().hex
-    found = stream.run_available(stream.windowed(events, 3600), f"stream_sketch_{run}", f"{root}/stream-{run}")
+    run = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    found = stream.run_available(stream.windowed(events, 3600, scale=4), f"{run}/buckets", f"{run}/state")
     return found.select("bucket", "n", F.round(F.col("total").cast("double"), 4).alias("total"))
 
 
 # -- strategies and measured runs ------------------------------------------------------------------------------------------
 
+_RUNS = "(VALUES " + ", ".join(f"('{o}', '{n}', {mb}::DOUBLE, {t}::DOUBLE)" for o, n, mb, t in advisor.MEASURED) + ") r(operation, strategy, mb, seconds)"
+_FIT = f"""SELECT operation, strategy, n, CASE WHEN b > 0 THEN a ELSE mean END AS fixed, CASE WHEN b > 0 THEN b ELSE 0 END AS per_mb FROM (
+SELECT operation, strategy, COUNT(*) AS n, AVG(seconds) AS mean, regr_intercept(seconds, mb) AS a, regr_slope(seconds, mb) AS b FROM {_RUNS} GROUP BY 1, 2)"""
+
+
+@query("advisor_fit", f"SELECT operation, strategy, n, ROUND(fixed, 6) AS fixed, ROUND(per_mb, 6) AS per_mb FROM ({_FIT})")
+def _(s, d):
+    return advisor.fit(advisor.measured(s)).select("operation", "strategy", "n", F.round("fixed", 6).alias("fixed"), F.round("per_mb", 6).alias("per_mb"))
+
+
+@query("advisor_choice", f"SELECT operation, arg_min(strategy, (x, strategy)) AS strategy, ROUND(MIN(x), 6) AS seconds FROM (SELECT *, greatest(0, fixed + per_mb * 40) AS x FROM ({_FIT})) GROUP BY operation")
+def _(s, d):
+    return advisor.choose(advisor.fit(advisor.measured(s)), 40.0).withColumn("seconds", F.round("seconds", 6))
+
 
-def _values() -> str:
-    rows = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}" + ("::DOUBLE" if isinstance(v, float) else "::BIGINT") for v in r) + ")" for r in advisor.STRATEGIES)
-    return f"(VALUES {rows}) t(name, operation, startup, per_row, parallelism, memory, energy, min_rows, max_rows)"
+_SAMPLES = "SELECT 'q' || (o_orderkey % 5) AS query, 'v' || (o_orderkey % 3) AS version, o_totalprice AS ms FROM orders"
+
+
+def _samples(s, d):
+    text = lambda c, n: F.concat(F.lit(c), (F.col("o_orderkey") % n).cast("string"))
+    return table(s, d, "orders").select(text("q", 5).alias("query"), text("v", 3).alias("version"), F.col("o_totalprice").alias("ms"), F.lit(1).cast("long").alias("n_rows"), F.col("o_orderdate").cast("timestamp").alias("at"))
+
+
+_STEADY = f"SELECT query, version, COUNT(ms) AS n, AVG(ms) AS mean_ms, 1.96 * stddev_samp(ms) / sqrt(COUNT(ms)) AS half_ms FROM ({_SAMPLES}) GROUP BY 1, 2"
+
+
+@query("advisor_steadiness", f"SELECT query, version, n, ROUND(mean_ms, 4) AS mean_ms, ROUND(half_ms, 4) AS half_ms, coalesce(half_ms <= 0.1 * mean_ms, false) AS settled FROM ({_STEADY})")
+def _(s, d):
+    return advisor.steadiness(_samples(s, d)).select("query", "version", "n", F.round("mean_ms", 4).alias("mean_ms"), F.round("half_ms", 4).alias("half_ms"), "settled")
 
 
-@query("advisor_choice", f"WITH x AS (SELECT *, ROUND((startup + per_row * 5000000 / parallelism) * CASE WHEN min_rows > 5000000 OR coalesce(max_rows < 5000000, false) THEN 1.2 ELSE 1 END, 6) score FROM {_values()}) SELECT operation, arg_min(name, (score, name)) AS name, MIN(score) AS score FROM x GROUP BY operation")
+@query("advisor_best_versions", f"SELECT query, arg_min(version, mean_ms + half_ms) AS version, ROUND(MIN(mean_ms + half_ms), 4) AS worst_ms FROM ({_STEADY}) WHERE half_ms IS NOT NULL GROUP BY query")
 def _(s, d):
-    return advisor.choose(advisor.strategies(s), 5_000_000)
+    return advisor.best_versions(_samples(s, d)).select("query", "version", F.round("worst_ms", 4).alias("worst_ms"))
 
 
-@query("advisor_confidence", "WITH r AS (SELECT 'q' || (o_orderkey % 5) AS query, 'v' || (o_orderkey % 3) AS version, o_totalprice AS ms FROM orders), g AS (SELECT query, version, COUNT(*) AS n, AVG(ms) AS a, stddev_pop(ms) AS sd FROM r GROUP BY 1, 2) SELECT query, version, n, ROUND(a, 4) AS avg_ms, ROUND(CASE WHEN n >= 3 THEN 0.6 * least(1, n / 30) + 0.4 * greatest(0, 1 - sd / a) ELSE 0 END, 4) AS confidence FROM g")
+@query("catalog_stats", f"SELECT query, version, COUNT(*) AS n, ROUND(AVG(ms), 4) AS mean_ms, MIN(ms) AS least_ms, MAX(ms) AS greatest_ms FROM ({_SAMPLES}) GROUP BY 1, 2")
 def _(s, d):
-    runs = table(s, d, "orders").select(F.concat(F.lit("q"), (F.col("o_orderkey") % 5).cast("string")).alias("query"), F.concat(F.lit("v"), (F.col("o_orderkey") % 3).cast("string")).alias("version"), F.col("o_totalprice").alias("ms"))
-    return advisor.confidence(runs)
+    """Samples recorded, saved and restored."""
+    kept = advisor.Catalog(s, f"{shared_folder(s)}/catalog-{uuid.uuid4().hex}")
+    kept.record(_samples(s, d))
+    kept.save(advisor.measured(s))
+    return kept.restore()["query_stats"].select("query", "version", "n", F.round("mean_ms", 4).alias("mean_ms"), "least_ms", "greatest_ms")
 
 
 # -- decision support ------------------------------------------------------------------------------------------------------

@@ -233,8 +233,8 @@ def test_product_quantizer_tables_agree_with_decoding(spark, data_dir):
 
 def test_sketch_levels_merge(spark, data_dir):
     events = catalog.table(spark, data_dir, "events")
-    direct = sorted(map(tuple, sketch.finished(sketch.buckets(events, 3)).collect()))
-    assert direct == sorted(map(tuple, sketch.finished(sketch.merge(sketch.merge(sketch.buckets(events, 0), 2), 3)).collect()))
+    direct = sorted(map(tuple, sketch.finished(sketch.buckets(events, 3, scale=4)).collect()))
+    assert direct == sorted(map(tuple, sketch.finished(sketch.merge(sketch.merge(sketch.buckets(events, 0, scale=4), 2), 3)).collect()))
     assert sketch.recent(sketch.buckets(events, 1), 0, 10).first()["n"] == 0
 
 
@@ -252,14 +252,197 @@ def test_files(spark, tmp_path):
     assert files.from_arrays(spark, a=[1, 2], b=[0.5, 1.5]).count() == 2
 
 
-def test_advisor(spark, tmp_path):
-    table = advisor.strategies(spark)
-    assert {r.operation: r.name for r in advisor.choose(table, 1000).collect()}["join"] == "broadcast_join"
-    for goal in ("cost", "latency", "throughput", "memory", "energy"):
-        assert advisor.choose(table, 10**8, goal, 0.5).count() == table.select("operation").distinct().count()
-    runs = spark.createDataFrame([("q", "a", 10.0)] * 3 + [("q", "b", 5.0)] * 2, "query string, version string, ms double")
-    advisor.save_runs(runs, str(tmp_path / "runs"))
-    assert advisor.best_versions(advisor.load_runs(spark, str(tmp_path / "runs"))).first()["version"] == "a"
+def test_advisor(spark):
+    runs = [("join", "a", 1.0, 0.1), ("join", "a", 11.0, 1.1), ("join", "b", 1.0, 0.5), ("join", "b", 11.0, 0.6), ("sort", "only", 4.0, 2.0), ("sort", "falls", 1.0, 3.0), ("sort", "falls", 2.0, 2.0)]
+    lines = advisor.fit(spark.createDataFrame(runs, advisor.RUNS))
+    found = {(r.operation, r.strategy): (r.n, round(r.fixed, 9), round(r.per_mb, 9)) for r in lines.collect()}
+    assert found == {("join", "a"): (2, 0.0, 0.1), ("join", "b"): (2, 0.49, 0.01), ("sort", "only"): (1, 2.0, 0.0), ("sort", "falls"): (2, 2.5, 0.0)}
+    assert [{r.operation: r.strategy for r in advisor.choose(lines, mb).collect()} for mb in (2, 8)] == [{"join": "a", "sort": "only"}, {"join": "b", "sort": "only"}]
+    measured = advisor.fit(advisor.measured(spark))
+    for mb in (0.1, 5.0, 60.0, 4000.0):
+        assert advisor.fastest("join", mb) == advisor.choose(measured, mb).where("operation = 'join'").first()["strategy"]
+    assert advisor.fastest("nothing", 1.0) is None
+
+
+def test_joins_ask_the_advisor(spark, data_dir, monkeypatch):
+    probe, build = keys(spark, [1, 2, 3], "p"), catalog.table(spark, data_dir, "nation").select(F.col("n_nationkey").alias("b"))
+    big = spark.range(10**9).select(F.col("id").cast("int").alias("b"))
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(J.join(probe, build, [("p", "b")])) and "broadcast" not in plan(J.join(probe, big, [("p", "b")]))
+    monkeypatch.setattr(advisor, "fastest", lambda operation, mb: "sort_merge")
+    assert "broadcast" not in plan(J.join(probe, build, [("p", "b")]))
+
+
+def test_catalog_is_kept_and_restored(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1, 10, 0, 0)
+    samples = [("q", "a", 10.0 + i, 5, at + datetime.timedelta(minutes=i)) for i in range(4)] + [("q", "b", 5.0, 5, at), ("q", "b", 90.0, 5, at), ("q", "c", 1.0, 5, at)]
+    kept = advisor.Catalog(spark, str(tmp_path / "catalog"))
+    kept.record(spark.createDataFrame(samples[:3], advisor.SAMPLES))
+    kept.record(spark.createDataFrame(samples[3:], advisor.SAMPLES))
+    kept.save(advisor.measured(spark))
+    kept.save(advisor.measured(spark))  # makes the tables anew
+    found = advisor.Catalog(spark, str(tmp_path / "catalog")).restore()
+    assert set(found) == set(advisor.Catalog.TABLES) and found["metrics"].count() == 7
+    assert {(r.version, r.n, r.mean_ms, r.least_ms, r.greatest_ms) for r in found["query_stats"].collect()} == {("a", 4, 11.5, 10.0, 13.0), ("b", 2, 47.5, 5.0, 90.0), ("c", 1, 1.0, 1.0, 1.0)}
+    levels = {(r.level, r.version): r.n for r in found["sketch_buckets"].groupBy("level", "version").agg(F.sum("n").alias("n")).collect()}
+    assert levels == {(i, v): n for i in (1, 2, 3) for v, n in (("a", 4), ("b", 2), ("c", 1))}
+    assert spark.table("catalog_operators").count() == found["operators"].count() > 0
+    steady = {r.version: r.settled for r in advisor.steadiness(found["metrics"]).collect()}
+    assert steady == {"a": False, "b": False, "c": False} and advisor.best_versions(found["metrics"]).first()["version"] == "a"
+
+
+def test_own_queries_and_operators(spark, data_dir):
+    from sparkcol.plans import registry
+
+    def halves(df):
+        """Half of each."""
+        return df.select((F.col("id") / 2).alias("half"))
+
+    try:
+        registry.register_operator("own.halves", halves)
+        registry.register_query("own_query", lambda s, d: registry.operator("own.halves")(s.range(4)), "SELECT range / 2 AS half FROM range(4)")
+        assert [r.half for r in registry.queries()["own_query"](spark, data_dir).collect()] == [0.0, 0.5, 1.0, 1.5] and "own_query" in registry.oracle_sql()
+        rows = {r.name: r for r in registry.operators(spark).collect()}
+        assert rows["own.halves"].says == "Half of each." and "joins.not_in" in rows and len(rows) > 100
+        for taken in (lambda: registry.register_operator("own.halves", halves), lambda: registry.register_query("tpch_q1", None)):
+            with pytest.raises(ValueError):
+                taken()
+    finally:
+        registry.unregister("own.halves")
+        registry.unregister("own_query")
+    assert "own_query" not in registry.queries()
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_without_loops_over_pairs(spark, data_dir):
+    from sparkcol.plans import registry
+
+    part = catalog.table(spark, data_dir, "part")
+    for name in ("join_not_in", "join_not_in_nulls", "join_inequality_counts", "tpch_q16", "tpch_q21"):
+        plan = executed(registry.queries()[name](spark, data_dir))
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+    bloom = executed(registry.queries()["join_bloom"](spark, data_dir))
+    assert "might_contain" in bloom
+    large = spark.range(400).select(F.col("id").alias("b"))
+    J_MOST, J.MOST_BROADCAST = J.MOST_BROADCAST, 1
+    try:
+        for op in ("lt", "le", "gt", "ge"):
+            pairs = J.inequality_join(part.select("p_size").limit(50), large, "p_size", op, "b", 8)
+            assert "NestedLoop" not in executed(pairs)
+            want = part.select("p_size").limit(50).collect()
+            cmp = {"lt": int.__lt__, "le": int.__le__, "gt": int.__gt__, "ge": int.__ge__}[op]
+            assert pairs.count() == sum(cmp(r.p_size, x) for r in want for x in range(400))
+    finally:
+        J.MOST_BROADCAST = J_MOST
+
+
+def test_bloom_joins_lose_nothing(spark):
+    probe, build = keys(spark, [1, 2, 2, None, 9] * 50, "p"), keys(spark, [2, 2, None, 7], "b")
+    assert J.bloom_join(probe, build, ("p", "b")).count() == 200
+    assert J.bloom_join(probe, build.where("b > 100"), ("p", "b")).count() == 0
+    words = [spark.createDataFrame([(w,) for w in ws], f"{c} string") for c, ws in (("p", ["a", "b", "c"]), ("b", ["c", "d"]))]
+    assert J.bloom_join(*words, ("p", "b")).count() == 1
+    assert J.bloom_join(probe, build, ("p", "b"), most_bits=64).count() == 200
+
+
+def test_not_in_of_an_empty_side(spark):
+    probe, none = keys(spark, [1, None], "p"), keys(spark, [5], "b").where("b < 0")
+    assert J.not_in(probe, none, "p", "b").count() == 2
+
+
+def test_sums_of_small_and_large_values(spark):
+    small, large = column(spark, [1e-5] * 10, "double"), column(spark, [1e15, 1e15, 0.5], "double")
+    assert abs(A.all_stats(small, "v").first()["sum"] - 1e-4) < 1e-12 and A.all_stats(large, "v").first()["sum"] == 2e15 + 0.5
+    assert A.all_stats(large, "v", 4).first()["sum"] == 2e15 + 0.5
+    assert A.dense_group(large.withColumn("g", F.lit(0)), "g", 1, "v").first()["sum"] == 2e15 + 0.5
+    assert abs(A.filter_sum_product(small, F.lit(True), "v", "v").first()[0] - 1e-9) < 1e-15
+    events = large.withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    assert sketch.finished(sketch.buckets(events, 1, value="v")).first()["total"] == 2e15 + 0.5
+
+
+def test_hashes_are_the_known_ones(spark):
+    import xxhash
+
+    rows = J.hashes(spark.createDataFrame([("a",), ("Spark",), (None,)], "k string"), "k").collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    assert [r.h64 for r in rows] == [signed(xxhash.xxh64_intdigest(w, 42)) for w in ("a", "Spark")] + [42]
+    assert [r.h32 for r in rows][1:] == [228093765, 42]  # the first is what the documentation of hash() shows
+
+
+def test_approximate_distinct_counts_are_near(spark, data_dir):
+    line = catalog.table(spark, data_dir, "lineitem")
+    near = {r.l_returnflag: r.n_distinct for r in A.approx_distinct(line, ["l_returnflag"], "l_orderkey", 0.02).collect()}
+    for r in A.distinct_counts(line, ["l_returnflag"], "l_orderkey").collect():
+        assert abs(near[r.l_returnflag] - r.n_distinct) <= 4 * 0.02 * r.n_distinct
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip", "l1"])
+def test_the_inverted_index_finds_most_by_each_metric(spark, sf, metric):
+    e = catalog.table(spark, f"/root/testdata/{sf}", "embeddings")
+    asked = e.where("vec_id % 100 = 0")
+    rows = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
+    exact, found = rows(V.knn_batch(e, asked, 10, metric)), rows(V.InvertedIndex(metric=metric).build(e).search_batch(asked, 10))
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_quantized_search_finds_most_and_rotation_helps(spark):
+    e = catalog.table(spark, "/root/testdata/sf0.01", "embeddings")
+    asked = e.where("vec_id % 100 = 0")
+    rows = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
+    exact, found = rows(V.knn_batch(e, asked, 10)), rows(V.QuantizedIndex(V.RotatedProductQuantizer()).build(e).search_batch(asked, 10))
+    assert len(exact & found) >= 0.9 * len(exact)
+    assert V.reconstruction_error(e, V.RotatedProductQuantizer().fit(e)) <= 1.02 * V.reconstruction_error(e, V.ProductQuantizer().fit(e))
+
+
+def test_filtered_search(spark, data_dir):
+    e = catalog.table(spark, data_dir, "embeddings")
+    q = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
+    found = V.InvertedIndex(lists=4).build(e).search(q, 10, 4, F.col("vec_id") % 2 == 1).collect()
+    assert [r.vec_id for r in found] == [r.vec_id for r in V.knn(e.where("vec_id % 2 = 1"), q, 10).collect()]
+
+
+def test_learned_codes_and_similarity(spark):
+    import random
+
+    from sparkcol.operators import learned
+
+    rng = random.Random(0)
+    axes = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(3)]
+    rows = [(i, [sum(a * x for a, x in zip(w, col)) for col in zip(*axes)]) for i in range(400) for w in [[rng.gauss(0, 1) for _ in range(3)]]]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    spread = sum(x * x for _, v in rows for x in v) / len(rows)
+    assert V.reconstruction_error(e, learned.Autoencoder(3).fit(e)) < 0.1 * spread
+    for parts in (1, 3):
+        model = learned.NeuralQuantizer(parts, 32, size=3).fit(e)
+        assert V.reconstruction_error(e, model) < 0.4 * spread
+        assert {len(r.c) for r in e.select(model.encode(F.col("embedding")).alias("c")).collect()} == {parts}
+    pairs = e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    near = V.dot(F.col("a"), F.col("b")) > 0
+    for kind in ("mlp", "cross"):
+        model = learned.PairModel(kind).fit(pairs.withColumn("label", near.cast("int")))
+        scored = pairs.select(near.alias("near"), model.score(F.col("a"), F.col("b")).alias("s")).collect()
+        assert sum((r.s > 0.5) == r.near for r in scored) >= 0.9 * len(scored) and all(0 <= r.s <= 1 for r in scored)
+    with pytest.raises(ValueError):
+        learned.PairModel("other")
+
+
+def test_streamed_buckets_come_from_files(spark, data_dir, tmp_path):
+    from sparkcol.streaming import sketch as stream
+
+    events = catalog.table(spark, data_dir, "events")
+    events.repartition(6).write.parquet(str(tmp_path / "in"))
+    source = lambda files=1, late="3650 days": stream.windowed(stream.read_events(spark, str(tmp_path / "in"), events.schema, files), 3600, late=late, scale=4)
+    found = stream.run_available(source(), str(tmp_path / "out"), str(tmp_path / "state"))
+    want = sorted((r.bucket, r.n) for r in sketch.buckets(events, 2).collect())
+    assert sorted((r.bucket, r.n) for r in found.collect()) == want
+    assert sorted((r.bucket, r.n) for r in stream.run_available(source(), str(tmp_path / "out"), str(tmp_path / "state")).collect()) == want
+    stream.run_to_parquet(source(8, "1 hour"), str(tmp_path / "done"), str(tmp_path / "done_state"))
+    assert 0 < spark.read.parquet(str(tmp_path / "done")).count() < len(want)
 
 
 def test_filters_and_columns_reach_the_scan(spark, data_dir):
