@@ -5,8 +5,10 @@ expectation-maximisation estimates the proportions, and the set of languages is
 the likelihood gains more than its penalty. The largest share of the chosen set is the prediction.
 
 Null texts and texts without letters are ``und`` with score 0, and so is everything if nothing could be learned.
-Null languages teach nothing. Repeated rows count as often as they occur. The driver holds one number for each
-language and feature: 2**15 per language.
+Null languages teach nothing. Repeated rows count as often as they occur; an empty table gives an empty result. Of languages with equal
+shares the first by name is taken. A text is read in pieces of 4 MB, so a very long one needs little more than its own size.
+The model is one array of 2**15 numbers (256 KB) for each language, on the driver and in each task, which bounds the number of
+languages: beyond ``MOST_LANGUAGES`` (256 MB) fitting raises an error.
 """
 
 from __future__ import annotations
@@ -64,28 +66,30 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: floa
             at = np.flatnonzero(x)
             yield pd.DataFrame({"lang": name, "feature": at.astype(np.int32), "n": x[at]})
 
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        whole = np.zeros(FEATURES, np.int64)
+        whole[frame["feature"].to_numpy()] = frame["n"].to_numpy()
+        return pd.DataFrame({"lang": frame["lang"].iloc[:1], "x": [whole.tobytes()]})
+
     summed = rows.mapInPandas(run, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    by_language = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("feature", "n"))).alias("x")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    by_language = summed.groupBy("lang").applyInPandas(packed, "lang string, x binary").orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(by_language) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    table = np.full((len(by_language), FEATURES), smoothing)
-    for i, row in enumerate(by_language):
-        table[i, [x[0] for x in row["x"]]] += [x[1] for x in row["x"]]
+    table = np.array([np.frombuffer(row["x"], np.int64) for row in by_language], float).reshape(len(by_language), FEATURES) + smoothing
     return Model([row["lang"] for row in by_language], table / table.sum(axis=1, keepdims=True))
 
 
-def mixture(x: np.ndarray, p: np.ndarray, rounds: int, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Proportions of the rows of ``p`` (feature probabilities) in the counts ``x``, and the log-likelihood, by EM."""
+def mixture(x: np.ndarray, p: np.ndarray, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Proportions of the rows of ``p`` (feature probabilities) in the counts ``x``, and the log-likelihood, by EM until no share
+    moves by as much as the tolerance. Each round raises the likelihood, so it ends."""
     share = np.full(len(p), 1 / len(p))
     n = x.sum()
-    for _ in range(rounds):
-        total = share @ p
-        new = share * (p @ (x / total)) / n
+    while True:
+        new = share * (p @ (x / (share @ p))) / n
         moved = np.abs(new - share).max()
         share = new
         if moved < tolerance:
-            break
-    return share, float(x @ np.log(share @ p))
+            return share, float(x @ np.log(share @ p))
 
 
 def identify(text: str | None, model: Model, penalty: float = 1.5, least: float = 0.02) -> tuple[str, float, str]:
@@ -97,14 +101,14 @@ def identify(text: str | None, model: Model, penalty: float = 1.5, least: float
     if not len(at):
         return UNKNOWN, 0.0, ""
     x, p = x[at].astype(float), model.likelihood[:, at]
-    whole, _ = mixture(x, p, 12)
+    whole, _ = mixture(x, p)
     order = np.argsort(-whole, kind="stable")
     chosen, share, best = order[:1], np.ones(1), float(x @ np.log(p[order[0]]))
     cost = penalty * math.log(max(2.0, x.sum()))
     for k in range(2, len(order) + 1):
         if whole[order[k - 1]] < least:
             break
-        shares, value = mixture(x, p[order[:k]], 40)
+        shares, value = mixture(x, p[order[:k]])
         if value - best <= cost:
             break
         chosen, share, best = order[:k], shares, value
@@ -113,7 +117,7 @@ def identify(text: str | None, model: Model, penalty: float = 1.5, least: float
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "found") -> DataFrame:
-    """``docs`` with ``out``: lang_pred, score and languages."""
+    """``docs`` with ``out``: lang_pred, score and languages; an input column of that name is replaced."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.likelihood))
 
     @F.pandas_udf("lang_pred string, score double, languages string")

@@ -1,12 +1,14 @@
 """Quality by regularised quadratic discriminant analysis.
 
-Each text becomes a vector of transformed statistics. For each class the mean and covariance are exact sums over all labelled
-rows; covariances are shrunk towards the pooled one and then towards a sphere. A score is the logistic function of the
-difference of the two Mahalanobis log densities, from Cholesky factors that are computed once, and of the class shares.
+Each text becomes a vector of transformed statistics, taken over all of its words and lines. For each class the mean and covariance
+come from sums of doubles over all labelled rows; covariances are shrunk towards the pooled one and then towards a sphere. A score
+is the logistic function of ``temper`` times the log odds: the difference of the two Mahalanobis log densities, from Cholesky
+factors that are computed once, plus that of the log shares of the classes. ``temper`` = 0.5 halves the log odds, for the statistics
+aren't independent enough for their full weight; it moves scores towards 0.5 and leaves their order as it is.
 
 Null texts count as empty; the empty text has the statistics of no words and gets a score like any other. Labels of ids that
 no document has teach nothing; repeated rows teach as often as they occur. Without labels of both classes every score is
-the share of class 1 (0.5 without any).
+the share of class 1 (0.5 without any). An empty table gives an empty result. One text is held in memory with its words, whatever its length.
 """
 
 from __future__ import annotations
@@ -92,7 +94,7 @@ class Discriminant:
 
 
 def fit(labelled: DataFrame, x: str = "x", label: str = "quality", pooling: float = 0.1, sphere: float = 0.02, temper: float = 0.5) -> Discriminant:
-    """From exact sums over ``labelled``; ``pooling`` and ``sphere`` are the shares of the pooled covariance and of a sphere."""
+    """From sums over all of ``labelled``; ``pooling`` and ``sphere`` are the shares of the pooled covariance and of a sphere."""
     d = len(STATISTICS)
     at = [F.get(F.col(x), F.lit(i)) for i in range(d)]
     upper = [(i, j) for i in range(d) for j in range(i, d)]

@@ -466,6 +466,54 @@ def test_mixtures_are_found(spark, duck):
     assert language_id.identify(en + " " + de, model)[2] == "en,de"
 
 
+def brute_language(text, counts, names):
+    """EM, ranking and penalised likelihood, written out with plain dictionaries."""
+    data = " " + " ".join("".join(c if c.isascii() and c.islower() or not c.isascii() else " " for c in text.lower()).split()) + " "
+    raw, x = data.encode(), {}
+    for i in range(len(raw) - 2):
+        code = (raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 0x9E3779B1 % 2**32 >> 17
+        x[code] = x.get(code, 0) + 1
+    totals = {n: sum(counts[n].values()) + 0.5 * 2**15 for n in names}
+    p = {n: {f: (counts[n].get(f, 0) + 0.5) / totals[n] for f in x} for n in names}
+
+    def em(of):
+        share = dict.fromkeys(of, 1 / len(of))
+        while True:
+            mix = {f: sum(share[n] * p[n][f] for n in of) for f in x}
+            new = {n: share[n] * sum(k * p[n][f] / mix[f] for f, k in x.items()) / sum(x.values()) for n in of}
+            moved, share = max(abs(new[n] - share[n]) for n in of), new
+            if moved < 1e-3:
+                return share, sum(k * math.log(sum(share[n] * p[n][f] for n in of)) for f, k in x.items())
+
+    whole = em(names)[0]
+    order = sorted(names, key=lambda n: -whole[n])
+    chosen, share, best = order[:1], {order[0]: 1.0}, sum(k * math.log(p[order[0]][f]) for f, k in x.items())
+    for k in range(2, len(order) + 1):
+        shares, value = em(order[:k])
+        if whole[order[k - 1]] < 0.02 or value - best <= 1.5 * math.log(sum(x.values())):
+            break
+        chosen, share, best = order[:k], shares, value
+    ranked = sorted(chosen, key=lambda n: -share[n])
+    return ranked[0], min(1.0, whole[ranked[0]]), ",".join(ranked)
+
+
+def test_languages_equal_brute_force(spark, duck):
+    rows = duck.execute("SELECT doc_id, text, lang FROM documents WHERE lang IS NOT NULL AND length(text) BETWEEN 40 AND 900 ORDER BY doc_id LIMIT 60").fetchall()
+    names = sorted({lang for _, _, lang in rows})
+    counts = {n: {} for n in names}
+    for _, text, lang in rows[:40]:
+        for f, k in enumerate(language_id.counts(text)):
+            if k:
+                counts[lang][f] = counts[lang].get(f, 0) + int(k)
+    model = language_id.fit(spark.createDataFrame([(t, n) for _, t, n in rows[:40]], "text string, lang string"))
+    names = [n for n in names if counts[n]]
+    assert model.languages == names
+    for text in [t for _, t, _ in rows[30:]] + [rows[0][1] + " " + rows[-1][1], "a", "éé 12"]:
+        lang, score, languages = language_id.identify(text, model)
+        want = brute_language(text, counts, names)
+        assert (lang, languages) == (want[0], want[2]) and math.isclose(score, want[1], rel_tol=1e-9)
+
+
 # -- quality model
 
 
@@ -498,6 +546,29 @@ def test_densities_are_those_of_the_formula(spark):
     assert np.allclose(model.scores(probe), 1 / (1 + np.exp(-(logs[1] - logs[0]))))
 
 
+def test_scores_equal_brute_force(spark, duck):
+    """The whole query, with the discriminant written out anew over the operator's statistics."""
+    import zlib
+
+    docs = duck.execute("SELECT doc_id, text FROM documents").fetchall()
+    labels = dict(duck.execute("SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL").fetchall())
+    x = {i: np.array(quality_model.statistics(t)) for i, t in docs}
+    learned = {k: np.array([x[i] for i in x if labels.get(i) == k and zlib.crc32(str(i).encode()) % 4 != 2]) for k in (0, 1)}
+    n = sum(map(len, learned.values()))
+    cov = {k: np.cov(v.T, bias=True) for k, v in learned.items()}
+    pooled = sum(len(v) * cov[k] for k, v in learned.items()) / n
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-9))
+    logs = {}
+    for k, v in learned.items():
+        c = (0.9 * cov[k] + 0.1 * pooled) / np.outer(scale, scale)
+        c = 0.98 * c + 0.02 * np.trace(c) / len(c) * np.eye(len(c))
+        inverse, whole = np.linalg.inv(c), np.linalg.slogdet(c)[1]
+        logs[k] = {i: math.log(len(v) / n) - 0.5 * whole - 0.5 * (z @ inverse @ z) for i in x for z in [(x[i] - v.mean(axis=0)) / scale]}
+    df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    for r in quality_model.report(*df).collect():
+        assert math.isclose(r.score, 1 / (1 + math.exp(min(700.0, 0.5 * (logs[0][r.doc_id] - logs[1][r.doc_id])))), rel_tol=1e-6, abs_tol=1e-9)
+
+
 # -- SimHash
 
 
