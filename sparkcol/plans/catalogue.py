@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import filters as P
@@ -244,6 +245,14 @@ def _(s, d):
     return A.approx_distinct(table(s, d, "lineitem"), ["l_returnflag"], "l_orderkey")
 
 
+@query("group_approx_distinct_bound", "SELECT l_returnflag, TRUE AS near FROM lineitem GROUP BY l_returnflag")
+def _(s, d):
+    """Whether estimates are within four of their standard errors."""
+    line = table(s, d, "lineitem")
+    both = A.approx_distinct(line, ["l_returnflag"], "l_orderkey", 0.02, "near").join(A.distinct_counts(line, ["l_returnflag"], "l_orderkey"), "l_returnflag")
+    return both.select("l_returnflag", (F.abs(F.col("near") - F.col("n_distinct")) <= 0.08 * F.col("n_distinct")).alias("near"))
+
+
 @query("group_lookup", "SELECT l_orderkey, l_linenumber, l_quantity, ROUND(a, 6) AS usual FROM lineitem JOIN (SELECT l_partkey k, AVG(l_quantity) a FROM lineitem GROUP BY 1) ON k = l_partkey WHERE l_quantity < 0.2 * a")
 def _(s, d):
     line = table(s, d, "lineitem")
@@ -528,6 +537,32 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", F.round(S.ratio(F.col("p_retailprice"), F.col("p_size") - 1), 6).alias("r"))
 
 
+def _xxh64(x: str, seed: int = 42) -> str:
+    """XXH64 of a long in SQL, in 128-bit arithmetic; the primes are fixed values of the hash."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    mask = "18446744073709551615::UHUGEINT"
+    low = lambda e: f"(({e}) % (18446744073709551616::UHUGEINT))"
+    times = lambda e, p: low(f"({e}) * {p}::UHUGEINT")
+    turned = lambda e, n: low(f"(({e}) * {1 << n}::UHUGEINT) % 18446744073709551616::UHUGEINT + ({e}) // {1 << (64 - n)}::UHUGEINT")
+    steps = [
+        ("a", times(f"(CASE WHEN {x} < 0 THEN {mask} - (-1 - {x})::UHUGEINT ELSE {x}::UHUGEINT END)", p2)),
+        ("b", f"xor({(seed + p5 + 8) % 2**64}::UHUGEINT, {times(turned('a', 31), p1)})"),
+        ("c", low(f"{times(turned('b', 27), p1)} + {p4}::UHUGEINT")),
+        ("e", times(f"xor(c, c // {1 << 33}::UHUGEINT)", p2)),
+        ("g", times(f"xor(e, e // {1 << 29}::UHUGEINT)", p3)),
+        ("h", f"xor(g, g // {1 << 32}::UHUGEINT)"),
+    ]
+    text = "part"
+    for name, e in steps:
+        text = f"(SELECT *, {e} AS {name} FROM {text})"
+    return f"SELECT {x}, CASE WHEN h > 9223372036854775807::UHUGEINT THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END AS h64 FROM {text}"
+
+
+@query("fn_hash64", _xxh64("p_partkey"))
+def _(s, d):
+    return J.hashes(table(s, d, "part"), "p_partkey").select("p_partkey", "h64")
+
+
 @query("fn_hashes")
 def _(s, d):
     return J.hashes(table(s, d, "part"), "p_partkey")
@@ -790,6 +825,23 @@ def _(s, d):
     return V.two_stage_batch(*_asked(s, d)).select("query_id", "vec_id", F.round("d", 4).alias("d"), F.round("score", 4).alias("score"), "rank")
 
 
+_KNN_IDS = "(SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)"
+
+
+@query("vec_index_recall", f"SELECT i AS index, (SELECT COUNT(*) FROM {_KNN_IDS}) AS n_queries, TRUE AS finds_nine_tenths FROM (VALUES ('inverted_l2'), ('inverted_cosine'), ('inverted_ip'), ('inverted_l1'), ('quantized')) t(i)")
+def _(s, d):
+    """Of the ten nearest by brute force, whether each index finds nine tenths with its own defaults."""
+    e, asked = _asked(s, d)
+    out = None
+    for name, metric, index in (*[(f"inverted_{m}", m, V.InvertedIndex(metric=m)) for m in ("l2", "cosine", "ip", "l1")], ("quantized", "l2", V.QuantizedIndex(V.RotatedProductQuantizer()))):
+        exact = V.knn_batch(e, asked, 10, metric).select("query_id", "vec_id", F.lit(1).alias("exact"))
+        found = index.build(e).search_batch(asked, 10).select("query_id", "vec_id", F.lit(1).alias("found"))
+        both = exact.join(found, ["query_id", "vec_id"], "left").agg(F.countDistinct("query_id").alias("n_queries"), (F.count("found") >= 0.9 * F.count("exact")).alias("finds_nine_tenths"))
+        row = both.select(F.lit(name).alias("index"), "n_queries", "finds_nine_tenths")
+        out = row if out is None else out.union(row)
+    return out
+
+
 # -- time buckets ----------------------------------------------------------------------------------------------------------
 
 
@@ -834,6 +886,65 @@ def _(s, d):
     return found.select("bucket", "n", F.round(F.col("total").cast("double"), 4).alias("total"))
 
 
+# -- sources, sinks and short names ----------------------------------------------------------------------------------------
+
+
+@query("source_arrays", "SELECT range AS k, range / 2 AS half FROM range(1000)")
+def _(s, d):
+    import numpy as np
+
+    return files.from_arrays(s, k=np.arange(1000), half=np.arange(1000) * 0.5)
+
+
+@query("source_append", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region UNION ALL SELECT n_nationkey FROM nation")
+def _(s, d):
+    nations, regions = table(s, d, "nation").select(F.col("n_nationkey").alias("k")), table(s, d, "region").select(F.col("r_regionkey").alias("k"))
+    return files.append(nations, regions, nations)
+
+
+@query("source_formats", "SELECT f AS format, p_partkey, p_name, p_size FROM part, (VALUES ('parquet'), ('orc'), ('json'), ('csv')) t(f)")
+def _(s, d):
+    """Written in each format, and read back with an explicit schema."""
+    part, root, out = table(s, d, "part").select("p_partkey", "p_name", "p_size"), f"{shared_folder(s)}/formats-{uuid.uuid4().hex}", None
+    for fmt in ("parquet", "orc", "json", "csv"):
+        files.write(part, f"{root}/{fmt}", fmt)
+        back = files.read(s, f"{root}/{fmt}", fmt, part.schema, ["p_partkey", "p_name", "p_size"]).withColumn("format", F.lit(fmt))
+        out = back if out is None else files.append(out, back)
+    return out
+
+
+@query("sink_report", "SELECT r_regionkey, r_name FROM region")
+def _(s, d):
+    """A report as CSV, read back."""
+    path = f"{shared_folder(s)}/report-{uuid.uuid4().hex}"
+    regions = table(s, d, "region").select("r_regionkey", "r_name")
+    files.write_report(regions, path)
+    return files.read(s, path, "csv", regions.schema, header=True)
+
+
+@query("api_counts", "SELECT COUNT(*) FILTER (WHERE p_size > 25) AS gt, COUNT(*) FILTER (WHERE p_size <= 25) AS le, COUNT(*) FILTER (WHERE p_size = 7) AS eq FROM part")
+def _(s, d):
+    part = table(s, d, "part")
+    gt, le, eq = (f(part, "p_size", x) for f, x in ((api.count_gt, 25), (api.count_le, 25), (api.count_eq, 7)))
+    return s.range(1).select(gt.scalar().alias("gt"), le.scalar().alias("le"), eq.scalar().alias("eq"))
+
+
+@query("api_group_sum", "SELECT p_brand, CAST(SUM(p_size) AS BIGINT) AS total FROM part GROUP BY p_brand")
+def _(s, d):
+    return api.group_sum(table(s, d, "part"), "p_brand", "p_size")
+
+
+@query("api_joins", "SELECT (SELECT COUNT(*) FROM customer JOIN orders ON c_custkey = o_custkey) AS n_inner, (SELECT COUNT(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS n_semi, (SELECT COUNT(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS n_anti")
+def _(s, d):
+    joined = [f(table(s, d, "customer"), table(s, d, "orders"), "c_custkey", "o_custkey").agg(F.count("*")).scalar() for f in (api.inner_join, api.semi_join, api.anti_join)]
+    return s.range(1).select(*[j.alias(n) for j, n in zip(joined, ("n_inner", "n_semi", "n_anti"), strict=True)])
+
+
+@query("api_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def _(s, d):
+    return api.topk(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 10, ["o_orderkey"])
+
+
 # -- strategies and measured runs ------------------------------------------------------------------------------------------
 
 _RUNS = "(VALUES " + ", ".join(f"('{o}', '{n}', {mb}::DOUBLE, {t}::DOUBLE)" for o, n, mb, t in advisor.MEASURED) + ") r(operation, strategy, mb, seconds)"
