@@ -457,17 +457,36 @@ def conv1d(v: Column, kernel: Sequence[float]) -> Column:
     return F.transform(heads, lambda x, i: terms(i))
 
 
-def score_batches(rows: DataFrame, model: Callable[[pd.DataFrame], pd.Series], columns: Sequence[str], out: str = "score") -> DataFrame:
-    """``rows`` with the model's score: the model is sent once per task and called with batches of the given columns."""
+def score_batches(rows: DataFrame, model: Callable, columns: Sequence[str], out: str = "score", loads: bool = False) -> DataFrame:
+    """``rows`` with the model's score: the model is sent once per task and called with batches of the given columns.
+
+    ``loads``: ``model`` is a function without arguments that opens a session and returns the model; it is called once in each task,
+    on the worker, for models that can't be sent (as ``lambda: open_onnx(path)``).
+    """
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != out] + [f"`{out}` double"])
 
     def run(frames):
+        call = model() if loads else model
         for frame in frames:
-            yield frame.assign(**{out: model(frame[list(columns)]).astype(float)})
+            yield frame.assign(**{out: call(frame[list(columns)]).astype(float)})
 
     return rows.mapInPandas(run, schema)
 
 
+def open_onnx(path: str) -> Callable[[pd.DataFrame], pd.Series]:
+    """A session over an ONNX model that takes one matrix, made of the first column's vectors, and gives a number for each row."""
+    import onnxruntime
+
+    session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+    name = session.get_inputs()[0].name
+
+    def call(frame: pd.DataFrame) -> pd.Series:
+        x = np.stack(frame.iloc[:, 0].to_numpy()).astype(np.float32)
+        return pd.Series(np.asarray(session.run(None, {name: x})[0]).reshape(len(frame)), index=frame.index)
+
+    return call
+
+
 class FlatIndex:
     """An exact index: vectors with their squared norms, which grows by adding frames and is stored as a table."""
 

@@ -37,3 +37,29 @@ def test_layers(spark):
     low, high = -2.0, 3.0
     back = rows.select(V.sq4_decode(V.sq4_encode(v, low, high), low, high).alias("b")).first().b
     assert max(abs(x - y) for x, y in zip(back, [1.0, -2.0, 3.0])) <= 5 / 30 + 1e-9
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def field(number, value):
+    """A field of a protocol buffer: a number, or bytes with their length."""
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def test_sessions_are_opened_on_the_workers(spark, tmp_path):
+    """A model that adds up the elements of a vector, written out by the public schema of the format."""
+    shape = lambda name, dims: field(1, name) + field(2, field(1, field(1, 1) + field(2, b"".join(field(1, d) for d in dims))))
+    rows = lambda n: [field(2, b"n"), field(1, n)]
+    weights = field(1, 3) + field(1, 1) + field(2, 1) + field(8, b"w") + field(9, np.ones(3, "<f4").tobytes())
+    node = field(1, b"x") + field(1, b"w") + field(2, b"y") + field(4, b"MatMul")
+    graph = field(1, node) + field(2, b"g") + field(5, weights) + field(11, shape(b"x", rows(3))) + field(12, shape(b"y", rows(1)))
+    path = tmp_path / "sum.onnx"
+    path.write_bytes(field(1, 8) + field(7, graph) + field(8, field(1, b"") + field(2, 13)))
+    frame = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(20)], "id long, v array<double>").repartition(3)
+    found = V.score_batches(frame, lambda: V.open_onnx(str(path)), ["v"], loads=True)
+    assert {r.id: r.score for r in found.collect()} == {i: i + 3.0 for i in range(20)}
