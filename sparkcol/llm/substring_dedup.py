@@ -40,6 +40,8 @@ SPACED_WORD = re.compile(r"\s*\S+\s*")
 UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff]")
 #: Words of a sentence beyond which it is cut at clause marks; twice as many make a clause be cut at picked words, one in so many.
 LONG, PICKED = 20, 8
+#: Spans that are handed on at a time.
+SPANS = 1 << 15
 BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 INVERSES = np.array([pow(int(b), -1, 1 << 64) for b in BASES], np.uint64)
 
@@ -128,16 +130,26 @@ def without_sentences(text: str, covered: list[tuple[int, int]]) -> tuple[str, i
 def _spans_of(docs: DataFrame, options: dict[str, int]) -> DataFrame:
     """(h1, h2, _id, _key, a, b) of all spans."""
 
+    def put(batch: pa.RecordBatch, parts: list[tuple], rows: list[int]) -> pa.RecordBatch:
+        h, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at = pa.array(np.repeat(rows, [len(p[1]) for p in parts]))
+        return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column("_id").take(at), batch.column("_key").take(at), pa.array(a), pa.array(b)], ["h1", "h2", "_id", "_key", "a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [spans(t, **options) for t in batch.column("_text").to_pylist()]
-            sizes = [len(p[1]) for p in parts]
-            if sum(sizes):
-                h, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-                rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column("_id").take(rows), batch.column("_key").take(rows), pa.array(a), pa.array(b)], ["h1", "h2", "_id", "_key", "a", "b"]
-                )
+            texts = batch.column("_text")
+            parts, rows, n = [], [], 0
+            for row in range(len(batch)):
+                own = spans(texts[row].as_py(), **options)
+                if len(own[1]):
+                    parts.append(own)
+                    rows.append(row)
+                    n += len(own[1])
+                if n >= SPANS:
+                    yield put(batch, parts, rows)
+                    parts, rows, n = [], [], 0
+            if parts:
+                yield put(batch, parts, rows)
 
     return docs.select("_id", "_key", "_text").mapInArrow(run, f"h1 long, h2 long, _id {docs.schema['_id'].dataType.simpleString()}, _key long, a int, b int")
 
