@@ -21,7 +21,12 @@ from ..operators import sketch
 
 RUNS = "operation string, strategy string, mb double, seconds double"
 #: Runs of ``measure_joins`` on eight threads of one machine: MB of the build side, seconds with two million probe rows.
-MEASURED: list[tuple[str, str, float, float]] = [("join", "broadcast_hash", 0.6, 0.1), ("join", "broadcast_hash", 20.0, 0.4), ("join", "sort_merge", 0.6, 0.5), ("join", "sort_merge", 20.0, 0.6)]
+MEASURED: list[tuple[str, str, float, float]] = [
+    ("join", "broadcast_hash", 0.61, 0.1164), ("join", "shuffled_hash", 0.61, 0.2207), ("join", "sort_merge", 0.61, 0.2882),
+    ("join", "broadcast_hash", 18.311, 0.3217), ("join", "shuffled_hash", 18.311, 0.3291), ("join", "sort_merge", 18.311, 0.2844),
+    ("join", "broadcast_hash", 61.035, 0.697), ("join", "shuffled_hash", 61.035, 0.381), ("join", "sort_merge", 61.035, 0.3789),
+    ("join", "broadcast_hash", 183.105, 1.7967), ("join", "shuffled_hash", 183.105, 0.5099), ("join", "sort_merge", 183.105, 0.5159),
+]
 SAMPLES = "query string, version string, ms double, n_rows long, at timestamp"
 #: Half the width of a 95 % interval of a normal variable, in standard deviations.
 Z95 = 1.96
