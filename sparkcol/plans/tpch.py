@@ -7,6 +7,7 @@ order of rows; every LIMIT has a total order. ``{partsupp}`` stands for the deri
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,10 +16,21 @@ from ..sources.catalog import PARTSUPP, TPCH, load_tables
 REVENUE = "l_extendedprice * (1 - l_discount)"
 
 
-def _sum(x: str, scale: int = 4) -> str:
+Sum = Callable[[str, int], str]
+
+
+def _decimal_sum(x: str, scale: int = 4) -> str:
     return f"CAST(SUM(CAST({x} AS DECIMAL(18,{scale}))) AS DOUBLE)"
 
 
+def _long_sum(x: str, scale: int = 4) -> str:
+    """The same sum for Spark, whose cast of a double to a decimal goes through text: units of the last place as longs, summed in
+    millions and the rest apart, so that no sum overflows, and put together as one decimal."""
+    units = f"FLOOR(({x}) * 1e{scale} + 0.5D)"
+    whole = f"(CAST(SUM({units} DIV 1000000) AS DECIMAL(31,0)) * 1000000 + CAST(SUM({units} % 1000000) AS DECIMAL(31,0)))"
+    return f"CAST({whole} / {10**scale} AS DOUBLE)"
+
+
 #: Parameters by query. Replace any of them through ``text(q, name=value)``.
 PARAMETERS: dict[int, dict[str, object]] = {
     1: {"until": "1998-09-02"},
@@ -45,7 +57,9 @@ PARAMETERS: dict[int, dict[str, object]] = {
     22: {"prefixes": "'BU', 'MA', 'HO'", "before": "1996-01-01"},
 }
 
-TEXTS: dict[int, str] = {
+
+def _texts(_sum: Sum) -> dict[int, str]:
+    return {
     1: f"""
 SELECT l_returnflag, l_linestatus, {_sum("l_quantity")} AS sum_qty, {_sum("l_extendedprice")} AS sum_base_price,
   {_sum(REVENUE)} AS sum_disc_price, {_sum(REVENUE + " * (1 + l_tax)", 6)} AS sum_charge,
@@ -107,7 +121,7 @@ WHERE o_orderdate >= DATE '{{from}}' AND o_orderdate < DATE '{{to}}' AND l_retur
 GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
     11: f"""
 WITH partsupp AS ({{partsupp}}), held AS (
-  SELECT ps_partkey, CAST(SUM(CAST(ps_supplycost * ps_availqty AS DECIMAL(18,4))) AS DOUBLE) AS value
+  SELECT ps_partkey, {_sum("ps_supplycost * ps_availqty")} AS value
   FROM partsupp JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = '{{nation}}' GROUP BY ps_partkey)
 SELECT ps_partkey, value FROM held WHERE value > (SELECT {_sum("value")} * {{fraction}} FROM held) ORDER BY value DESC, ps_partkey""",
     12: """
@@ -165,23 +179,27 @@ SELECT code, COUNT(*) AS numcust, {_sum("c_acctbal")} AS totacctbal FROM asked
 WHERE c_acctbal > (SELECT AVG(CAST(c_acctbal AS DECIMAL(18,4))) FROM asked WHERE c_acctbal > 0)
   AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate < DATE '{{before}}')
 GROUP BY code ORDER BY code""",
-}
+    }
+
+
+TEXTS, SPARK_TEXTS = _texts(_decimal_sum), _texts(_long_sum)
 
 
 def _offers(condition: str) -> str:
     """The derived table of offers for some keys only: they are what it groups by, so the rest is never aggregated."""
-    return PARTSUPP.replace(" FROM lineitem ", f" FROM lineitem WHERE {condition} ")
+    quick = PARTSUPP.replace("CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS BIGINT)", "SUM(FLOOR(l_quantity * 100 + 0.5D)) DIV 100")
+    return quick.replace(" FROM lineitem ", f" FROM lineitem WHERE {condition} ")
 
 
-#: Texts that say the same with less work, for Spark: keys are restricted before lines are aggregated, and EXISTS and NOT EXISTS over the
+#: Texts that say the same with less work, for Spark: sums of longs; keys are restricted before lines are aggregated, and EXISTS and NOT EXISTS over the
 #: other suppliers of an order are one aggregation (two suppliers or more, a single late one).
-PLANS: dict[int, str] = {
-    2: TEXTS[2].replace("{partsupp}", _offers("l_partkey IN (SELECT p_partkey FROM part WHERE p_size = {size} AND p_type LIKE '{type}')")),
-    9: TEXTS[9].replace("{partsupp}", _offers("l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '{name}')")),
-    11: TEXTS[11].replace("{partsupp}", _offers("l_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = '{nation}')")),
-    16: TEXTS[16].replace("{partsupp}", _offers("l_partkey IN (SELECT p_partkey FROM part WHERE p_brand <> '{brand}' AND p_type NOT LIKE '{type}' AND p_size IN ({sizes}))")),
-    17: TEXTS[17].replace("FROM lineitem GROUP BY", "FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = '{brand}') GROUP BY"),
-    20: TEXTS[20]
+PLANS: dict[int, str] = SPARK_TEXTS | {
+    2: SPARK_TEXTS[2].replace("{partsupp}", _offers("l_partkey IN (SELECT p_partkey FROM part WHERE p_size = {size} AND p_type LIKE '{type}')")),
+    9: SPARK_TEXTS[9].replace("{partsupp}", _offers("l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '{name}')")),
+    11: SPARK_TEXTS[11].replace("{partsupp}", _offers("l_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = '{nation}')")),
+    16: SPARK_TEXTS[16].replace("{partsupp}", _offers("l_partkey IN (SELECT p_partkey FROM part WHERE p_brand <> '{brand}' AND p_type NOT LIKE '{type}' AND p_size IN ({sizes}))")),
+    17: SPARK_TEXTS[17].replace("FROM lineitem GROUP BY", "FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = '{brand}') GROUP BY"),
+    20: SPARK_TEXTS[20]
     .replace("{partsupp}", _offers("l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '{name}')"))
     .replace("WHERE l_shipdate", "WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '{name}') AND l_shipdate"),
     21: """
@@ -196,7 +214,7 @@ GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100""",
 
 def text(q: int, plan: bool = False, **parameters: object) -> str:
     """The text of a query; with ``plan`` the one that Spark runs."""
-    out = (PLANS.get(q, TEXTS[q]) if plan else TEXTS[q]).replace("{partsupp}", PARTSUPP)
+    out = (PLANS if plan else TEXTS)[q].replace("{partsupp}", PARTSUPP)
     for name, value in (PARAMETERS[q] | parameters).items():
         out = out.replace("{" + name + "}", str(value))
     return out.strip()
