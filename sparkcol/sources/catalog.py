@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TPCH = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 TABLES = (*TPCH, "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -14,8 +15,19 @@ PARTSUPP = (
 )
 
 
+#: Schemas of tables that were read before, by path and state, so that footers aren't read again for each query.
+_SCHEMAS: dict[tuple[str, int, int], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, with the schema known from an earlier reading if its file or folder hasn't changed since."""
+    path = f"{sf_dir}/{name}.parquet"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place)
+    state = path, status.getModificationTime(), status.getLen()
+    if state not in _SCHEMAS:
+        _SCHEMAS[state] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[state]).parquet(path)
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TPCH, views: bool = True) -> dict[str, DataFrame]:
