@@ -34,6 +34,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：،؟؛۔।॥]")
+#: What stands between the parts of a page's title.
+TITLE_PARTS = re.compile(r"\s+[-–—|·»:]+\s+")
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track".split())
 #: Elements whose content is no markup.
@@ -47,13 +49,13 @@ APART = frozenset("nav footer aside menu form".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words that name such parts, and words that may stand beside them in a name.
 PARTS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead header comment comments disqus respond reply replies share sharing social related "
     "recommended newsletter subscribe subscription signup login widget widgets toolbar pagination pager skip hidden".split()
 )
 BESIDE = frozenset(
-    "area articles bar block bottom box buttons col column container content form global group heading holder icons inner item items left link links list main media "
-    "message messages more outer page panel posts primary reader region right row secondary section site slot small stories thread title top unit user wrap wrapper".split()
+    "area articles bar block bottom box button buttons col column container content fb form global group heading holder icon icons info inner is item items js law left link links list main media "
+    "message messages more outer page panel posts primary reader region right row secondary section site slot small stories thread title top unit user wp wrap wrapper".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose first class tells paths apart.
@@ -89,7 +91,7 @@ def named_part(name: str) -> str | None:
     found = None
     for word in WORD.findall(name):
         word = word.lower()
-        if word not in PARTS and word not in BESIDE:
+        if word not in PARTS and word not in BESIDE and len(word) > 1:
             head = next((p for p in sorted(PARTS, key=len, reverse=True) if len(p) > 3 and word.startswith(p) and word[len(p) :] in BESIDE), None)
             if head is None:
                 return None
@@ -342,9 +344,10 @@ def _menus(page: Page, blocks: list[int]) -> set[int]:
 
 
 def _title(page: Page, blocks: list[int]) -> list[int]:
-    """The one first-level heading of the page's header, if the page's title begins with it or there is none."""
+    """The one first-level heading of the page's header, if it is the longest part of the page's title or that has none."""
     heads = [b for b in blocks if page.header[page.element[b]] and page.tag[page.element[b]] == "h1"]
-    return heads if len(heads) == 1 and (not page.title or page.title.startswith(page.text[heads[0]]) or page.text[heads[0]].startswith(page.title)) else []
+    part = max(TITLE_PARTS.split(page.title), key=len)
+    return heads if len(heads) == 1 and (part in page.text[heads[0]] or page.text[heads[0]] in part) else []
 
 
 def extract(pages: DataFrame, source: str = "html", out: str = "text") -> DataFrame:

@@ -276,6 +276,9 @@ PARAGRAPH = "This paragraph, which is long, tells of a thing at length; it has m
         ("<p title=it's>Hello don't stop. More text.</p>", "Hello don't stop. More text."),
         (f"<article><p>{PARAGRAPH}</p><h2 id='related-work'>Related work</h2><p>Other text, here.</p><section id='social-policy'><p>Policy.</p></section></article>", f"{PARAGRAPH}Related work Other text, here. Policy."),
         (f"<head><title>The head - a site</title></head><body><header><h1>The head</h1><p>Tagline</p></header><div><p>{PARAGRAPH}</p></div>", f"The head {PARAGRAPH}".strip()),
+        (f"<title>Site | The long head of it</title><div class=page-header><h1>The long head of it</h1></div><div><p>{PARAGRAPH}</p></div>", f"The long head of it {PARAGRAPH}".strip()),
+        (f"<title>The long head of it | Site</title><header><h1>Site</h1></header><div><p>{PARAGRAPH}</p></div>", PARAGRAPH.strip()),
+        (f"<div class='content no-sidebar has-menu'><p>{PARAGRAPH}</p></div><div class='c-comments wp-block'><p>{PARAGRAPH}</p></div><p id=x>{PARAGRAPH}</p>", f"{PARAGRAPH}{PARAGRAPH}".strip()),
         (f"<form id=all><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>End.</p></div></form>", f"{PARAGRAPH}{PARAGRAPH}End."),
         ("<p>x &am<b>p;</b> y</p>", "x &amp; y"),
         ("<div class=ad>Only an advert, so.</div>", ""),
