@@ -449,3 +449,20 @@ def test_filters_and_columns_reach_the_scan(spark, data_dir):
     plan = tpch.run(spark, data_dir, 6)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "l_comment" not in plan
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double,l_shipdate:timestamp_ntz>" in plan
+
+
+def test_a_rewritten_table_is_read_anew(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    assert catalog.table(spark, str(tmp_path), "t").columns == ["id"] and catalog.table(spark, str(tmp_path), "t").count() == 3
+    spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("v")).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+    again = catalog.table(spark, str(tmp_path), "t")
+    assert again.columns == ["k", "v"] and again.count() == 5
+
+
+def test_sums_of_longs_equal_sums_of_decimals(spark, duck):
+    for value, scale in (("l_extendedprice * (1 - l_discount)", 4), ("-l_extendedprice * (1 - l_discount) * (1 + l_tax)", 6), ("CASE WHEN l_quantity > 49 THEN NULL ELSE l_tax END", 4)):
+        rows = [spark.sql(f"SELECT l_returnflag, {f(value, scale)} AS s FROM parquet.`/root/testdata/sf0.01/lineitem.parquet` GROUP BY 1 ORDER BY 1").collect() for f in (tpch._long_sum, tpch._decimal_sum)]
+        assert rows[0] == rows[1]
+    large = "SELECT {} AS s FROM (SELECT 9.0e11D AS x FROM range(1000))"
+    assert spark.sql(large.format(tpch._long_sum("x", 6))).first()[0] == 9.0e14
+    assert spark.sql(f"SELECT {tpch._long_sum('id', 4)} AS s FROM range(0)").first()[0] is None
