@@ -14,7 +14,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import filters as P
 from ..operators import joins as J
-from ..operators import learned, sets, sketch, sorts
+from ..operators import graph, learned, sets, sketch, sorts
 from ..operators import vectors as V
 from ..operators.shared import shared_folder
 from ..sources import files
@@ -771,6 +771,17 @@ for _metric in ("cosine", "ip", "l1"):
         return _found(V.InvertedIndex(metric=metric).build(e).search_batch(asked, 10))
 
 
+@query("vec_graph_index")
+def _(s, d):
+    return graph.GraphIndex().build(table(s, d, "embeddings")).search(_one(s, d), 10)
+
+
+@query("vec_graph_index_batch")
+def _(s, d):
+    e, asked = _asked(s, d)
+    return _found(graph.GraphIndex().build(e).search_batch(asked, 10))
+
+
 @query("vec_quantized_index_batch")
 def _(s, d):
     """By codes first, then by the vectors themselves."""
@@ -828,12 +839,12 @@ def _(s, d):
 _KNN_IDS = "(SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)"
 
 
-@query("vec_index_recall", f"SELECT i AS index, (SELECT COUNT(*) FROM {_KNN_IDS}) AS n_queries, TRUE AS finds_nine_tenths FROM (VALUES ('inverted_l2'), ('inverted_cosine'), ('inverted_ip'), ('inverted_l1'), ('quantized')) t(i)")
+@query("vec_index_recall", f"SELECT i AS index, (SELECT COUNT(*) FROM {_KNN_IDS}) AS n_queries, TRUE AS finds_nine_tenths FROM (VALUES ('inverted_l2'), ('inverted_cosine'), ('inverted_ip'), ('inverted_l1'), ('quantized'), ('graph_l2'), ('graph_cosine'), ('graph_ip'), ('graph_l1')) t(i)")
 def _(s, d):
     """Of the ten nearest by brute force, whether each index finds nine tenths with its own defaults."""
     e, asked = _asked(s, d)
     out = None
-    for name, metric, index in (*[(f"inverted_{m}", m, V.InvertedIndex(metric=m)) for m in ("l2", "cosine", "ip", "l1")], ("quantized", "l2", V.QuantizedIndex(V.RotatedProductQuantizer()))):
+    for name, metric, index in (*[(f"inverted_{m}", m, V.InvertedIndex(metric=m)) for m in ("l2", "cosine", "ip", "l1")], ("quantized", "l2", V.QuantizedIndex(V.RotatedProductQuantizer())), *[(f"graph_{m}", m, graph.GraphIndex(metric=m)) for m in ("l2", "cosine", "ip", "l1")]):
         exact = V.knn_batch(e, asked, 10, metric).select("query_id", "vec_id", F.lit(1).alias("exact"))
         found = index.build(e).search_batch(asked, 10).select("query_id", "vec_id", F.lit(1).alias("found"))
         both = exact.join(found, ["query_id", "vec_id"], "left").agg(F.countDistinct("query_id").alias("n_queries"), (F.count("found") >= 0.9 * F.count("exact")).alias("finds_nine_tenths"))

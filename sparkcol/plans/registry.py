@@ -9,13 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import scalars
-from ..operators import aggregates, filters, joins, learned, sets, sketch, sorts, vectors
+from ..operators import aggregates, filters, graph, joins, learned, sets, sketch, sorts, vectors
 from . import catalogue
 
 Query = Callable[[SparkSession, str], DataFrame]
 _OWN_QUERIES: dict[str, tuple[Query, str | None]] = {}
 _OWN_OPERATORS: dict[str, tuple[Callable, str]] = {}
-MODULES = {m.__name__.rsplit(".", 1)[1]: m for m in (filters, joins, aggregates, sorts, sets, scalars, vectors, learned, sketch)}
+MODULES = {m.__name__.rsplit(".", 1)[1]: m for m in (filters, joins, aggregates, sorts, sets, scalars, vectors, graph, learned, sketch)}
 
 
 def register_query(name: str, query: Query, oracle: str | None = None) -> None:

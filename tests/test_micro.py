@@ -466,3 +466,34 @@ def test_sums_of_longs_equal_sums_of_decimals(spark, duck):
     large = "SELECT {} AS s FROM (SELECT 9.0e11D AS x FROM range(1000))"
     assert spark.sql(large.format(tpch._long_sum("x", 6))).first()[0] == 9.0e14
     assert spark.sql(f"SELECT {tpch._long_sum('id', 4)} AS s FROM range(0)").first()[0] is None
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_the_graph_index_finds_most_by_each_metric(spark, sf):
+    from sparkcol.operators import graph
+
+    e = catalog.table(spark, f"/root/testdata/{sf}", "embeddings")
+    asked = e.where("vec_id % 100 = 0")
+    rows = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
+    for metric in ("l2", "cosine", "ip", "l1"):
+        exact = rows(V.knn_batch(e, asked, 10, metric))
+        for index in (graph.GraphIndex(metric=metric), graph.GraphIndex(metric=metric, shard_rows=700)):
+            found = rows(index.build(e).search_batch(asked, 10, most_queries=20))
+            assert len(exact & found) >= 0.9 * len(exact), (metric, len(exact & found) / len(exact))
+
+
+def test_the_graph_index_is_stored_and_filtered(spark, data_dir, tmp_path):
+    from sparkcol.operators import graph
+
+    e = catalog.table(spark, data_dir, "embeddings")
+    q = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
+    odd = F.col("vec_id") % 2 == 1
+    graph.GraphIndex(metric="cosine").build(e, where=odd).save(str(tmp_path / "g"))
+    index = graph.GraphIndex().load(spark, str(tmp_path / "g"))
+    found = [r.vec_id for r in index.search(q, 10, 400).collect()]
+    assert found == [r.vec_id for r in V.knn(e.where(odd), q, 10, "cosine").collect()]
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in graph.GraphIndex().build(few).search([0.0, 1.0], 5).collect()] == [3, 1]
+    assert graph.GraphIndex().build(few.limit(1)).search([0.0, 1.0], 5).count() == 1
+    none = graph.GraphIndex().build(few.limit(0))
+    assert none.search([0.0, 1.0], 5).count() == 0 and none.search_batch(few.where("vec_id = 1")).count() == 0
