@@ -69,30 +69,35 @@ def _covered(at: Column) -> Column:
     return F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g)
 
 
-def line_passes(line: Column, limits: QualityLimits, lowered: Column | None = None) -> Column:
-    """``lowered``: the line in lower case, where it is at hand; each phrase would lower it again."""
+def mentions(lowered: Column) -> Column:
+    """Whether any phrase of boilerplate stands in a text."""
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(x)) for x in BOILERPLATE])
+
+
+def line_passes(line: Column, limits: QualityLimits, lowered: Column | None = None, phrases: bool = True) -> Column:
+    """``lowered``: the line in lower case, where it is at hand; each phrase would lower it again. ``phrases``: whether any can be there."""
     low = F.lower(line) if lowered is None else lowered
     noise = F.length(line) - F.length(F.translate(line, NOISE, ""))
     separators = sum(
         ((F.length(line) - F.length(F.replace(line, F.lit(s), F.lit("")))) / 3 for s in (" | ", " > ", " » ", " · ")), F.lit(0)
     )
-    phrases = reduce(lambda a, b: a + b, [F.contains(low, F.lit(x)).cast("int") for x in BOILERPLATE])
-    return (
-        line.rlike(PROSE)
-        & (noise * 100 <= limits.max_noise_percent * F.length(line))
-        & (separators <= limits.max_separators)
-        & (phrases * limits.phrase_reach < F.length(line))
-    )
+    clean = line.rlike(PROSE) & (noise * 100 <= limits.max_noise_percent * F.length(line)) & (separators <= limits.max_separators)
+    if not phrases:
+        return clean
+    found = reduce(lambda a, b: a + b, [F.contains(low, F.lit(x)).cast("int") for x in BOILERPLATE])
+    return clean & (found * limits.phrase_reach < F.length(line))
 
 
 def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLimits()) -> DataFrame:
     """All columns of ``docs`` and: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept,
     cleaned_text (the text without the lines that fail), lost_chars, line_chars (long). These replace input columns of
     the same names."""
-    t, w, h, win, keyed, at, lines, low, good = (free_name(docs, f"_q_{x}") for x in ("text", "words", "hashes", "windows", "keyed", "at", "lines", "low", "good"))
+    t, w, h, win, keyed, at, lines, low, good, said = (free_name(docs, f"_q_{x}") for x in ("text", "words", "hashes", "windows", "keyed", "at", "lines", "low", "good", "said"))
     df = docs.withColumn(t, F.coalesce(F.col(quoted(text)), F.lit("")))
     df = df.withColumn(w, words_on_white_space(F.col(t)))
-    df = df.withColumn(low, F.split(F.lower(F.col(t)), "\n"))
+    df = df.withColumn(low, F.lower(F.col(t)))
+    df = df.withColumn(said, mentions(F.col(low)))
+    df = df.withColumn(low, F.when(F.col(said), F.split(low, "\n")))
     df = df.withColumn(lines, F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(HAS_WORD)))
     df = df.withColumn(h, F.transform(F.col(w), lambda x: F.xxhash64(x)))
     hashes = F.col(h)
@@ -120,7 +125,10 @@ def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLi
         F.sort_array(F.transform(F.filter(k, lambda x, i: same(x, F.get(k, i - 1)) | same(x, F.get(k, i + 1))), lambda x: x["i"])),
     )
     lowered = F.col(low)
-    df = df.withColumn(good, F.filter(F.split(F.col(t), "\n"), lambda x, i: x.rlike(HAS_WORD) & line_passes(x, limits, F.get(lowered, i))))
+    # most texts mention no phrase at all: their lines aren't searched for them one by one
+    plain = F.filter(F.col(lines), lambda x: line_passes(x, limits, phrases=False))
+    searched = F.filter(F.split(F.col(t), "\n"), lambda x, i: x.rlike(HAS_WORD) & line_passes(x, limits, F.get(lowered, i)))
+    df = df.withColumn(good, F.when(F.col(said), searched).otherwise(plain))
     total = lambda c: F.coalesce(F.length(F.array_join(c, "")), F.lit(0)).cast("long")
     df = df.withColumns(
         {
@@ -138,7 +146,7 @@ def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLi
         "base_failed", (F.col("n_words") < limits.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * limits.max_repeat_percent)
     )
     lost_too_much = F.col("lost_chars") * 100 > F.col("line_chars") * limits.max_lost_percent
-    return df.withColumn("kept", ~F.col("base_failed") & ~lost_too_much).drop(t, w, h, win, keyed, at, lines, low, good)
+    return df.withColumn("kept", ~F.col("base_failed") & ~lost_too_much).drop(t, w, h, win, keyed, at, lines, low, good, said)
 
 
 def keep_good(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLimits()) -> DataFrame:
