@@ -69,23 +69,35 @@ def _covered(at: Column) -> Column:
     return F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g)
 
 
-def mentions(lowered: Column) -> Column:
-    """Whether any phrase of boilerplate stands in a text."""
-    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(x)) for x in BOILERPLATE])
+SEPARATORS = (" | ", " > ", " » ", " · ")
 
 
-def line_passes(line: Column, limits: QualityLimits, lowered: Column | None = None, phrases: bool = True) -> Column:
-    """``lowered``: the line in lower case, where it is at hand; each phrase would lower it again. ``phrases``: whether any can be there."""
+def count_of(text: Column, marks: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, marks, ""))
+
+
+def is_prose(line: Column) -> Column:
+    """What ``PROSE`` says; most lines show it by their last character."""
+    return line.endswith(".") | line.endswith("!") | line.endswith("?") | line.rlike(PROSE)
+
+
+def may_offend(text: Column, lowered: Column) -> Column:
+    """Whether any line of a text can fail for more than its prose: a phrase, a separator or a noise mark stands in it somewhere."""
+    found = [F.contains(lowered, F.lit(x)) for x in BOILERPLATE] + [F.contains(text, F.lit(x)) for x in SEPARATORS]
+    return (count_of(text, NOISE) > 0) | reduce(lambda a, b: a | b, found)
+
+
+def line_passes(line: Column, limits: QualityLimits, lowered: Column | None = None) -> Column:
+    """``lowered``: the line in lower case, where it is at hand; each phrase would lower it again."""
     low = F.lower(line) if lowered is None else lowered
-    noise = F.length(line) - F.length(F.translate(line, NOISE, ""))
-    separators = sum(
-        ((F.length(line) - F.length(F.replace(line, F.lit(s), F.lit("")))) / 3 for s in (" | ", " > ", " » ", " · ")), F.lit(0)
+    separators = sum(((F.length(line) - F.length(F.replace(line, F.lit(s), F.lit("")))) / 3 for s in SEPARATORS), F.lit(0))
+    phrases = reduce(lambda a, b: a + b, [F.contains(low, F.lit(x)).cast("int") for x in BOILERPLATE])
+    return (
+        is_prose(line)
+        & (count_of(line, NOISE) * 100 <= limits.max_noise_percent * F.length(line))
+        & (separators <= limits.max_separators)
+        & (phrases * limits.phrase_reach < F.length(line))
     )
-    clean = line.rlike(PROSE) & (noise * 100 <= limits.max_noise_percent * F.length(line)) & (separators <= limits.max_separators)
-    if not phrases:
-        return clean
-    found = reduce(lambda a, b: a + b, [F.contains(low, F.lit(x)).cast("int") for x in BOILERPLATE])
-    return clean & (found * limits.phrase_reach < F.length(line))
 
 
 def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLimits()) -> DataFrame:
@@ -96,7 +108,7 @@ def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLi
     df = docs.withColumn(t, F.coalesce(F.col(quoted(text)), F.lit("")))
     df = df.withColumn(w, words_on_white_space(F.col(t)))
     df = df.withColumn(low, F.lower(F.col(t)))
-    df = df.withColumn(said, mentions(F.col(low)))
+    df = df.withColumn(said, may_offend(F.col(t), F.col(low)))
     df = df.withColumn(low, F.when(F.col(said), F.split(low, "\n")))
     df = df.withColumn(lines, F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(HAS_WORD)))
     df = df.withColumn(h, F.transform(F.col(w), lambda x: F.xxhash64(x)))
@@ -125,8 +137,8 @@ def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLi
         F.sort_array(F.transform(F.filter(k, lambda x, i: same(x, F.get(k, i - 1)) | same(x, F.get(k, i + 1))), lambda x: x["i"])),
     )
     lowered = F.col(low)
-    # most texts mention no phrase at all: their lines aren't searched for them one by one
-    plain = F.filter(F.col(lines), lambda x: line_passes(x, limits, phrases=False))
+    # in most texts no line can offend: they are judged by their prose alone
+    plain = F.filter(F.col(lines), is_prose)
     searched = F.filter(F.split(F.col(t), "\n"), lambda x, i: x.rlike(HAS_WORD) & line_passes(x, limits, F.get(lowered, i)))
     df = df.withColumn(good, F.when(F.col(said), searched).otherwise(plain))
     total = lambda c: F.coalesce(F.length(F.array_join(c, "")), F.lit(0)).cast("long")
@@ -134,7 +146,7 @@ def judge(docs: DataFrame, text: str = "text", limits: QualityLimits = QualityLi
         {
             "n_words": F.size(w).cast("long"),
             "word_chars": total(F.col(w)),
-            "n_symbols": (F.length(t) - F.length(F.translate(F.col(t), SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.when(F.col(said), count_of(F.col(t), SYMBOLS)).otherwise(0).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(F.col(lines)))).cast("long"),
             "n_repeat_words": F.when(F.size(at) > 0, _covered(F.col(at))).otherwise(F.lit(0)).cast("long"),
             "line_chars": total(F.col(lines)),
