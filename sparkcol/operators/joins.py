@@ -94,7 +94,7 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
 
 
 def inequality_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str, buckets: int = 64) -> DataFrame:
-    """Pairs with a op b. A right side within the bound of a broadcast, such as a table of bands, meets each left row in a loop.
+    """Pairs with a op b, of numbers. A right side within the bound of a broadcast, such as a table of bands, meets each left row in a loop.
 
     A larger one is cut into ``buckets`` ranges of b: a left row goes to the ranges that can match, an equi-join, in which only
     its own range has rows to drop. The result has the size it has: up to all pairs.
