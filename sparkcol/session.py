@@ -22,6 +22,7 @@ def get_spark(app_name: str = "sparkcol", master: str | None = None, shuffle_par
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
         "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.codegen.cache.maxEntries": "2000",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k: str(v) for k, v in conf.items()}
     if shuffle_partitions:
