@@ -6,9 +6,11 @@ A fingerprint is cut into ``max_bits + 1`` consecutive segments on a ring. If tw
 two: the whole first segment and all but one part of the second, since one difference spoils one part. Rows that share a
 key are compared: chains first, the full distance last.
 
-For distances so wide that two segments make a short key, ``sampled_keys`` takes the place of the first two segments: keys of
-bits drawn from two fingerprints, as wide as the number of rows asks for, and as many as it takes to meet a link with a stated
-probability. Rows that share a key pass the ring's chains before the full distance all the same.
+For distances so wide that two segments make a short key, the ring goes over two fingerprints and a key is its first segment
+alone. The rows of a key are laid into buckets by the segments that follow, as many as leave some rows to a bucket, and only
+buckets that the chains' budgets allow are compared, by the full distance. No link is lost, and comparisons grow with the square
+of the number of rows, less what the longer chains save. Who can't pay that and may lose links asks for a recall: ``sampled_keys``
+then draws keys of bits, as wide as the number of rows asks for, and as many as it takes to meet a link with that probability.
 
 Only distinct fingerprints are compared, so copies cost nothing. Within a key the links come out as a spanning forest,
 never as all pairs, unless the key has a few rows. A key with more rows than a task should hold is split into blocks, and each
@@ -38,6 +40,10 @@ CHUNK = 1 << 16
 FEW = 12
 #: Keys with up to so many rows are compared in one matrix.
 MATRIX = 1 << 10
+#: Of an exact key on two fingerprints: rows of a bucket at least, on average; rows on each side of a comparison; links held for each row.
+BUCKET, TILE, HELD = 48, 512, 8
+#: Rows, with their keys, that one task is meant to compare.
+PER_TASK = 1 << 18
 #: Of sampled keys: rows of unrelated fingerprints that one holds on average, the probability of meeting a link, and the share
 #: of bits in which texts differ whose shingle sets have a similarity of 0.8 (of unit vectors at the angle arccos(2 * 0.8 / 1.8)).
 PER_KEY, RECALL, ERROR = 64, 0.95, math.acos(1.6 / 1.8) / math.pi
@@ -167,13 +173,94 @@ class _Filter:
         return ok
 
 
-def _links(v: np.ndarray, w: np.ndarray, close: _Filter | _Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def double_ring(max_bits: int) -> list[tuple[int, int]]:
+    """Masks of ``max_bits + 1`` consecutive segments of two fingerprints: if these differ in at most ``max_bits`` bits, they agree in one at least."""
+    n, whole = max_bits + 1, (1 << BITS) - 1
+    edges = [2 * BITS * i // n for i in range(n + 1)]
+    return [(x & whole, x >> BITS) for x in ((1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False))]
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``n`` places that connect what the pairs (i, j) connect, fewer than n: each place with the least one of its component."""
+    root = np.arange(n)
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    at = np.flatnonzero(root != np.arange(n))
+    return root[at], at
+
+
+class _Chain:
+    """Links among rows that share the segment ``start`` of the ring over two fingerprints.
+
+    For each link there is a start from which on l segments differ in at most l - 1 bits, whatever l: rows of a large key are compared
+    where the segments after the first allow it.
+    """
+
+    def __init__(self, ring: list[tuple[int, int]], start: int, max_bits: int):
+        self.max_bits = max_bits
+        self.after = [[b for b in range(2 * BITS) if (m | m2 << BITS) >> b & 1] for m, m2 in ring[start + 1 :] + ring[:start]]
+
+    def __call__(self, diff: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(diff) + np.bitwise_count(second) <= self.max_bits
+
+    def buckets(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each row, made of the bits that follow the key, and the differences of numbers that links may have."""
+        number, differ, width = np.zeros(len(v), np.int64), np.zeros(1, np.int64), 0
+        for length, bits in enumerate(self.after, 1):
+            if len(v) >> (width + len(bits)) < BUCKET:
+                break
+            for k, b in enumerate(bits, width):
+                number |= ((v if b < BITS else w) >> np.uint64(b % BITS) & np.uint64(1)).astype(np.int64) << k
+            differ = (differ[None, :] | np.arange(1 << len(bits))[:, None] << width).ravel()
+            differ = differ[np.bitwise_count(differ) <= length]
+            width += len(bits)
+        return number, differ
+
+    def links(self, v: np.ndarray, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        number, differ = self.buckets(v, w)
+        order = np.argsort(number, kind="stable")
+        v, w, number = v[order], w[order], number[order]
+        values, starts = np.unique(number, return_index=True)
+        ends = np.append(starts[1:], len(v))
+        place = {x: k for k, x in enumerate(values.tolist())}
+        found, held, root = [(np.zeros(0, np.int64),) * 2], 0, None
+        for x, at in place.items():
+            for other in [place[y] for y in (x ^ differ).tolist() if y >= x and y in place]:
+                for a in range(starts[at], ends[at], TILE):
+                    for b in range(a if other == at else starts[other], ends[other], TILE):
+                        a_end, b_end = min(a + TILE, ends[at]), min(b + TILE, ends[other])
+                        if root is not None and (root[a:a_end] == root[a]).all() and (root[b:b_end] == root[a]).all():
+                            continue  # connected already
+                        near = self(v[a:a_end, None] ^ v[None, b:b_end], w[a:a_end, None] ^ w[None, b:b_end])
+                        if a == b:
+                            near = np.triu(near, 1)
+                        if near.any():
+                            i, j = np.nonzero(near)
+                            found.append((a + i, b + j))
+                            held += len(i)
+                        if held > HELD * len(v):
+                            found = [_forest(*map(np.concatenate, zip(*found, strict=True)), len(v))]
+                            held, root = len(found[0][0]), np.arange(len(v))
+                            root[found[0][1]] = found[0][0]
+        i, j = _forest(*map(np.concatenate, zip(*found, strict=True)), len(v))
+        yield order[i], order[j]
+
+
+def _links(v: np.ndarray, w: np.ndarray, close: _Filter | _Near | _Chain) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links, as places of rows, that span what is linked among the rows of a key."""
     if len(v) <= MATRIX:
         i, j = np.nonzero(np.triu(close(v[:, None] ^ v[None, :], w[:, None] ^ w[None, :]), 1))
         if len(i) <= 2 * len(v):
             yield i, j
             return
+    elif isinstance(close, _Chain):
+        yield from close.links(v, w)
+        return
     rest = np.arange(len(v))
     while len(rest):
         front, rest = [rest[0]], rest[1:]
@@ -187,16 +274,24 @@ def _links(v: np.ndarray, w: np.ndarray, close: _Filter | _Near) -> Iterator[tup
                 rest = rest[~near]
 
 
-def link(nodes: DataFrame, fp: str = "fp", max_bits: int = 4, parts: int = 4, most: int = 1 << 14, second: str | None = None) -> DataFrame:
+def link(nodes: DataFrame, fp: str = "fp", max_bits: int = 4, parts: int = 4, most: int | None = None, second: str | None = None, recall: float | None = None) -> DataFrame:
     """Links (a, b) among the distinct values of ``fp`` (long) that connect exactly what distances of up to ``max_bits`` connect.
 
     ``second``: a further fingerprint. Nodes are then pairs (fp, fp2), a and b are structs of them, ``max_bits`` is the distance over the
-    bits of both, and keys are sampled: texts of similarity 0.8 meet with the probability ``RECALL``, more like ones more surely.
-    ``most``: rows of a key that one task compares; the rows of a larger key are compared block by block.
+    bits of both. With a ``recall``, keys are sampled and links may be lost: texts of similarity 0.8 meet with that probability, more
+    like ones more surely.
+    ``most``: rows of a key that one task compares, by default 2**20 of two fingerprints without a recall and else 2**14; the rows of
+    a larger key are compared block by block.
     """
+    exact = bool(second) and recall is None
+    most = most or (1 << 20 if exact else 1 << 14)
+    tasks = []
     if second:
-        masks = sampled_keys(nodes.count())
-        filters = [_Near(max_bits)] * len(masks)
+        n = nodes.count()
+        masks = double_ring(max_bits) if exact else sampled_keys(n, recall=recall)
+        filters = [_Chain(masks, k, max_bits) for k in range(len(masks))] if exact else [_Near(max_bits)] * len(masks)
+        if exact:
+            tasks = [max(1, math.ceil(n * len(masks) / PER_TASK))]  # their work is more than their bytes tell
         bits = [F.xxhash64(F.col(fp).bitwiseAND(F.lit(_signed(m))), F.col(second).bitwiseAND(F.lit(_signed(m2)))) for m, m2 in masks]
     else:
         table = patterns(max_bits, parts)
@@ -264,7 +359,7 @@ def link(nodes: DataFrame, fp: str = "fp", max_bits: int = 4, parts: int = 4, mo
 
     shape = "pattern int, bits long, a long, a2 long, b long, b2 long"
     ends = [F.struct(F.col(x).alias("fp"), F.col(f"{x}2").alias("fp2")).alias(x) if second else F.col(x) for x in ("a", "b")]
-    out = cut(rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(compare(most), shape))
+    out = cut(rows.repartition(*tasks, *key).sortWithinPartitions(*key).mapInPandas(compare(most), shape))
     links = out.where("pattern < 0").select(*ends)
     over = out.where("pattern >= 0").select("pattern", "bits", F.col("a").alias("fp"), F.col("a2").alias("fp2"))
     if over.isEmpty():
@@ -277,12 +372,12 @@ def link(nodes: DataFrame, fp: str = "fp", max_bits: int = 4, parts: int = 4, mo
     return links.union(rest.select(*ends))
 
 
-def _named(rows: DataFrame, first: Column, max_bits: int) -> DataFrame:
+def _named(rows: DataFrame, first: Column, max_bits: int, recall: float | None = None) -> DataFrame:
     """(fp, and fp2 where ``rows`` have it, name) for each distinct one of ``rows``, name being the least ``first`` (an aggregate) of its component."""
     both = [c for c in ("fp", "fp2") if c in rows.columns]
     node = F.struct(*both) if len(both) > 1 else F.col("fp")
     nodes = cut(rows.groupBy(*both).agg(first.alias("first")))
-    roots = components(link(nodes, "fp", max_bits, second="fp2" if len(both) > 1 else None))
+    roots = components(link(nodes, "fp", max_bits, second="fp2" if len(both) > 1 else None, recall=recall))
     named = cut(nodes.join(roots, node == roots["node"], "left").select(*both, "first", F.coalesce("root", node).alias("root")))
     # written, so that the rows of a very large component can be split in the join
     least = cut(named.groupBy("root").agg(F.min("first").alias("name")))
@@ -301,11 +396,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(names, "fp").select("doc_id", "fp", F.col("name").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 26, shingle: int = 5) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 26, shingle: int = 5, recall: float | None = None) -> DataFrame:
     """One row of ``docs`` for each component, that of the least doc_id, with all columns as they came.
 
     The similarity of texts is that of five-word shingles, of at least 0.8. Such texts differ in up to 26 of the 128 bits of two
-    fingerprints as a rule (19 on average at 0.8); unrelated ones do so once in some 10**11 pairs.
+    fingerprints as a rule (19 on average at 0.8); unrelated ones do so once in some 10**11 pairs. All pairs that do are linked, unless
+    a ``recall`` is asked for: see ``link``.
     A null id comes after all others; ids may be of any type that has an order. Of rows that share the id, the text with the least
     hash stays; of rows that share the text too, any one does. Documents without words stay or go like any other: one of them stays.
     """
@@ -316,6 +412,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_
         F.xxhash64(F.coalesce(t, F.lit(""))).alias("_hash"), t.alias("_text"),
     )
     rows = with_two_fingerprints(known.drop("_row"), "_text", shingle).select("_none", "_id", "_as_text", "_hash", "prints.*")
-    names = _named(cut(rows), F.min(F.struct("_none", "_id", "_as_text", "_hash")), max_bits)
+    names = _named(cut(rows), F.min(F.struct("_none", "_id", "_as_text", "_hash")), max_bits, recall)
     stay = names.select(*[F.col(f"name.{k}").alias(k) for k in key]).distinct()
     return known.groupBy(*key).agg(F.first("_row").alias("_row")).join(stay, key, "left_semi").select("_row.*")

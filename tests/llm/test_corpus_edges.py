@@ -667,6 +667,52 @@ def test_most_texts_of_similarity_08_are_linked(spark):
     assert all(2 * k in kept for k in range(600))
 
 
+def test_all_links_of_two_fingerprints_are_met(spark):
+    rng = random.Random(3)
+    rows, base = [], []
+    for _ in range(400):
+        x = rng.getrandbits(128)
+        y = x ^ sum(1 << b for b in rng.sample(range(128), 26))
+        base.append((x, y))
+        rows += [(z & (1 << 64) - 1, z >> 64) for z in (x, y)]
+    signed = np.array(rows, np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame(signed, "fp long, fp2 long")
+    for options in ({}, {"most": 20}):  # whole keys, and keys in blocks
+        roots = {tuple(r.node): tuple(r.root) for r in components.components(simhash.link(nodes, max_bits=26, second="fp2", **options)).collect()}
+        assert len(roots) == 800 and all(roots[tuple(signed[2 * k])] == roots[tuple(signed[2 * k + 1])] for k in range(400))
+        assert len(set(roots.values())) == 400
+    drawn = {frozenset((tuple(r.a), tuple(r.b))) for r in simhash.link(nodes, max_bits=26, second="fp2", recall=0.95).collect()}
+    assert 0 < len(drawn) <= 400 and drawn <= {frozenset((tuple(signed[2 * k]), tuple(signed[2 * k + 1]))) for k in range(400)}
+
+
+def test_links_within_a_large_key():
+    rng = np.random.default_rng(5)
+    ring = simhash.double_ring(26)
+    assert len(ring) == 27 and sum(m | m2 << 64 for m, m2 in ring) == (1 << 128) - 1
+    v, w = rng.integers(0, 1 << 64, (2, 3000), np.uint64)
+    v2, w2 = v.copy(), w.copy()
+    for k in range(3000):
+        for b in rng.choice(128, 26, replace=False).tolist():
+            (v2 if b < 64 else w2)[k] ^= np.uint64(1 << b % 64)
+    crowd = rng.integers(0, 1 << 12, 3000).astype(np.uint64)  # all within 12 bits of each other
+    v, w = np.concatenate([v, v2, crowd]), np.concatenate([w, w2, np.zeros(3000, np.uint64)])
+    edges, found, spread = [], 0, []
+    for start, masks in enumerate(ring):
+        keys = np.unique(np.stack([v & np.uint64(masks[0]), w & np.uint64(masks[1])]), axis=1, return_inverse=True)[1]
+        for key in range(keys.max() + 1):
+            at = np.flatnonzero(keys == key)
+            chain = simhash._Chain(ring, start, 26)
+            spread.append(len(chain.buckets(v[at], w[at])[1]))
+            for i, j in chain.links(v[at], w[at]):
+                assert len(i) < len(at)
+                edges.append(np.stack([at[i], at[j]]))
+    i, j = simhash._forest(*np.concatenate(edges, axis=1), len(v))
+    root = np.arange(len(v))
+    root[j] = i
+    assert max(spread) > 1 and (root[:3000] == root[3000:6000]).all() and len(np.unique(root[6000:])) == 1
+    assert len(np.unique(root)) == 3001
+
+
 def test_comparisons_of_distinct_fingerprints_grow_slowly():
     rng = np.random.default_rng(4)
     work = {}
