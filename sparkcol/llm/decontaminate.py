@@ -138,8 +138,8 @@ def _batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 FOUND = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
-def _scan(index) -> Column:
-    @F.pandas_udf(FOUND)
+def _scan(index, rest: bool) -> Column:
+    @F.pandas_udf(FOUND + ", rest string" * rest)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Index.of(index.value)
         for series in batches:
@@ -157,7 +157,11 @@ def _scan(index) -> Column:
                     found[lo + t].add((a, a + size))
                     if known.ids[item] is not None:
                         named[lo + t].add(known.ids[item])
-            yield pd.DataFrame({"n_words": n_words, "spans": [[{"a": a, "b": b} for a, b in _merge(list(s))] for s in found], "items": [sorted(x) for x in named]})
+            spans = [_merge(list(s)) for s in found]
+            out = pd.DataFrame({"n_words": n_words, "spans": [[{"a": a, "b": b} for a, b in s] for s in spans], "items": [sorted(x) for x in named]})
+            if rest:
+                out["rest"] = pd.Series([without_words(t, s) if s else None for t, s in zip(series, spans, strict=True)], dtype=object)
+            yield out
 
     return scan.asNondeterministic()  # or a later filter on its result would run it again
 
@@ -170,20 +174,32 @@ def _merged(spans: Column) -> Column:
     return run(spans)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 8, block_bytes: int = 8 << 20, out: str = "found") -> DataFrame:
-    """``docs`` with ``out``: n_words, spans of hit words (by number, merged) and the sorted ids of the items found."""
+def _rest(text: Column, spans: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([without_words(t, [(int(x["a"]), int(x["b"])) for x in s]) if len(s) else None for t, s in zip(texts, lists, strict=True)], dtype=object)
+
+    return run(text, spans)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 8, block_bytes: int = 8 << 20, out: str = "found", rest: bool = False) -> DataFrame:
+    """``docs`` with ``out``: n_words, spans of hit words (by number, merged) and the sorted ids of the items found.
+
+    ``rest``: and the text without these words (null if none is hit). One Python function finds and removes, since each further one
+    in a task takes a worker of its own, with its memory.
+    """
     spark = docs.sparkSession
     items = benchmark.select(F.col(quoted(item_id)).cast("string").alias("id"), F.col(quoted(item_text)).alias("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     t = F.col(quoted(text))
 
-    def scan(block: int) -> Column:
+    def scan(block: int, rest: bool = False) -> Column:
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block).collect()
-        return _scan(spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], n).plain()))(t)
+        return _scan(spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], n).plain()), rest)(t)
 
     if n_blocks == 1:
-        return docs.withColumn(out, scan(0))
+        return docs.withColumn(out, scan(0, rest))
     key = [F.xxhash64(t).alias("_t1"), F.xxhash64(F.lit(n), t).alias("_t2")]
     parts = [docs.select(*key, F.lit(block).alias("_block"), scan(block).alias("f")) for block in range(n_blocks)]
     hits = reduce(DataFrame.union, [p.where((F.size("f.spans") > 0) | (F.col("_block") == 0)) for p in parts])
@@ -193,6 +209,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     found = cut(found.select("_t1", "_t2", F.struct("n_words", _merged(F.col("spans")).alias("spans"), "items").alias("_found")))
     packed = docs.select(whole_row(docs).alias("_row"), *key).join(found, ["_t1", "_t2"], "left")
     kept = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() != out.lower()]
+    if rest:
+        packed = packed.withColumn("_found", F.col("_found").withField("rest", _rest(F.col("_row")[text], F.col("_found.spans"))))
     return packed.select(*kept, F.col("_found").alias(out))
 
 
@@ -226,15 +244,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "spans", text: str
     """``docs`` without the words hit (``what="spans"``; a document of which no word is left goes) or without the documents
     that hold at least ``min_items`` items (``what="documents"``). All columns keep their names; others are untouched."""
     packed = docs.select(whole_row(docs).alias("_row"), F.col(quoted(text)).alias("_text"))
-    df = find(packed, benchmark, "_text", n=n, out="_found", **options)
+    df = find(packed, benchmark, "_text", n=n, out="_found", rest=what != "documents", **options)
     if what == "documents":
         return df.where(F.size(F.col("_found")["items"]) < min_items).select("_row.*")
-
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([without_words(t, [(int(x["a"]), int(x["b"])) for x in s]) if len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
-
     hit = n_hit(F.col("_found"))
     df = df.where((hit == 0) | (hit < F.col("_found")["n_words"]))
-    df = df.withColumn("_text", F.when(hit > 0, cleaned("_text", F.col("_found")["spans"])).otherwise(F.col("_text")))
+    df = df.withColumn("_text", F.when(hit > 0, F.col("_found")["rest"]).otherwise(F.col("_text")))
     return df.select(*[F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])

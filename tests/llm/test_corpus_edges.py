@@ -713,6 +713,17 @@ def test_links_within_a_large_key():
     assert len(np.unique(root)) == 3001
 
 
+def test_decontamination_takes_one_python_worker_a_task(spark):
+    benchmark = spark.createDataFrame([("i", "one two three four five six seven eight")], "item_id string, text string")
+    rows = [(1, "Before, one two three four five six seven eight; after."), (2, "Nothing of it."), (3, "one two three four five six seven eight"), (4, None)]
+    df = decontaminate.remove(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = [(1, "Before, ; after."), (2, "Nothing of it."), (4, None)]
+    assert sorted(map(tuple, df.collect())) == want
+    longer = benchmark.union(spark.createDataFrame([("j", "words that no text has, at any place, not one")], benchmark.schema))
+    assert sorted(map(tuple, decontaminate.remove(spark.createDataFrame(rows, "doc_id long, text string"), longer, block_bytes=20).collect())) == want
+
+
 def test_comparisons_of_distinct_fingerprints_grow_slowly():
     rng = np.random.default_rng(4)
     work = {}
