@@ -449,6 +449,40 @@ def test_pieces_change_nothing():
     assert [t for p in bpe.pieces(text, pattern, 17) for t in p] == pattern.findall(text)
 
 
+def test_new_pretokens_are_merged_together(monkeypatch):
+    import random
+
+    ranks = bpe.read_ranks(bpe.default_path())
+    tokenizer = bpe.Tokenizer(ranks, bpe.default_pattern(), bpe.PerfectHash(list(ranks)[:2000]))
+    draw = random.Random(5)
+    made = [b"", b"a", b"ab", b"  the", *(c * n for c in (b"a", b"ab", b"\xc3\xa9", b"\xff", b"\0", b" ") for n in (2, 5, 15, 16, 17, 31, 32, 33, 64, 65))]
+    made += [bytes(draw.choice(letters) for _ in range(draw.randint(1, 64))) for letters in (b"etaonis", b" aeiou\xc3\xa9\xb3", range(256)) for _ in range(500)]
+    want = [tokenizer.merge(x) for x in made]
+    for width in bpe.WIDTHS:
+        fit = [k for k, x in enumerate(made) if 0 < len(x) <= width]
+        assert tokenizer.merge_rows([made[k] for k in fit], width) == [want[k] for k in fit]
+    assert tokenizer.encode_tokens(made) == [tokenizer.encode_token(x) for x in made] and tokenizer.encode_tokens([]) == []
+
+    words = ["".join(draw.choice("etaoinshr") for _ in range(12)) for _ in range(200)]
+    alone = bpe.Memory(tokenizer)
+    texts = ["", " ".join(words), words[0] * 30, " ".join(words[:100]), "it's  \n\n " + " ".join(words[50:])]
+    want = [bpe._digest([tokenizer.pattern.findall(t)], alone) for t in texts]
+    for size, most in ((1 << 20, 1000), (700, 1000), (1 << 20, 20), (30, 20)):
+        memory = bpe.Memory(tokenizer, most)
+        assert [bpe._digest(lists, memory) for lists in bpe.learned(texts, memory, size)] == want
+    monkeypatch.setattr(bpe.Tokenizer, "merge", None)  # no heap of its own for any of many short pre-tokens
+    memory = bpe.Memory(tokenizer)
+    assert [bpe._digest(lists, memory) for lists in bpe.learned([texts[1]], memory)] == want[1:2]
+
+
+def test_perfect_hash_of_many_keys():
+    for n in (1, 2, 37, 1000):
+        keys = [f"key {i}".encode() for i in range(n)]
+        table = bpe.PerfectHash(keys)
+        others = [f"other {i}".encode() for i in range(50)]
+        assert table.slots_of(keys + others).tolist() == [table.slot(k) for k in keys + others]
+
+
 # -- language
 
 
