@@ -95,10 +95,13 @@ def layer_norm(v: Column, epsilon: float = 1e-5) -> Column:
     return _given(centred, lambda c: _given(F.sqrt(squared_norm(c) / F.size(c) + epsilon), lambda r: F.transform(c, lambda x: x / r)))
 
 
-def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, metric: str = "l2", vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The min(k, n) rows nearest to one query, ties by id: each task keeps k."""
+def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, metric: str = "l2", vec_id: str = "vec_id", embedding: str = "embedding", digits: int | None = None) -> DataFrame:
+    """The min(k, n) rows nearest to one query, ties by id, null vectors last: each task keeps k. With ``digits`` distances are rounded
+    before they are compared, so what rounds to one distance is a tie."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("distance", METRICS[metric](F.col(embedding), q)).orderBy("distance", vec_id).limit(k)
+    distance = METRICS[metric](F.col(embedding), q)
+    ranked = vectors.withColumn("distance", distance if digits is None else F.round(distance, digits))
+    return ranked.orderBy(F.col("distance").asc_nulls_last(), vec_id).limit(k)
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", vec_id: str = "vec_id", embedding: str = "embedding", block: int = 256, most_queries: int = 1 << 16, probes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:

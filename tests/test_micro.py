@@ -169,6 +169,23 @@ def test_vectors(spark):
         assert [r.vec_id for r in several.orderBy("rank").collect()] == one
 
 
+def test_half_precision_search_breaks_ties_of_rounded_distances_by_id(spark, tmp_path):
+    import duckdb
+    from oracle import duck_rows, spark_rows
+
+    from sparkcol.plans import registry
+
+    # from id 8 on, distances fall with the id, but round to the same; the last has no vector
+    first = [0.0] + [i / 64 for i in range(1, 8)] + [0.25 - i / 8192 for i in range(6)]
+    rows = [(i, [x] + [0.0] * 63) for i, x in enumerate(first)] + [(len(first), None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = spark_rows(registry.queries()["vec_fp16"](spark, str(tmp_path)))
+    assert found == duck_rows(con, registry.oracle_sql()["vec_fp16"])
+    assert len(found[1]) == 10
+
+
 def test_approximate_search_finds_most(spark, data_dir):
     e = catalog.table(spark, data_dir, "embeddings")
     index, found, asked = V.InvertedIndex().build(e), 0, [0, 100, 200, 300, 400]
