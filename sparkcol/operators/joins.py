@@ -32,6 +32,35 @@ def join(probe: DataFrame, build: DataFrame, on: Sequence[tuple[str, str]], how:
     return probe.join(build, condition, HOW[how])
 
 
+def pair_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], side: int = 4096) -> DataFrame:
+    """Inner equi-join on pairs (left column, right column) of few keys that have many rows on both sides. Null keys never match.
+
+    The result has the size it has: all pairs of a key. Of a key with more than ``side`` rows on either side, rows are dealt by a hash of the whole row into
+    parts of some ``side`` rows, and each part meets each part of the other side in a cell of its own. So no task has more than a few
+    cells of ``side`` * ``side`` pairs, and what is shuffled is 2 / ``side`` of the result. Such keys are counted first (both sides are read twice more) and broadcast:
+    a 4096th of the rows at most. Rows that are equal in all columns stay in one part.
+    """
+    keys, sides = [f"_k{i}" for i in range(len(on))], []
+    for i, (df, mine) in enumerate(((left, [a for a, _ in on]), (right, [b for _, b in on]))):
+        columns = [F.col(f"`{c}`").alias(f"_{i}_{j}") for j, c in enumerate(df.columns)]
+        sides.append(df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in mine)).select(*columns, *[F.col(c).alias(k) for c, k in zip(mine, keys, strict=True)]))
+    counted = sides[0].select(*keys, F.lit(1).alias("_n"), F.lit(0).alias("_m")).union(sides[1].select(*keys, F.lit(0), F.lit(1))).groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / side)).cast("int")
+    large = counted.where((F.col("_n") > side) | (F.col("_m") > side)).select(*keys, parts("_n").alias("_p0"), parts("_m").alias("_p1"))
+    cells = large.agg(F.sum(F.col("_p0").cast("long") * F.col("_p1"))).first()[0]
+    if not cells:
+        return join(left, right, on)
+    n_tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(cells, 1 << 15))
+    dealt = []
+    for i, rows in enumerate(sides):
+        known = rows.join(F.broadcast(large), keys, "left")
+        own = F.pmod(F.xxhash64(*rows.columns), F.coalesce(f"_p{i}", F.lit(1))).cast("int").alias(f"_c{i}")
+        other = F.explode(F.sequence(F.lit(0), F.coalesce(f"_p{1 - i}", F.lit(1)) - 1)).alias(f"_c{1 - i}")
+        dealt.append(known.select(*rows.columns, own, other).repartition(n_tasks, *keys, "_c0", "_c1"))
+    pairs = dealt[0].join(dealt[1].hint(STRATEGY["hash"]), [*keys, "_c0", "_c1"])
+    return pairs.select(*[F.col(f"_{i}_{j}").alias(c) for i, df in enumerate((left, right)) for j, c in enumerate(df.columns)])
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size of ``df``; without statistics a large number."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

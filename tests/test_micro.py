@@ -169,6 +169,18 @@ def test_vectors(spark):
         assert [r.vec_id for r in several.orderBy("rank").collect()] == one
 
 
+def test_pair_join_deals_the_pairs_of_few_keys_over_many_tasks(spark):
+    a = spark.sql("SELECT id, IF(id % 50 = 49, NULL, 'k' || id % 2) AS k FROM range(300)").coalesce(1)
+    b = spark.sql("SELECT id AS n, IF(id % 9 = 0, 'none', 'k' || id % 3) AS k2 FROM range(200)").coalesce(1)
+    expected = sorted(map(tuple, J.join(a, b, [("k", "k2")]).collect()))
+    found = J.pair_join(a, b, [("k", "k2")], side=16)
+    assert found.columns == ["id", "k", "n", "k2"] and sorted(map(tuple, found.collect())) == expected
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 30 and max(tasks) < len(expected) / 10
+    assert sorted(map(tuple, J.pair_join(a, b, [("k", "k2")]).collect())) == expected  # no key is large
+    assert J.pair_join(a, b.where("n < 0"), [("k", "k2")], side=16).count() == 0
+
+
 def test_half_precision_search_breaks_ties_of_rounded_distances_by_id(spark, tmp_path):
     import duckdb
     from oracle import duck_rows, spark_rows
