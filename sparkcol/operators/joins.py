@@ -83,10 +83,11 @@ def not_in(probe: DataFrame, build: DataFrame, column: str, key: str) -> DataFra
     """``column NOT IN (SELECT key FROM build)`` with SQL's nulls: a null in ``build`` lets nothing through, and a null in ``column``
     passes only if ``build`` is empty.
 
-    One aggregation counts rows and keys of ``build``; the rest is an anti-join on equal keys.
+    One aggregation counts rows and keys of ``build``; the rest is an anti-join on equal keys, each of which is brought once: few keys
+    in many rows would all go to the tasks of these keys.
     """
     n_rows, n_keys = build.agg(F.count("*")).scalar(), build.agg(F.count(key)).scalar()
-    anti = probe.join(build.select(F.col(key).alias("_k")), F.col(column) == F.col("_k"), "left_anti")
+    anti = probe.join(build.select(F.col(key).alias("_k")).where("_k IS NOT NULL").distinct(), F.col(column) == F.col("_k"), "left_anti")
     return anti.where((n_rows == 0) | ((n_rows == n_keys) & F.col(column).isNotNull()))
 
 

@@ -181,6 +181,19 @@ def test_pair_join_deals_the_pairs_of_few_keys_over_many_tasks(spark):
     assert J.pair_join(a, b.where("n < 0"), [("k", "k2")], side=16).count() == 0
 
 
+def test_not_in_meets_each_key_once(spark, data_dir):
+    """Few keys in many rows would otherwise all go to the tasks of these keys."""
+    line, part = catalog.table(spark, data_dir, "lineitem"), catalog.table(spark, data_dir, "part")
+    found = J.not_in(part, line, "p_size", "l_linenumber")
+    assert found.count() == part.where("p_size NOT BETWEEN 1 AND 7").count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("LeftAnti") :]
+    assert "Aggregate [_k" in below
+    none = line.where("l_linenumber < 0")
+    probe = part.withColumn("size", F.expr("nullif(p_size, 7)"))
+    assert J.not_in(probe, none, "size", "l_linenumber").count() == part.count()
+
+
 def test_half_precision_search_breaks_ties_of_rounded_distances_by_id(spark, tmp_path):
     import duckdb
     from oracle import duck_rows, spark_rows
