@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,17 @@ def test_not_in_meets_each_key_once(spark, data_dir):
     assert J.not_in(probe, none, "size", "l_linenumber").count() == part.count()
 
 
+def test_quantized_index_finds_most_of_many_vectors(spark):
+    """Codes alone leave two thirds of these among the first 300."""
+    x = np.random.default_rng(1).normal(size=(10_000, 64)).astype(np.float32)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").cache()
+    asked = e.where("vec_id % 500 = 0")
+    found = V.QuantizedIndex(V.ProductQuantizer(sample=4000)).build(e).search_batch(asked, 10).collect()
+    exact = {(r.query_id, r.vec_id) for r in V.knn_batch(e, asked, 10).collect()}
+    assert len(found) == len(exact) == 200
+    assert len(exact & {(r.query_id, r.vec_id) for r in found}) >= 180
+
+
 def test_half_precision_search_breaks_ties_of_rounded_distances_by_id(spark, tmp_path):
     import duckdb
     from oracle import duck_rows, spark_rows
